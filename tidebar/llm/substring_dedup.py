@@ -34,8 +34,9 @@ BUCKET_BYTES = 64 << 20
 _FAR = np.int64(1) << np.int64(60)
 #: Hashes that a task holds before it sends them.
 SEND_ROWS = 1 << 20
-_HITS = "id long, at array<int>"
-_DEALT = "bucket int, ids array<long>, ats array<int>, hashes array<long>, settled array<boolean>"
+_HITS = "id long, at array<int>, ride array<int>, ride_size array<int>"
+_BACK = ["at", "ride", "ride_size"]
+_DEALT = "bucket int, hashes array<long>, ids array<long>, ats array<int>, settled array<boolean>, ride_ids array<long>, ride_ats array<int>, ride_sizes array<int>"
 
 
 def recompress(words: np.ndarray, edges: np.ndarray, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,68 +81,70 @@ def _document_edges(rows: np.ndarray) -> np.ndarray:
 
 
 def _deal(hashes: np.ndarray, ids: np.ndarray, ats: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """One row for each bucket. Of equal hashes one is sent, marked as settled; the others go along as settled, without a hash."""
+    """One row for each bucket. Of equal hashes one goes to its bucket, marked as settled; the places of the others go along as
+    ranges, since neighbours repeat together."""
     if not len(hashes):
         return
     order = np.argsort(hashes, kind="stable")
     h = hashes[order]
     new = np.append(True, h[1:] != h[:-1])
-    same = np.append(~new[1:], False) | ~new
-    lead, rest = order[new], order[~new]
+    again = (np.append(~new[1:], False) | ~new)[new]
+    lead, rest = order[new], np.sort(order[~new])
     bucket = (mix(hashes[lead] ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(buckets)).astype(np.int64)
-    settled = same[new]
-    by = np.argsort(bucket, kind="stable")
-    lead, bucket, settled = lead[by], bucket[by], settled[by]
-    # what needs no comparison rides with any bucket: deal it evenly by document
-    ride = (mix(ids[rest].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    by = np.lexsort((lead, bucket))
+    lead, bucket, again = lead[by], bucket[by], again[by]
+    opens = np.flatnonzero(np.append(True, (ids[rest][1:] != ids[rest][:-1]) | (ats[rest][1:] != ats[rest][:-1] + 1))) if len(rest) else rest
+    length = np.diff(np.append(opens, len(rest)))
+    first = rest[opens]
+    # a range needs no comparison and rides with any bucket: deal them evenly by document
+    ride = (mix(ids[first].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(ride, kind="stable")
-    rest, ride = rest[by], ride[by]
+    first, length, ride = first[by], length[by], ride[by]
     used = np.union1d(bucket, ride)
-    cut, also = np.append(np.searchsorted(bucket, used), len(bucket)), np.append(np.searchsorted(ride, used), len(ride))
-    parts = [(slice(a, b), slice(c, d)) for a, b, c, d in zip(cut[:-1], cut[1:], also[:-1], also[1:], strict=True)]
-    index = np.concatenate([x for p, q in parts for x in (lead[p], rest[q])])
-    counts = np.array([(p.stop - p.start) + (q.stop - q.start) for p, q in parts])
-    offsets = np.append(0, np.cumsum(counts))
-    sent = np.append(0, np.cumsum([p.stop - p.start for p, _ in parts]))
+    own, along = np.append(np.searchsorted(bucket, used), len(bucket)), np.append(np.searchsorted(ride, used), len(ride))
     yield pa.RecordBatch.from_arrays(
         [
             pa.array(used, pa.int32()),
-            ragged(ids[index], offsets, pa.int64()),
-            ragged(ats[index], offsets, pa.int32()),
-            ragged(signed(hashes[lead]), sent, pa.int64()),
-            ragged(settled, sent, pa.bool_()),
+            ragged(signed(hashes[lead]), own, pa.int64()),
+            ragged(ids[lead], own, pa.int64()),
+            ragged(ats[lead], own, pa.int32()),
+            ragged(again, own, pa.bool_()),
+            ragged(ids[first], along, pa.int64()),
+            ragged(ats[first], along, pa.int32()),
+            ragged(length, along, pa.int32()),
         ],
-        ["bucket", "ids", "ats", "hashes", "settled"],
+        ["bucket", "hashes", "ids", "ats", "settled", "ride_ids", "ride_ats", "ride_sizes"],
     )
 
 
 def _repeated(bucket: pd.DataFrame) -> pd.DataFrame:
-    """Of a bucket: the places whose hash occurs elsewhere too, by document."""
-    hashes = np.concatenate(bucket["hashes"].to_numpy())
-    settled = np.concatenate(bucket["settled"].to_numpy()).astype(bool)
-    ids, ats = np.concatenate(bucket["ids"].to_numpy()), np.concatenate(bucket["ats"].to_numpy())
-    sizes, sent = bucket["ids"].map(len).to_numpy(), bucket["hashes"].map(len).to_numpy()
-    starts = np.append(0, np.cumsum(sizes))[:-1]
-    keep = np.ones(len(ids), bool)
-    lead = np.repeat(starts - np.append(0, np.cumsum(sent))[:-1], sent) + np.arange(len(hashes))
+    """Of a bucket: the places whose hash occurs elsewhere too, by document, as places and ranges."""
+    hashes, ids, ats, settled, ride_ids, ride_ats, ride_sizes = (np.concatenate(bucket[c].to_numpy()) for c in list(bucket)[1:])
     order = np.argsort(hashes, kind="stable")
     h = hashes[order]
     same = np.zeros(len(h), bool)
     same[1:] = h[1:] == h[:-1]
     same[:-1] |= same[1:]
-    found = settled.copy()
+    found = settled.astype(bool)
     found[order] |= same
-    keep[lead] = found
-    ids, ats = ids[keep], ats[keep]
-    order = np.argsort(ids, kind="stable")
-    ids, ats = ids[order], ats[order]
-    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, int)
-    return pd.DataFrame({"id": ids[first], "at": np.split(ats, first[1:]) if len(first) else []})
+    ids, ats = ids[found], ats[found]
+    parts = {}
+    for name, key, values in (("at", ids, (ats,)), ("ride", ride_ids, (ride_ats, ride_sizes))):
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
+        for number, value in enumerate(values):
+            cut = np.split(value[order], first[1:]) if len(first) else []
+            for k, v in zip(key[first].tolist(), cut, strict=True):
+                parts.setdefault(k, {})[name + str(number)] = v
+    none = np.zeros(0, np.int32)
+    rows = [(k, v.get("at0", none), v.get("ride0", none), v.get("ride1", none)) for k, v in parts.items()]
+    return pd.DataFrame(rows, columns=["id", "at", "ride", "ride_size"])
 
 
 def _grouped(dealt: DataFrame) -> DataFrame:
     hits = dealt.groupBy("bucket").applyInPandas(_repeated, _HITS)
-    return hits.groupBy("id").agg(F.flatten(F.collect_list("at")).alias("at"))
+    return hits.groupBy("id").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("at", "ride", "ride_size")])
 
 
 class _Sender:
@@ -189,10 +192,17 @@ def _symbols(levels: int, window: int, buckets: int):
 
 
 def _marks(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and values of the list column `at`."""
-    lists = part.column("at")
-    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    return np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    """Rows and values of the marks that came back."""
+    at, ride, size = (part.column(c) for c in ("at", "ride", "ride_size"))
+
+    def rows(lists: pa.Array) -> np.ndarray:
+        many = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        return np.repeat(np.arange(len(many)), many)
+
+    flat = [x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (at, ride, size)]
+    stop = np.cumsum(flat[2])
+    inside = np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - flat[2], flat[2])
+    return np.append(rows(at), np.repeat(rows(ride), flat[2])), np.append(flat[0], np.repeat(flat[1], flat[2]) + inside)
 
 
 def _windows(levels: int, window: int, buckets: int):
@@ -278,8 +288,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(4 * shuffle_partitions(spark), -(-text_bytes(keyed) // bucket_bytes))
     symbols = keyed.select("__id", "text").mapInArrow(_symbols(levels, window, buckets), _DEALT)
     known = keyed.join(_grouped(symbols), F.col("__id") == F.col("id"), "left")
-    windows = known.select("__id", "text", "at").mapInArrow(_windows(levels, window, buckets), _DEALT)
-    found = keyed.join(_grouped(windows), F.col("__id") == F.col("id"), "left").select("__row", "text", "at")
+    # both joins take the same columns of the documents, so that their texts are dealt out once
+    windows = known.select("__id", "__row", "text", *_BACK).mapInArrow(_windows(levels, window, buckets), _DEALT)
+    found = keyed.join(_grouped(windows), F.col("__id") == F.col("id"), "left").select("__row", "text", *_BACK)
     shape = f"__row {found.schema['__row'].dataType.simpleString()}, text string, n_words long, n_removed long, kept_text string, kept_sha256 string"
     out = found.mapInArrow(_cut(window), shape)
     return out.select(*[F.col("text").alias(text_col) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in kept], *made)
