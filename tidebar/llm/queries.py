@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import decontaminate, packing, sharding, substring_dedup, warc
+from tidebar.llm import decontaminate, embedding_dedup, minhash, packing, page_text, quality, sharding, substring_dedup, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages").select("page_id", "url"))
+
+
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     out = substring_dedup.substring_dedup(docs, keep=["doc_id"])
@@ -27,6 +31,19 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op4_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return page_text.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
+def op5_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return quality.classify(docs, table(spark, folder, "labels").select("doc_id", "quality"), keep=["doc_id"])
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -36,12 +53,19 @@ def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.decontaminate(docs, table(spark, folder, "benchmark"), keep=["doc_id"])
 
 
+def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, folder, "pages").select("page_id", "url", "html")))
 
 
 def queries() -> dict[str, Query]:
-    found = [op2_substring_dedup, op3_sharding, op7_packing, op8_decontaminate, op10_warc]
+    found = [
+        op1_url_filter, op2_substring_dedup, op3_sharding, op4_page_text, op5_embedding_dedup,
+        op6_quality, op7_packing, op8_decontaminate, op9_minhash, op10_warc,
+    ]
     return {f.__name__: f for f in found}
 
 
