@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidebar.plans import research as market
+
 Query = Callable[[SparkSession, str], DataFrame]
-FLAGSHIP = "pair_hits_5m"
+FLAGSHIP = "pair_events"
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(market.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(market.SQL)
