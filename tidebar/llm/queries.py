@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import decontaminate, embedding_dedup, minhash, packing, page_text, quality, sharding, substring_dedup, url_filter, warc
+from tidebar.llm import decontaminate, embedding_dedup, minhash, oracle, packing, page_text, quality, sharding, substring_dedup, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,4 +70,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
