@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebar.plans import research as market
+from tidebar.plans import market, operations, research
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "pair_events"
 
 
 def queries() -> dict[str, Query]:
-    return dict(market.QUERIES)
+    return market.QUERIES | research.QUERIES | operations.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(market.SQL)
+    return market.SQL | research.SQL | operations.SQL
