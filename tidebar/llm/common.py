@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
-#: Bytes of text that a worker hashes at once; one longer text is a slice of its own.
-SLICE_BYTES = 1 << 21
+#: Bytes and rows of text that a worker hashes at once; one longer text is a slice of its own.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 2048
 
 
 def scratch(spark: SparkSession) -> str:
@@ -42,6 +42,17 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
+def bounded_sample(df: DataFrame, key: list[str], rows: int, seed: int = 0) -> DataFrame:
+    """At most `rows` rows, those with the smallest hashes of their key; the same whatever the partitions.
+
+    Hashes that are surely too large are dropped before the sort, so no task brings more than its share to it."""
+    total = df.count()
+    order = F.xxhash64(F.lit(seed), *key)
+    if total > 4 * rows:
+        df = df.filter(F.pmod(order, F.lit(1 << 31)) < int((1 << 31) * 2 * rows / total))
+    return df.withColumn("__order", F.struct(F.pmod(order, F.lit(1 << 31)), order)).orderBy("__order", *key).limit(rows).drop("__order")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (splitmix64)."""
     x = x ^ (x >> np.uint64(30))
@@ -95,14 +106,14 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each slice holds at most SLICE_BYTES of text, or one row."""
+    """Cuts batches so that each slice holds at most SLICE_BYTES of text and SLICE_ROWS rows, or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, ends = text_buffers(batch.column(column))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, "right")) - 1)
+            to = min(max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, "right")) - 1), at + SLICE_ROWS)
             yield batch.slice(at, to - at)
             at = to
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import row_of, slices, text_buffers, words_of
+from tidebar.llm.common import bounded_sample, row_of, slices, text_buffers, words_of
 
 #: Slots of the shape runs (of two and of four bytes), word distances at which repeats are counted, slots of the byte trigrams.
 SHAPES, LAGS, GRAMS = 512, 4, 1024
@@ -125,11 +125,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     named = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("good")).filter("id is not null and good is not null")
     taught = named.filter(fold(F.col("id")) != 1)
     share = taught.agg(F.avg((F.col("good") == 1).cast("int"))).first()[0]
-    order = F.xxhash64("id")
-    trusted = taught.filter("good = 1").select("id").distinct().select("id", order.alias("o")).orderBy("o", "id").limit(FIT_POSITIVES).select("id", F.lit(True).alias("good"))
+    trusted = bounded_sample(taught.filter("good = 1").select("id").distinct(), ["id"], FIT_POSITIVES).select("id", F.lit(True).alias("good"))
     keyed = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     some = keyed.filter(F.col("doc").isNotNull() & (fold(F.col("doc")) != 1)).select(F.col("doc").alias("id")).distinct()
-    some = some.select("id", F.xxhash64("id", F.lit(1)).alias("o")).orderBy("o", "id").limit(FIT_UNLABELLED).select("id", F.lit(False).alias("good"))
+    some = bounded_sample(some, ["id"], FIT_UNLABELLED, seed=1).select("id", F.lit(False).alias("good"))
     drawn = trusted.union(some)  # at most FIT_POSITIVES + FIT_UNLABELLED ids
     rows = keyed.join(F.broadcast(drawn), F.col("doc") == F.col("id")).select("good", "text").mapInArrow(_sparse(), "good boolean, slots array<int>, counts array<float>")
     sides = {True: [], False: []}

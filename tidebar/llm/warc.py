@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import staged
+from tidebar.llm.common import bounded_sample, staged
 
 MAGIC = 0x184D2A5D
 REVISIT_BYTES = 1000
@@ -164,8 +164,7 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
     first = facts.filter(F.col("length") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null").drop("n")
     # the pairs of revisits only; the payloads are not moved for it
     revisits = facts.join(first, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), "refers_to").distinct()
-    order = F.xxhash64("page_id", "url")
-    sample = keyed.filter(F.octet_length(html) > 0).select(order.alias("o"), F.substring("html", 1, SAMPLE_BYTES).alias("html")).orderBy("o").limit(SAMPLE_ROWS)
+    sample = bounded_sample(keyed.filter(F.octet_length(html) > 0).select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html")), ["page_id", "url"], SAMPLE_ROWS)
     dictionary = train_dictionary([x["html"].encode() for x in sample.collect()])
     full = keyed.withColumn("digest", F.sha1(html)).withColumn("length", F.octet_length(html).cast("long"))
     ready = full.join(revisits, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("digest") == F.col("__digest")), "left").select("page_id", "url", "html", "digest", "length", "refers_to")
