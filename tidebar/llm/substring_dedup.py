@@ -25,18 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import mix, powers, prefix_hash, ragged, row_of, shuffle_partitions, signed, slices, span_hash, text_bytes, words_of
+from tidebar.llm.common import mix, powers, prefix_hash, ragged, row_of, signed, slices, span_hash, text_bytes, words_of
 
 WINDOW = 35
 LEVELS = 5
 #: Bytes of text for each bucket of hashes; a bucket is what one task holds at once.
-BUCKET_BYTES = 64 << 20
+LEAST_BUCKETS, BUCKET_BYTES = 128, 64 << 20
 _FAR = np.int64(1) << np.int64(60)
 #: Hashes that a task holds before it sends them.
-SEND_ROWS = 1 << 20
-_HITS = "id long, at array<int>, ride array<int>, ride_size array<int>"
-_BACK = ["at", "ride", "ride_size"]
-_DEALT = "bucket int, hashes array<long>, ids array<long>, ats array<int>, settled array<boolean>, ride_ids array<long>, ride_ats array<int>, ride_sizes array<int>"
+SEND_ROWS = 1 << 19
+DEALT = ["hashes", "ids", "ats", "settled", "ride_ids", "ride_ats", "ride_sizes"]
+_DEALT = "bucket int, buckets int, hashes array<long>, ids array<long>, ats array<int>, settled array<boolean>, ride_ids array<long>, ride_ats array<int>, ride_sizes array<int>"
+_LIST = {c: pa.list_(pa.bool_() if c == "settled" else pa.int64() if c in ("hashes", "ids", "ride_ids") else pa.int32()) for c in DEALT}
+_EMPTY = pa.schema([("bucket", pa.int32()), ("buckets", pa.int32()), *_LIST.items()])
+_HOME = "home long, ids array<long>, ats array<int>, ride_ids array<long>, ride_ats array<int>, ride_sizes array<int>"
 
 
 def recompress(words: np.ndarray, edges: np.ndarray, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,6 +107,7 @@ def _deal(hashes: np.ndarray, ids: np.ndarray, ats: np.ndarray, buckets: int) ->
     yield pa.RecordBatch.from_arrays(
         [
             pa.array(used, pa.int32()),
+            pa.array(np.full(len(used), buckets), pa.int32()),
             ragged(signed(hashes[lead]), own, pa.int64()),
             ragged(ids[lead], own, pa.int64()),
             ragged(ats[lead], own, pa.int32()),
@@ -113,13 +116,13 @@ def _deal(hashes: np.ndarray, ids: np.ndarray, ats: np.ndarray, buckets: int) ->
             ragged(ats[first], along, pa.int32()),
             ragged(length, along, pa.int32()),
         ],
-        ["bucket", "hashes", "ids", "ats", "settled", "ride_ids", "ride_ats", "ride_sizes"],
+        ["bucket", "buckets", *DEALT],
     )
 
 
 def _repeated(bucket: pd.DataFrame) -> pd.DataFrame:
     """Of a bucket: the places whose hash occurs elsewhere too, by document, as places and ranges."""
-    hashes, ids, ats, settled, ride_ids, ride_ats, ride_sizes = (np.concatenate(bucket[c].to_numpy()) for c in list(bucket)[1:])
+    hashes, ids, ats, settled, ride_ids, ride_ats, ride_sizes = (np.concatenate(bucket[c].to_numpy()) for c in DEALT)
     order = np.argsort(hashes, kind="stable")
     h = hashes[order]
     same = np.zeros(len(h), bool)
@@ -127,24 +130,27 @@ def _repeated(bucket: pd.DataFrame) -> pd.DataFrame:
     same[:-1] |= same[1:]
     found = settled.astype(bool)
     found[order] |= same
-    ids, ats = ids[found], ats[found]
-    parts = {}
-    for name, key, values in (("at", ids, (ats,)), ("ride", ride_ids, (ride_ats, ride_sizes))):
+    return _sent_home(ids[found], ats[found], ride_ids, ride_ats, ride_sizes, int(bucket["buckets"].iloc[0]))
+
+
+def _sent_home(ids: np.ndarray, ats: np.ndarray, ride_ids: np.ndarray, ride_ats: np.ndarray, ride_sizes: np.ndarray, buckets: int) -> pd.DataFrame:
+    """Places and ranges by the bucket of their document."""
+    home, ride_home = home_of(ids, buckets), home_of(ride_ids, buckets)
+    used = np.union1d(home, ride_home)
+
+    def lists(key: np.ndarray, *values: np.ndarray) -> list[list[np.ndarray]]:
         order = np.argsort(key, kind="stable")
-        key = key[order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
-        for number, value in enumerate(values):
-            cut = np.split(value[order], first[1:]) if len(first) else []
-            for k, v in zip(key[first].tolist(), cut, strict=True):
-                parts.setdefault(k, {})[name + str(number)] = v
-    none = np.zeros(0, np.int32)
-    rows = [(k, v.get("at0", none), v.get("ride0", none), v.get("ride1", none)) for k, v in parts.items()]
-    return pd.DataFrame(rows, columns=["id", "at", "ride", "ride_size"])
+        cuts = np.searchsorted(key[order], used[1:])
+        return [np.split(v[order], cuts) if len(used) else [] for v in values]
 
+    columns = [*lists(home, ids, ats), *lists(ride_home, ride_ids, ride_ats, ride_sizes)]
+    names = ["ids", "ats", "ride_ids", "ride_ats", "ride_sizes"]
+    return pd.DataFrame({"home": used} | {n: pd.Series(c, dtype=object) for n, c in zip(names, columns, strict=True)})
 
-def _grouped(dealt: DataFrame) -> DataFrame:
-    hits = dealt.groupBy("bucket").applyInPandas(_repeated, _HITS)
-    return hits.groupBy("id").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("at", "ride", "ride_size")])
+
+def home_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a document's id, as the session's rows have it."""
+    return np.mod(ids, buckets).astype(np.int64)
 
 
 class _Sender:
@@ -191,32 +197,43 @@ def _symbols(levels: int, window: int, buckets: int):
     return run
 
 
-def _marks(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and values of the marks that came back."""
-    at, ride, size = (part.column(c) for c in ("at", "ride", "ride_size"))
+def _flat(table: pa.Table, column: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(x.flatten().to_numpy(zero_copy_only=False) for x in table.column(column).chunks)]).astype(np.int64)
+
+
+class _Marks:
+    """The places that came back for the documents of a home."""
 
-    def rows(lists: pa.Array) -> np.ndarray:
-        many = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        return np.repeat(np.arange(len(many)), many)
+    def __init__(self, documents: pa.Table, back: pa.Table):
+        self.known = np.unique(documents.column("__id").to_numpy())
+        ids, ats, ride_ids, ride_ats, sizes = (_flat(back, c) for c in ("ids", "ats", "ride_ids", "ride_ats", "ride_sizes"))
+        stop = np.cumsum(sizes)
+        inside = np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - sizes, sizes)
+        ids, ats = np.append(ids, np.repeat(ride_ids, sizes)), np.append(ats, np.repeat(ride_ats, sizes) + inside)
+        owner = np.searchsorted(self.known, ids)
+        order = np.argsort(owner, kind="stable")
+        self.ats, self.cuts = ats[order], np.searchsorted(owner[order], np.arange(len(self.known) + 1))
 
-    flat = [x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (at, ride, size)]
-    stop = np.cumsum(flat[2])
-    inside = np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - flat[2], flat[2])
-    return np.append(rows(at), np.repeat(rows(ride), flat[2])), np.append(flat[0], np.repeat(flat[1], flat[2]) + inside)
+    def of(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place) of the marks of a slice; equal rows each get all of theirs."""
+        at = np.searchsorted(self.known, _ids(part))
+        many = self.cuts[at + 1] - self.cuts[at]
+        row = np.repeat(np.arange(len(at)), many)
+        return row, self.ats[np.repeat(self.cuts[at], many) + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)]
 
 
 def _windows(levels: int, window: int, buckets: int):
     """Sends the windows that hold no symbol found once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = _Sender(buckets)
-        for part in slices(batches):
+    def run(documents: pa.Table, back: pa.Table) -> pa.Table:
+        sender, marks, sent = _Sender(buckets), _Marks(documents, back), []
+        for part in slices(documents.to_batches()):
             words, rows, _ = words_of(part.column("text"))
             n = len(words)
             if n < window:
                 continue
             _, lo, hi, row, ordinal = _usable(words, rows, levels, window)
-            mark_row, mark = _marks(part)
+            mark_row, mark = marks.of(part)
             first = np.searchsorted(row, np.arange(len(rows) - 1))
             alone = np.ones(len(row), bool)
             alone[first[mark_row] + mark] = False
@@ -227,34 +244,39 @@ def _windows(levels: int, window: int, buckets: int):
             inside = at + window <= rows[doc + 1]
             at, doc = at[inside], doc[inside]
             hashes = span_hash(prefix_hash(words), at, at + window)
-            yield from sender.add(hashes, _ids(part)[doc], at - rows[doc])
-        yield from sender.flush()
+            sent += sender.add(hashes, _ids(part)[doc], at - rows[doc])
+        sent += sender.flush()
+        return pa.Table.from_batches(sent, schema=sent[0].schema if sent else _EMPTY)
 
     return run
 
 
 def _cut(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+    def run(documents: pa.Table, back: pa.Table) -> pa.Table:
+        marks, out = _Marks(documents, back), []
+        for part in slices(documents.to_batches()):
             _, rows, (raw, start, end) = words_of(part.column("text"))
             n = len(start)
-            mark_row, mark = _marks(part)
+            mark_row, mark = marks.of(part)
             begin = np.unique(rows[mark_row] + mark)
             delta = np.bincount(begin, minlength=n + 1) - np.bincount(begin + window, minlength=n + 1)[: n + 1]
             keep = np.cumsum(delta)[:n] == 0
             kept_rows = np.append(0, np.cumsum(keep))[rows]
             texts = joined_words(raw, start[keep], end[keep], kept_rows)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("__row"),
-                    part.column("text"),
-                    pa.array(np.diff(rows), pa.int64()),
-                    pa.array(np.diff(rows) - np.diff(kept_rows), pa.int64()),
-                    pa.array([x.decode("utf-8", "replace") for x in texts], pa.string()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()),
-                ],
-                ["__row", "text", "n_words", "n_removed", "kept_text", "kept_sha256"],
+            out.append(
+                pa.RecordBatch.from_arrays(
+                    [
+                        part.column("__row"),
+                        part.column("text"),
+                        pa.array(np.diff(rows), pa.int64()),
+                        pa.array(np.diff(rows) - np.diff(kept_rows), pa.int64()),
+                        pa.array([x.decode("utf-8", "replace") for x in texts], pa.string()),
+                        pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()),
+                    ],
+                    ["__row", "text", "n_words", "n_removed", "kept_text", "kept_sha256"],
+                )
             )
+        return pa.Table.from_batches(out)
 
     return run
 
@@ -280,17 +302,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A null or empty text has no words and an empty kept_text. Repeated rows repeat each other's windows, so both lose them.
     keep: the columns of docs to return (all). An id may be null or repeat: rows are told apart by id and text together. No rows in, no rows out.
     """
-    spark = docs.sparkSession
     made = ["n_words", "n_removed", "kept_text", "kept_sha256"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
     rest = [F.col(f"`{c}`") for c in kept if c != text_col] or [F.lit(0).alias("__none")]
     keyed = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("__id"), F.struct(*rest).alias("__row"), F.col(text_col).alias("text"))
-    buckets = max(4 * shuffle_partitions(spark), -(-text_bytes(keyed) // bucket_bytes))
+    buckets = max(LEAST_BUCKETS, -(-text_bytes(keyed) // bucket_bytes))
+    # both returns take the same columns of the documents, so that their texts are dealt out once
+    homes = keyed.withColumn("home", F.pmod("__id", F.lit(buckets)))
     symbols = keyed.select("__id", "text").mapInArrow(_symbols(levels, window, buckets), _DEALT)
-    known = keyed.join(_grouped(symbols), F.col("__id") == F.col("id"), "left")
-    # both joins take the same columns of the documents, so that their texts are dealt out once
-    windows = known.select("__id", "__row", "text", *_BACK).mapInArrow(_windows(levels, window, buckets), _DEALT)
-    found = keyed.join(_grouped(windows), F.col("__id") == F.col("id"), "left").select("__row", "text", *_BACK)
-    shape = f"__row {found.schema['__row'].dataType.simpleString()}, text string, n_words long, n_removed long, kept_text string, kept_sha256 string"
-    out = found.mapInArrow(_cut(window), shape)
+    known = symbols.groupBy("bucket").applyInPandas(_repeated, _HOME)
+    windows = homes.groupBy("home").cogroup(known.groupBy("home")).applyInArrow(_windows(levels, window, buckets), _DEALT)
+    found = windows.groupBy("bucket").applyInPandas(_repeated, _HOME)
+    shape = f"__row {keyed.schema['__row'].dataType.simpleString()}, text string, n_words long, n_removed long, kept_text string, kept_sha256 string"
+    out = homes.groupBy("home").cogroup(found.groupBy("home")).applyInArrow(_cut(window), shape)
     return out.select(*[F.col("text").alias(text_col) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in kept], *made)
