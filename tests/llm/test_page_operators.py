@@ -157,3 +157,22 @@ def test_embeddings_against_brute_force(spark):
     wrong = sum(r.component_id != union.find(i) for i, r in out.items())
     assert wrong <= 2 and len(out) == len(rows) and all(out[i].n_links == 0 and out[i].kept for i in range(3000, 3007))
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("rows", [4, 1400])
+def test_embedding_chains_are_one_component(spark, rows):
+    """A path whose inner link is nobody's link to its smallest neighbour, in one block and over several chunks; other lengths link too."""
+    order = [1, 3, 4, 2] if rows == 4 else np.random.default_rng(2).permutation(rows).tolist()
+    step = 11 if rows == 4 else 360 / (2 * rows)
+    turn = np.deg2rad(np.arange(rows) * step)
+    data = [(int(i), [float(np.cos(t)), float(np.sin(t))], 0) for i, t in zip(order, turn)]
+    data += [(10_000 + i, [float(np.cos(t)), float(np.sin(t)), 0.0], 0) for i, t in zip([1, 3, 4, 2], np.deg2rad([0, 11, 22, 33]))]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    near = 11.2 if rows == 4 else 0.2
+    out = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, threshold=float(np.cos(np.deg2rad(near)))).collect()}
+    if rows == 4:
+        assert {i: out[10_000 + i].component_id for i in (1, 2, 3, 4)} == dict.fromkeys((1, 2, 3, 4), 10_001)
+        assert [out[10_000 + i].n_links for i in (1, 3, 4, 2)] == [1, 2, 2, 1]
+    assert {out[int(i)].component_id for i in order} == {min(order)}
+    assert [out[int(i)].n_links for i in order] == [1] + [2] * (rows - 2) + [1]
+    assert sum(out[int(i)].kept for i in order) == 1

@@ -6,8 +6,9 @@ meet in some leaf. Leaves are compared in blocks of at most BLOCK rows: a leaf t
 every two chunks meet, so no leaf is capped.
 
 The splits are fitted on a bounded sample; every vector is indexed. Equal vectors of one label are one class with a
-multiplicity, so copies cost nothing. A leaf sends no pairs: it counts, for each class, the links that no earlier leaf
-has already seen (each row carries its leaves in all trees), and links classes to the first class that they match.
+multiplicity, so copies cost nothing. A block sends no pairs: it counts, for each class, the links that no earlier leaf
+has already seen (each row carries its leaves in all trees), and joins each class to the smallest one that the block's
+verified pairs reach, which keeps every connection and is one row a class. Vectors of each length have a forest and leaves of their own.
 """
 
 from __future__ import annotations
@@ -87,19 +88,26 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
-def _index(forest: list, margin: float):
-    """Leaf paths of each class: an array of leaves per tree, flattened as tree * 2**32 + leaf."""
+def _index(forests: dict[int, tuple[list, float]]):
+    """Leaf paths of each class: an array of leaves per tree, flattened as tree * 2**32 + leaf.
+
+    forests: trees and margin by length of vector; a length without trees is one leaf."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            vectors = _unit(_matrix(batch.column("vector")))
+            column = batch.column("vector")
+            lengths = batch.column("length").to_numpy()
             row, leaf = [], []
-            for number, tree in enumerate(forest):
-                r, leaf_number = leaves_of(vectors, tree, margin)
-                row.append(r)
-                leaf.append(leaf_number + (number << 32))
+            for length in np.unique(lengths).tolist():
+                own = np.flatnonzero(lengths == length)
+                vectors = _unit(_matrix(column.take(pa.array(own))))
+                forest, margin = forests.get(length, ([[]], 0.0))
+                for number, tree in enumerate(forest):
+                    r, leaf_number = leaves_of(vectors, tree, margin)
+                    row.append(own[r])
+                    leaf.append(leaf_number + (number << 32))
             row, leaf = np.concatenate(row), np.concatenate(leaf)
             order = np.lexsort((leaf, row))
             offsets = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
@@ -109,6 +117,20 @@ def _index(forest: list, margin: float):
     return run
 
 
+def _joined(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest row that each row reaches, once pairs x, y are added to those that led to root."""
+    while True:
+        a, b = root[x], root[y]
+        apart = a != b
+        if not apart.any():
+            return root
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        root = root.copy()
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def _compare(threshold: float):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         leaf_i, leaf_j = int(block["i"].iloc[0]), int(block["j"].iloc[0])
@@ -120,7 +142,7 @@ def _compare(threshold: float):
         shared = _paths(block["leaves"], int(block["leaf"].iloc[0]))
         many = block["many"].to_numpy(np.int64)
         links = np.zeros(len(block), np.int64)
-        first = np.full(len(block), len(block))
+        root, met = np.arange(len(block)), np.zeros(len(block), bool)
         for start in range(0, len(a), 256):
             own = a[start : start + 256]
             x, y = np.nonzero(unit[own] @ unit[b].T >= threshold - 1e-9)
@@ -129,15 +151,13 @@ def _compare(threshold: float):
             x, y = x[keep], y[keep]
             exact = np.einsum("ij,ij->i", unit[x], unit[y])
             x, y = x[exact >= threshold], y[exact >= threshold]
-            np.minimum.at(first, y, x)
-            np.minimum.at(first, x, y)
+            met[x] = met[y] = True
+            root = _joined(root, x, y)
             fresh = ~_meet(shared, x, y)
             x, y = x[fresh], y[fresh]
             links += np.bincount(x, many[y], len(block)).astype(np.int64) + np.bincount(y, many[x], len(block)).astype(np.int64)
         ids = block["id"].to_numpy()
-        first_id = ids[np.minimum(first, len(block) - 1)]
-        keep = first < len(block)
-        return pd.DataFrame({"id": ids[keep], "links": links[keep], "mate": first_id[keep]})
+        return pd.DataFrame({"id": ids[met], "links": links[met], "mate": ids[root[met]]})
 
     return run
 
@@ -173,8 +193,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """One row per vector: id, n_links (other vectors of its label with cosine >= threshold), component_id (smallest id that links
     reach), kept (id = component_id).
 
-    Vectors without a label, null, empty, zero or with null or non-finite numbers link with nothing, nor do vectors of other lengths
-    than the first. Rows with equal ids are told apart while linking, and share component_id. No rows in, no rows out.
+    Vectors without a label, null, empty, zero or with null or non-finite numbers link with nothing; vectors of different lengths do
+    not link with one another. Rows with equal ids are told apart while linking, and share component_id. No rows in, no rows out.
     """
     kind = vectors.schema[id_col].dataType.simpleString()
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
@@ -183,25 +203,31 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     usable = rows.filter(good & F.coalesce(finite, F.lit(False)) & F.exists("vector", lambda v: v != 0.0))
     classes = usable.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("many"))
     classes = staged(classes, "vectors")
-    size = classes.agg(F.count("*"), F.max(F.size("vector"))).first()
-    if not size[0]:
+    if classes.isEmpty():
         return vectors.select(F.col(id_col), F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"), F.lit(True).alias("kept"))
-    classes = classes.filter(F.size("vector") == size[1])
-    sample = bounded_sample(classes.select("vector", "id"), ["id"], SAMPLE_ROWS).collect()
-    points = _unit(np.array([x["vector"] for x in sample], np.float64))
-    # a link spans at most sqrt(2 - 2 threshold); along a random direction about that over sqrt(dimensions)
-    margin = SPILL * np.sqrt((2 - 2 * threshold) / points.shape[1]) / 2
-    labels = max(1, classes.select("label").distinct().count())
-    depth = max(0, int(np.ceil(np.log2(max(1, size[0] / labels) / leaf)))) if size[0] > leaf else 0
+    classes = classes.withColumn("length", F.size("vector"))
+    points: dict[int, list] = {}
+    for x in bounded_sample(classes.select("vector", "id"), ["id"], SAMPLE_ROWS).collect():
+        points.setdefault(len(x["vector"]), []).append(x["vector"])
+    # fewer are not split, so such a length is one leaf, whose chunks all meet
+    points = {length: p for length, p in points.items() if len(p) >= SPLIT_ROWS}
+    sizes = classes.filter(F.col("length").isin(list(points))).groupBy("length").agg(F.count("*").alias("rows"), F.count_distinct("label").alias("labels")).orderBy("length").collect() if points else []
     rng = np.random.default_rng(seed)
-    forest = [fit_tree(points, depth, margin, rng) for _ in range(trees)]
-    indexed = staged(classes.mapInArrow(_index(forest, margin), f"label {classes.schema['label'].dataType.simpleString()}, vector array<double>, id {kind}, many long, leaves array<long>"), "leaves")
+    forests = {}
+    for size in sizes:
+        sample = _unit(np.array(points[size["length"]], np.float64))
+        # a link spans at most sqrt(2 - 2 threshold); along a random direction about that over sqrt(dimensions)
+        margin = SPILL * np.sqrt((2 - 2 * threshold) / size["length"]) / 2
+        depth = max(0, int(np.ceil(np.log2(size["rows"] / size["labels"] / leaf)))) if size["rows"] > leaf else 0
+        # without splits all trees are the same single leaf
+        forests[size["length"]] = ([fit_tree(sample, depth, margin, rng) for _ in range(trees if depth else 1)], margin)
+    indexed = staged(classes.mapInArrow(_index(forests), f"label {classes.schema['label'].dataType.simpleString()}, vector array<double>, id {kind}, many long, length int, leaves array<long>"), "leaves")
     dealt = indexed.withColumn("leaf", F.explode("leaves"))
-    counts = indexed.select("label", F.explode("leaves").alias("leaf")).groupBy("label", "leaf").agg(F.ceil(F.count("*") / (BLOCK // 2)).cast("int").alias("chunks"))
-    dealt = dealt.join(counts, ["label", "leaf"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    counts = indexed.select("label", "length", F.explode("leaves").alias("leaf")).groupBy("label", "length", "leaf").agg(F.ceil(F.count("*") / (BLOCK // 2)).cast("int").alias("chunks"))
+    dealt = dealt.join(counts, ["label", "length", "leaf"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     other = F.explode(F.expr("transform(sequence(0, chunks - 1), o -> struct(least(chunk, o) AS i, greatest(chunk, o) AS j))"))
-    blocks = dealt.withColumn("pair", other).select("label", "leaf", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "chunk", "id", "many", "vector", "leaves")
-    found = staged(blocks.groupBy("label", "leaf", "i", "j").applyInPandas(_compare(threshold), f"id {kind}, links long, mate {kind}"), "links")
+    blocks = dealt.withColumn("pair", other).select("label", "length", "leaf", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "chunk", "id", "many", "vector", "leaves")
+    found = staged(blocks.groupBy("label", "length", "leaf", "i", "j").applyInPandas(_compare(threshold), f"id {kind}, links long, mate {kind}"), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     label = components(found.select(F.col("id").alias("a"), F.col("mate").alias("b")).filter("a <> b"))
     classed = classes.select("label", "vector", F.col("id").alias("class_id"), "many")
