@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import contamination, near_duplicates, substring
+from brute import Union, contamination, near_duplicates, substring
 
 from tidebar.llm import decontaminate, minhash, packing, substring_dedup, tokens
 
@@ -112,6 +112,30 @@ def test_minhash_large_bucket_of_near_copies(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in nulls) == [(-1, -1, True), (1, 1, True)]
 
 
+def test_minhash_meets_every_pair_of_a_large_bucket(spark):
+    """One large family and many small ones share a bucket: members of small families meet one another too."""
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(120)]
+    rows = []
+    for family, members in enumerate([300] + [2] * 40):
+        own = [f"f{family}x{i}" for i in range(80)]
+        for _ in range(members):
+            w = common + own
+            w[rng.randrange(120, 200)] = f"z{len(rows)}"
+            rows.append((1000 + len(rows), " ".join(w)))
+    out = minhash.near_duplicates(spark.createDataFrame(rows, DOCS), bands=2, rows=1).collect()
+    batch = pa.RecordBatch.from_pylist([{"id": i, "text": t} for i, t in rows])
+    signed = [(i, b) for part in minhash._sign(2, 1)(iter([batch])) for i, b in zip(part.column("id").to_pylist(), part.column("bands").to_pylist())]
+    shared = [(i, j) for x, (i, p) in enumerate(signed) for j, q in signed[:x] if set(p) & set(q)]
+    near, union = near_duplicates(rows), Union()
+    for i, j in shared:
+        if near[i] == near[j]:  # any two of a family are alike
+            union.join(i, j)
+    found = {i: union.find(i) for i, _ in rows}
+    assert sum(i != c for i, c in found.items()) > 320
+    assert {r.doc_id: r.component_id for r in out} == found
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(5)
     element = rng.integers(1, 2**63, 300).astype(np.uint64)

@@ -9,8 +9,9 @@ when its time passes the latest of the components. Equal components estimate sum
 Texts with the same words are one class first. The classes' signatures are cut into bands; classes of one band bucket
 are candidates: all pairs of a small bucket, in a large one each class with the most central one (by how many classes its
 buckets hold), which for copies of a text is the text. Candidates are verified on the multisets themselves. Classes of a large
-bucket that stay apart from its centre meet in further rounds, with centres drawn anew in every bucket, until a
-round finds no new link; a pair shares nine bands on average, so it is met in as many buckets.
+bucket that stay apart from its centre meet in further rounds, by one row for each component, until a round finds no new
+link. These rounds only spare work: at last all pairs of a large bucket that are still in different components are verified, in blocks
+of two chunks of the bucket. A pair that shares several buckets is verified in the first.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +33,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 36, 6
 #: Buckets up to this size give all their pairs (at most 3.5 a class).
 SMALL = 8
-#: Rounds go on until one finds no new link, at most so many.
+#: Rounds go on until one finds no new link, at most so many; the pairs they leave are verified in blocks.
 ROUNDS = 6
+#: Wanted classes and shingles of a chunk of a large bucket.
+CHUNK, CHUNK_SHINGLES = 128, 1 << 17
 
 
 def shingles(words: np.ndarray, rows: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +149,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed_docs = staged(texts.mapInArrow(_sign(bands, rows), f"id {kind}, h1 long, h2 long, size long, bands array<long>"), "signatures")
     full = signed_docs.filter("size > 0")
-    classes = staged(full.groupBy("h1", "h2").agg(F.min("id").alias("class_id"), F.first("bands").alias("bands")), "classes")
+    classes = staged(full.groupBy("h1", "h2").agg(F.min("id").alias("class_id"), F.first("bands").alias("bands"), F.first("size").alias("size")), "classes")
     spread = classes.select(F.explode("bands").alias("key"), F.col("class_id").alias("id"))
     busy = spread.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     rows_in = spread.join(busy, "key")
@@ -163,6 +167,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         todo = staged(_apart(held, label, turn), "apart")
         if not todo.limit(1).count():
             break
+    rest = _rest(held, classes, label, texts, threshold)
+    if rest is not None:
+        label = components(links.union(rest))
     same = full.join(classes.select("h1", "h2", "class_id"), ["h1", "h2"]).select("id", "class_id")
     same = same.join(label, F.col("class_id") == F.col("node"), "left").select("id", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     # one document is one row here, whatever its rows
@@ -193,3 +200,95 @@ def _apart(rows: DataFrame, label: DataFrame, turn: int) -> DataFrame:
     each = named.groupBy("key", "component").agg(F.max(draw).alias("one"), F.count("*").alias("n"))
     large = each.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).filter(f"n > {SMALL} and parts > 1").select("key")
     return each.join(large, "key").select("key", "one.id", (F.col("n") * (1 << 20) + F.pmod("one.score", F.lit(1 << 20))).alias("score"))
+
+
+def _rest(held: DataFrame, classes: DataFrame, label: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
+    """Links (a, b) between components that share a large bucket, from all pairs that it holds; None without such pairs."""
+    kind = held.schema["id"].dataType.simpleString()
+    facts = classes.select(F.col("class_id").alias("id"), "bands", "size").join(label, F.col("id") == F.col("node"), "left")
+    facts = facts.select("id", "bands", "size", F.coalesce("component", "id").alias("component"))
+    rows = held.select("key", "id").distinct().join(facts, "id")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.min("component").alias("low"), F.max("component").alias("high"))
+    sizes = sizes.filter((F.col("n") > SMALL) & (F.col("low") < F.col("high")))
+    chunks = F.ceil(F.greatest(F.col("n") / CHUNK, F.col("shingles") / CHUNK_SHINGLES)).cast("int")
+    dealt = rows.join(sizes.select("key", chunks.alias("chunks")), "key").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    other = F.explode(F.expr("transform(sequence(0, chunks - 1), o -> struct(least(chunk, o) AS i, greatest(chunk, o) AS j))"))
+    blocks = dealt.withColumn("pair", other).select("key", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "chunk", "id", "bands", "size", "component")
+    # texts go only where a pair needs them
+    needed = staged(blocks.groupBy("key", "i", "j").applyInPandas(_needed(threshold), f"key long, i int, j int, chunk int, id {kind}, bands array<long>, component {kind}"), "needed")
+    if needed.isEmpty():
+        return None
+    full = needed.join(texts, "id")
+    return staged(full.groupBy("key", "i", "j").applyInPandas(_block_links(threshold), f"a {kind}, b {kind}"), "rest")
+
+
+def _partners(block: pd.DataFrame):
+    """A function of row and components: the later rows that the row has to meet in this block."""
+    key, i, j = (int(block[c].iloc[0]) for c in ("key", "i", "j"))
+    bands, chunk = np.stack(block["bands"].to_numpy()), block["chunk"].to_numpy()
+    at = np.arange(len(block))
+
+    def run(row: int, component: np.ndarray) -> np.ndarray:
+        others = np.flatnonzero((component != component[row]) & ((at > row) if i == j else (chunk != chunk[row]) & (chunk[row] == i)))
+        equal = bands[others] == bands[row]
+        return others[bands[row][equal.argmax(axis=1)] == key]  # an earlier common bucket has the pair
+
+    return run
+
+
+def _needed(threshold: float):
+    """Rows of a block that have a pair to verify: in different components, and not too different in size for a link."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        partners = _partners(block)
+        size, component = block["size"].to_numpy(np.float64), pd.factorize(block["component"])[0]
+        need = np.zeros(len(block), bool)
+        for row in range(len(block)):
+            others = partners(row, component)
+            others = others[np.minimum(size[others], size[row]) >= (threshold - 1e-9) * np.maximum(size[others], size[row])]
+            need[others] = True
+            need[row] |= len(others) > 0
+        return block.loc[need, ["key", "i", "j", "chunk", "id", "bands", "component"]]
+
+    return run
+
+
+def _block_links(threshold: float):
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        partners = _partners(block)
+        elements = []
+        start = 0
+        for part in slices([pa.RecordBatch.from_arrays([pa.array(block["text"], pa.string())], ["text"])]):
+            words, cuts, _ = words_of(part.column("text"), plain=True)
+            _, hashes, row, count = multiset(*shingles(words, cuts))
+            elements.append((hashes, row + start, count))
+            start += part.num_rows
+        hashes, owner, count = (np.concatenate(x) for x in zip(*elements))
+        order = np.argsort(owner, kind="stable")
+        owner, count = owner[order], count[order]
+        code = np.unique(hashes, return_inverse=True)[1][order]
+        cuts = np.searchsorted(owner, np.arange(len(block) + 1))
+        size = np.bincount(owner, count, len(block))
+        component, weight = pd.factorize(block["component"])[0], np.zeros(len(hashes), np.int64)
+        a, b = [], []
+        for row in range(len(block)):
+            others = partners(row, component)
+            others = others[np.minimum(size[others], size[row]) >= (threshold - 1e-9) * np.maximum(size[others], size[row])]
+            if not len(others):
+                continue
+            own = slice(cuts[row], cuts[row + 1])
+            weight[code[own]] = count[own]
+            wanted = np.zeros(len(block), bool)
+            wanted[others] = True
+            pick = wanted[owner]
+            common = np.bincount(owner[pick], np.minimum(weight[code[pick]], count[pick]), len(block))[others]
+            weight[code[own]] = 0
+            for other in others[common / np.maximum(size[others] + size[row] - common, 1) >= threshold - 1e-12].tolist():
+                if component[other] != component[row]:
+                    component[component == component[other]] = component[row]
+                    a.append(row)
+                    b.append(other)
+        ids = block["id"].to_numpy()
+        return pd.DataFrame({"a": ids[a], "b": ids[b]}) if a else pd.DataFrame({"a": ids[:0], "b": ids[:0]})
+
+    return run
