@@ -176,3 +176,24 @@ def test_embedding_chains_are_one_component(spark, rows):
     assert {out[int(i)].component_id for i in order} == {min(order)}
     assert [out[int(i)].n_links for i in order] == [1] + [2] * (rows - 2) + [1]
     assert sum(out[int(i)].kept for i in order) == 1
+
+
+def test_long_pages_lose_only_lines_that_an_alignment_shares():
+    a, b = [f"a{i}" for i in range(2100)], [f"b{i}" for i in range(2100)]
+    # a is before b on one page and after it on the other: one of them is shared, not both
+    taken = page_text.shared(["x", *a, *b, "q"], ["y", *b, *a, "r"])
+    assert len(taken) == 2100
+
+
+def test_alignments_are_longest():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        a, b = (rng.integers(0, 6, rng.integers(0, 90)).astype(str).tolist() for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        taken = page_text.shared(a, b)
+        assert len(taken) == best[-1][-1]
+        rest = iter(b)
+        assert all(a[i] in rest for i in sorted(taken))

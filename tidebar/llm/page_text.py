@@ -14,6 +14,7 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +40,8 @@ MARKS = {
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
-#: More lines than this on both sides are aligned by their common lines alone.
-ALIGN = 2000
+#: Rows of the alignment that are kept at each level, so that its space grows with the lines, not with their product.
+CUTS = 16
 
 
 def marked(attributes: str) -> bool:
@@ -110,22 +111,40 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     common = set(a[start:stop_a]) & set(b[start:stop_b])
     x = [i for i in range(start, stop_a) if a[i] in common]
     y = [j for j in range(start, stop_b) if b[j] in common]
-    if len(x) * len(y) > ALIGN * ALIGN:
-        return out | set(x)
-    table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        row, below, line = table[i], table[i + 1], a[x[i]]
-        for j in range(len(y) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if line == b[y[j]] else max(below[j], row[j + 1])
-    i = j = 0
-    while i < len(x) and j < len(y):
-        if a[x[i]] == b[y[j]]:
-            out.add(x[i])
-            i, j = i + 1, j + 1
-        elif table[i + 1][j] >= table[i][j + 1]:
-            i += 1
-        else:
-            j += 1
+    if not x:
+        return out
+    number = {line: k for k, line in enumerate(common)}
+    left, right = [number[a[i]] for i in x], np.array([number[b[j]] for j in y])
+
+    def above(i: int, below: np.ndarray) -> np.ndarray:
+        """Lengths from row i on, for each start in y, from those of the row below."""
+        row = below.copy()
+        row[:-1] = np.where(right == left[i], below[1:] + 1, below[:-1])
+        return np.maximum.accumulate(row[::-1])[::-1]
+
+    def walk(top: int, end: int, below: np.ndarray, j: int) -> int:
+        """Takes rows top to end from place j on; below is row end. Keeps CUTS rows a level and finds the others again."""
+        step = -(-(end - top) // CUTS)
+        rows = {end: below}
+        for i in range(end - 1, top - 1, -1):
+            below = above(i, below)
+            if (i - top) % step == 0:
+                rows[i] = below
+        for i in range(top, end, step):
+            if step > 1:
+                j = walk(i, min(i + step, end), rows[min(i + step, end)], j)
+                continue
+            while j < len(y):
+                if left[i] == right[j]:
+                    out.add(x[i])
+                    j += 1
+                    break
+                if rows[i + 1][j] >= rows[i][j + 1]:
+                    break
+                j += 1
+        return j
+
+    walk(0, len(x), np.zeros(len(y) + 1, np.int32), 0)
     return out
 
 
