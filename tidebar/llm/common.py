@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,18 +15,30 @@ from pyspark.sql import functions as F
 BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
 #: Bytes and rows of text that a worker hashes at once; one longer text is a slice of its own.
-SLICE_BYTES, SLICE_ROWS = 1 << 20, 2048
+SLICE_BYTES, SLICE_ROWS = 1 << 19, 1024
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a temporary one only where the session names none."""
+    """The shared folder for intermediate tables. A session without one gets a temporary folder if it runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def give_back() -> None:
+    """Returns a worker's free memory to the system: workers are kept between tasks, and stages with other needs follow."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        return
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts the lineage and survives lost executors."""
     path = f"{scratch(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
@@ -106,7 +119,8 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each slice holds at most SLICE_BYTES of text and SLICE_ROWS rows, or one row."""
+    """Cuts batches so that each slice holds at most SLICE_BYTES of text and SLICE_ROWS rows, or one row; at the end of the task
+    free memory goes back to the system."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -116,6 +130,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             to = min(max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, "right")) - 1), at + SLICE_ROWS)
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def word_spans(is_word: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
