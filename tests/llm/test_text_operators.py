@@ -55,6 +55,16 @@ def test_substring_dedup_edges(spark):
     assert substring_dedup.substring_dedup(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_substring_dedup_tells_windows_of_one_hash_apart(spark):
+    """Two sequences with equal first hashes are equal only if the second agrees."""
+    n = np.arange(6)
+    same = np.full(6, 7, np.uint64)
+    for checks, want in ((np.array([1, 1, 2, 3, 3, 4], np.uint64), [0, 1, 3, 4]), (same[:0], [0, 1, 2, 3, 4, 5])):
+        dealt = [next(iter(substring_dedup._deal(same[i : i + 1], checks[i : i + 1], n[i : i + 1], n[i : i + 1], 1))) for i in range(6)]
+        back = substring_dedup._repeated(pa.Table.from_batches(dealt).to_pandas())
+        assert sorted(x for ids in back["ids"] for x in ids) == want
+
+
 def test_recompression_names_equal_substrings_alike():
     rng = np.random.default_rng(3)
     for alphabet in (2, 5, 200):
@@ -146,14 +156,38 @@ def test_signatures_estimate_weighted_jaccard():
     assert abs((sign[0] == sign[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.03
 
 
-def test_encoder_equals_tokenizer():
+def plain_tokenizer():
+    """As anyone would load it."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def token_texts(n):
     rng = random.Random(2)
     parts = [*"abst'rvmld  \n\té\u00a0\u0085²12!%.", "'s", "'re", "'ll", "'Ve", " ", "中", "\U0001f600", "<|endoftext|>", "Ā", "ɐ"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(4000)] + ["", None, " ", "'s", "x" * 3000]
-    encoder = tokens.Encoder()
-    ids, cuts = encoder.encode(pa.array(texts))
-    want = [x.ids for x in tokens.tokenizer().encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(n)] + ["", None, " ", "'s", "x" * 3000, "a <|endoftext|> b"]
+
+
+def test_encoder_equals_tokenizer():
+    texts = token_texts(4000)
+    ids, cuts = tokens.Encoder().encode(pa.array(texts))
+    want = [x.ids for x in plain_tokenizer().encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])] == want
+    assert want[-1] == [64, 220, 50256, 275]
+
+
+def test_encoder_survives_equal_hashes_and_a_full_cache(monkeypatch):
+    texts = [t for t in token_texts(300) if t]
+    want = [x.ids for x in plain_tokenizer().encode_batch(texts, add_special_tokens=False)]
+    whole = tokens.span_hash
+    monkeypatch.setattr(tokens, "span_hash", lambda *a: whole(*a) % np.uint64(50))
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 20)
+    encoder = tokens.Encoder()
+    for at in range(0, len(texts), 50):
+        ids, cuts = encoder.encode(pa.array(texts[at : at + 50]))
+        assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])] == want[at : at + 50]
 
 
 def test_plan_is_gapless_and_tight():
@@ -179,11 +213,12 @@ def test_plan_is_gapless_and_tight():
 
 
 def test_packing_covers_every_token(spark):
-    rows = [*corpus(1, 30), (5, "again"), (None, "no id"), (6, "word " * 4000), (7, "中文 " * 900)]
+    rows = [*corpus(1, 30), (5, "again"), (None, "no id"), (6, "word " * 4000), (7, "中文 " * 900), (8, "a <|endoftext|> b"), (9, "x y " * 60_000)]
+    plain = plain_tokenizer()
     out = packing.pack(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
     want = collections.Counter()
     for i, t in rows:
-        ids = [*tokens.tokenizer().encode(t or "", add_special_tokens=False).ids, 2]
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 2]
         head = (len(ids) - 1) % 1024 + 1
         cuts = [0, *range(head, len(ids) + 1, 1024)]
         for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):

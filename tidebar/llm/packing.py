@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.llm.common import slices, staged
-from tidebar.llm.tokens import Encoder
+from tidebar.llm.tokens import encoder
 
 CAPACITY = 1024
 END = 2
@@ -90,11 +90,11 @@ _PIECE = "piece int, start long, length long, ids_crc32 long, __task int, __rank
 
 def _cut(capacity: int, end: int, vocabulary: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        known = encoder(vocabulary)
         task = TaskContext.get().partitionId()
         met = np.zeros(capacity + 1, np.int64)
         for part in slices(batches):
-            ids, cuts = encoder.encode(part.column("text"))
+            ids, cuts = known.encode(part.column("text"))
             rows = part.num_rows
             tokens = np.insert(ids, cuts[1:], end).astype("<u4")
             total = np.diff(cuts) + 1
