@@ -8,10 +8,10 @@ each boundary goes the span of words that decides it, so a symbol speaks for a w
 that made it.
 
 Round 1 (reveal): the symbols of the last round are counted over the corpus; a window that holds a symbol found once
-cannot occur twice. Round 2 (verify): the windows left are compared as whole word sequences. Both rounds deal
-their hashes to buckets by an independent hash, so that (bucket, hash) identifies a sequence with more bits as the corpus, and
-with it the number of buckets, grows. Before the shuffle each task settles repeats within its own slice and sends
-one row for them, so a passage found in a third of all documents is no hot key.
+cannot occur twice. Equal names of different symbols only let a window through to the next round. Round 2 (verify): the windows left
+are compared by two independent 64-bit hashes of all their words, 128 bits together. Both rounds deal their hashes to buckets, whose number
+grows with the text. Before the shuffle each task settles repeats within its own slice and sends one row for them, so
+a passage found in a third of all documents is no hot key.
 """
 
 from __future__ import annotations
@@ -33,10 +33,10 @@ LEVELS = 5
 LEAST_BUCKETS, BUCKET_BYTES = 128, 64 << 20
 _FAR = np.int64(1) << np.int64(60)
 #: Hashes that a task holds before it sends them.
-SEND_ROWS = 1 << 19
-DEALT = ["hashes", "ids", "ats", "settled", "ride_ids", "ride_ats", "ride_sizes"]
-_DEALT = "bucket int, buckets int, hashes array<long>, ids array<long>, ats array<int>, settled array<boolean>, ride_ids array<long>, ride_ats array<int>, ride_sizes array<int>"
-_LIST = {c: pa.list_(pa.bool_() if c == "settled" else pa.int64() if c in ("hashes", "ids", "ride_ids") else pa.int32()) for c in DEALT}
+SEND_ROWS = 1 << 18
+DEALT = ["hashes", "checks", "ids", "ats", "settled", "ride_ids", "ride_ats", "ride_sizes"]
+_DEALT = "bucket int, buckets int, hashes array<long>, checks array<long>, ids array<long>, ats array<int>, settled array<boolean>, ride_ids array<long>, ride_ats array<int>, ride_sizes array<int>"
+_LIST = {c: pa.list_(pa.bool_() if c == "settled" else pa.int64() if c in ("hashes", "checks", "ids", "ride_ids") else pa.int32()) for c in DEALT}
 _EMPTY = pa.schema([("bucket", pa.int32()), ("buckets", pa.int32()), *_LIST.items()])
 _HOME = "home long, ids array<long>, ats array<int>, ride_ids array<long>, ride_ats array<int>, ride_sizes array<int>"
 
@@ -82,14 +82,22 @@ def _document_edges(rows: np.ndarray) -> np.ndarray:
     return edges
 
 
-def _deal(hashes: np.ndarray, ids: np.ndarray, ats: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """One row for each bucket. Of equal hashes one goes to its bucket, marked as settled; the places of the others go along as
-    ranges, since neighbours repeat together."""
+def _sorted(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order that brings equal sequences together, True where another one begins); without checks the hashes alone decide."""
+    if not len(checks):
+        order = np.argsort(hashes, kind="stable")
+        return order, np.append(True, hashes[order][1:] != hashes[order][:-1])
+    order = np.lexsort((checks, hashes))
+    h, c = hashes[order], checks[order]
+    return order, np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]))
+
+
+def _deal(hashes: np.ndarray, checks: np.ndarray, ids: np.ndarray, ats: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """One row for each bucket. Of equal sequences one goes to its bucket, marked as settled; the places of the others go along as
+    ranges, since neighbours repeat together. checks: a second hash of each, or none."""
     if not len(hashes):
         return
-    order = np.argsort(hashes, kind="stable")
-    h = hashes[order]
-    new = np.append(True, h[1:] != h[:-1])
+    order, new = _sorted(hashes, checks)
     again = (np.append(~new[1:], False) | ~new)[new]
     lead, rest = order[new], np.sort(order[~new])
     bucket = (mix(hashes[lead] ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(buckets)).astype(np.int64)
@@ -109,6 +117,7 @@ def _deal(hashes: np.ndarray, ids: np.ndarray, ats: np.ndarray, buckets: int) ->
             pa.array(used, pa.int32()),
             pa.array(np.full(len(used), buckets), pa.int32()),
             ragged(signed(hashes[lead]), own, pa.int64()),
+            ragged(signed(checks[lead]), own, pa.int64()) if len(checks) else ragged(np.zeros(0, np.int64), np.zeros(len(own), int), pa.int64()),
             ragged(ids[lead], own, pa.int64()),
             ragged(ats[lead], own, pa.int32()),
             ragged(again, own, pa.bool_()),
@@ -121,12 +130,10 @@ def _deal(hashes: np.ndarray, ids: np.ndarray, ats: np.ndarray, buckets: int) ->
 
 
 def _repeated(bucket: pd.DataFrame) -> pd.DataFrame:
-    """Of a bucket: the places whose hash occurs elsewhere too, by document, as places and ranges."""
-    hashes, ids, ats, settled, ride_ids, ride_ats, ride_sizes = (np.concatenate(bucket[c].to_numpy()) for c in DEALT)
-    order = np.argsort(hashes, kind="stable")
-    h = hashes[order]
-    same = np.zeros(len(h), bool)
-    same[1:] = h[1:] == h[:-1]
+    """Of a bucket: the places whose sequence occurs elsewhere too, by document, as places and ranges."""
+    hashes, checks, ids, ats, settled, ride_ids, ride_ats, ride_sizes = (np.concatenate(bucket[c].to_numpy()) for c in DEALT)
+    order, new = _sorted(hashes, checks)
+    same = ~new[: len(order)]
     same[:-1] |= same[1:]
     found = settled.astype(bool)
     found[order] |= same
@@ -159,8 +166,8 @@ class _Sender:
     def __init__(self, buckets: int):
         self.buckets, self.held, self.n = buckets, [], 0
 
-    def add(self, hashes: np.ndarray, ids: np.ndarray, ats: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held.append((hashes, ids, ats.astype(np.int32)))
+    def add(self, hashes: np.ndarray, checks: np.ndarray, ids: np.ndarray, ats: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((hashes, checks, ids, ats.astype(np.int32)))
         self.n += len(hashes)
         if self.n >= SEND_ROWS:
             yield from self.flush()
@@ -191,7 +198,7 @@ def _symbols(levels: int, window: int, buckets: int):
             words, rows, _ = words_of(part.column("text"))
             if len(words):
                 name, _, _, row, ordinal = _usable(words, rows, levels, window)
-                yield from sender.add(name, _ids(part)[row], ordinal)
+                yield from sender.add(name, name[:0], _ids(part)[row], ordinal)
         yield from sender.flush()
 
     return run
@@ -243,8 +250,8 @@ def _windows(levels: int, window: int, buckets: int):
             doc = row_of(rows)[at]
             inside = at + window <= rows[doc + 1]
             at, doc = at[inside], doc[inside]
-            hashes = span_hash(prefix_hash(words), at, at + window)
-            sent += sender.add(hashes, _ids(part)[doc], at - rows[doc])
+            hashes, checks = (span_hash(prefix_hash(x), at, at + window) for x in (words, mix(words)))
+            sent += sender.add(hashes, checks, _ids(part)[doc], at - rows[doc])
         sent += sender.flush()
         return pa.Table.from_batches(sent, schema=sent[0].schema if sent else _EMPTY)
 
@@ -300,7 +307,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged; windows are judged on the input. Returns all columns of docs and n_words,
     n_removed, kept_text (kept words joined by one space), kept_sha256; a column of docs with one of these names gives way.
     A null or empty text has no words and an empty kept_text. Repeated rows repeat each other's windows, so both lose them.
-    keep: the columns of docs to return (all). An id may be null or repeat: rows are told apart by id and text together. No rows in, no rows out.
+    keep: the columns of docs to return (all). An id may be null or repeat: rows are told apart by a 64-bit hash of id and text together; rows equal in
+    both are dealt with in one task. No rows in, no rows out.
     """
     made = ["n_words", "n_removed", "kept_text", "kept_sha256"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
