@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import bounded_sample, staged
+from tidebar.llm.common import bounded_sample, give_back, slices, staged
 
 MAGIC = 0x184D2A5D
 REVISIT_BYTES = 1000
@@ -92,8 +92,24 @@ def dictionary_frame(dictionary: bytes) -> bytes:
     return struct.pack("<II", MAGIC, len(body)) + body
 
 
+def frame_size(data: memoryview) -> int:
+    """Bytes of the Zstandard frame that data begins with, from the headers of its blocks."""
+    head = bytes(data[:18])
+    at, last = zstandard.frame_header_size(head), False
+    while not last:
+        if at + 3 > len(data):
+            raise ValueError("a cut archive")
+        block = int.from_bytes(data[at : at + 3], "little")
+        last, repeated = block & 1, block >> 1 & 3 == 1
+        at += 3 + (1 if repeated else block >> 3)
+    at += 4 * zstandard.get_frame_parameters(head).has_checksum
+    if at > len(data):
+        raise ValueError("a cut archive")
+    return at
+
+
 def read_archive(content: bytes) -> Iterator[bytes]:
-    """The records of an archive, in order."""
+    """The records of an archive, in order; each frame is read once."""
     magic, size = struct.unpack_from("<II", content)
     if magic != MAGIC:
         raise ValueError("no leading dictionary frame")
@@ -101,12 +117,9 @@ def read_archive(content: bytes) -> Iterator[bytes]:
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
     rest = memoryview(content)[8 + size :]
     while len(rest):
-        one = reader.decompressobj()
-        record = one.decompress(rest)
-        if not one.eof:
-            raise ValueError("a cut archive")
-        yield record
-        rest = rest[len(rest) - len(one.unused_data) :]
+        stop = frame_size(rest)
+        yield reader.decompress(rest[:stop])
+        rest = rest[stop:]
 
 
 def train_dictionary(payloads: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -130,7 +143,7 @@ def _write(dictionary: bytes, limit: int):
         def archive() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f"part-{task:06d}-{number:05d}.warc.zst"]), pa.array([len(held)], pa.int64()), pa.array([b"".join([frame, *held])], pa.binary())], ["name", "records", "content"])
 
-        for batch in batches:
+        for batch in slices(batches, "html"):
             for at in range(batch.num_rows):
                 page, url, html, digest, length, refers = (batch.column(i)[at].as_py() for i in range(6))
                 held.append(packer.compress(build_record(page, url, b"" if refers is not None else (html or "").encode(), digest, length, refers)))
@@ -149,15 +162,17 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     for batch in batches:
         for content in batch.column("content"):
-            rows = [parse_record(x) for x in read_archive(content.as_py())]
+            rows = [{n: r[n] for n in names} for r in map(parse_record, read_archive(content.as_py()))]
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
+    give_back()
 
 
 def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Archives (name, records, content) of all pages: page_id, url, html (null: empty). The table is stored before it is returned.
 
     Of pages with equal payloads of at least REVISIT_BYTES those with the largest page_id are responses (all of them, if the
-    row is repeated), the others revisits; a page without an id is a revisit of one that has an id, or else a response."""
+    row is repeated), the others revisits; a page without an id is a revisit of one that has an id, or else a response. Ids are
+    integers; other columns of pages are not archived. No rows in, no archives out."""
     html = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     facts = keyed.select("page_id", F.sha1(html).alias("digest"), F.octet_length(html).cast("long").alias("length"))
