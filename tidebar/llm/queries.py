@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebar.llm import decontaminate, embedding_dedup, minhash, oracle, packing, page_text, quality, sharding, substring_dedup, url_filter, warc
+from tidebar.llm.common import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,8 +29,11 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    out = sharding.shard(table(spark, folder, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+    """Law `bytes`: the slot map is rebalanced by what its slots hold. The map is stored anew for each call."""
+    path = f"{scratch(spark)}/slot-map-{uuid.uuid4().hex}"
+    out = sharding.shard(table(spark, folder, "documents").select("doc_id", "text"), path)
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return out.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, "virtual_slot", "map_version")
 
 
 def op4_page_text(spark: SparkSession, folder: str) -> DataFrame:

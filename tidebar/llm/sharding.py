@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import heapq
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLOTS = 4096
 SHARDS = 24
+#: Parts of a slot that are numbered each on its own.
+PARTS = 8
 #: What a record costs besides its text, in bytes.
 OVERHEAD = 8
 _MAP = "version int, virtual_slot int, shard int, bytes long"
@@ -26,7 +29,9 @@ def slot_of(column, slots: int = SLOTS):
 
 def measured(docs: DataFrame, id_col: str, text_col: str, slots: int) -> DataFrame:
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + OVERHEAD
-    return docs.withColumns({"__size": size, "__virtual": slot_of(F.col(id_col), slots)})
+    key, text = F.col(id_col), F.col(text_col)
+    virtual = F.when(key.isNull(), slot_of(text, slots)).otherwise(slot_of(key, slots))
+    return docs.withColumns({"__size": size, "__virtual": virtual, "__part": F.pmod(F.xxhash64(F.lit(1), key, text), F.lit(PARTS)).cast("int")})
 
 
 def slot_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> dict[int, int]:
@@ -66,8 +71,11 @@ def rebalance(owner: list[int], weight: dict[int, int], shards: int) -> list[int
     held = [[] for _ in range(shards)]
     for slot, shard in enumerate(owner):
         held[shard].append(slot)
+    open_ = set(range(shards))  # a shard that a single slot overfills is left as it is
     for _ in range(64 * shards):
-        high, low = max(range(shards), key=lambda s: (load[s], s)), min(range(shards), key=lambda s: (load[s], s))
+        if len(open_) < 2:
+            break
+        high, low = max(open_, key=lambda s: (load[s], s)), min(open_, key=lambda s: (load[s], s))
         gap = load[high] - load[low]
         # the best move or swap brings across half the gap
         light = [(weight.get(x, 0), x) for x in held[low]] + [(0, -1)]
@@ -82,7 +90,8 @@ def rebalance(owner: list[int], weight: dict[int, int], shards: int) -> list[int
                 if 0 < w - v < gap and rest < best[0]:
                     best = (rest, (x, y, w - v))
         if best[1] is None:
-            break
+            open_.discard(high)
+            continue
         x, y, moved = best[1]
         held[high].remove(x)
         held[low].append(x)
@@ -126,9 +135,14 @@ def save_map(spark: SparkSession, path: str, version: int, owner: list[int], wei
     spark.createDataFrame(rows, _MAP).coalesce(1).write.mode("append").parquet(path)
 
 
-def load_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list[int]]:
-    """(version, shard of each slot); the newest version unless one is named."""
-    table = spark.read.schema(_MAP).parquet(path)
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, list[int]] | None:
+    """(version, shard of each slot); the newest version unless one is named; None if nothing is stored there."""
+    try:
+        table = spark.read.schema(_MAP).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
     version = table.agg(F.max("version")).first()[0] if version is None else version
     rows = table.filter(F.col("version") == version).collect()
     owner = [0] * len(rows)
@@ -140,21 +154,21 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> tupl
 def assign(docs: DataFrame, owner: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All documents with size, text_crc32, virtual_slot, shard, and slot: the row's place in its shard, gapless from 0.
 
-    A shard's rows are numbered slot by slot (virtual slots are the unit of the sort), by id within one. A null text is
-    empty, a null id is a value of its own; rows with equal ids share a virtual slot and are numbered in any order."""
+    A shard's rows are numbered slot by slot, and within a slot part by part (PARTS parts by a hash of the whole record), by id in
+    a part, so that no slot is sorted in one task. A null text is empty. Rows with equal ids share a virtual slot and are numbered in any
+    order; rows without an id are spread by their text. Other columns are not read."""
     slots = len(owner)
-    cells = measured(docs.select(F.col(id_col).alias("__key"), F.col(text_col).alias("__text")), "__key", "__text", slots).select(
-        "__key", "__virtual", "__size", F.crc32(F.coalesce(F.col("__text"), F.lit(""))).alias("text_crc32")
-    )
-    counts = {x["__virtual"]: x["count"] for x in docs.select(slot_of(F.col(id_col), slots).alias("__virtual")).groupBy("__virtual").count().collect()}
-    base, before = [0] * slots, {}
+    rows = docs.select(F.col(id_col).alias("__key"), F.col(text_col).alias("__text"))
+    cells = measured(rows, "__key", "__text", slots).select("__key", "__virtual", "__part", "__size", F.crc32(F.coalesce(F.col("__text"), F.lit(""))).alias("text_crc32"))
+    counts = {(x["__virtual"], x["__part"]): x["count"] for x in cells.groupBy("__virtual", "__part").count().collect()}  # at most slots * PARTS
+    first, before = [], {}
     for slot, shard in enumerate(owner):
-        base[slot] = before.get(shard, 0)
-        before[shard] = base[slot] + counts.get(slot, 0)
-    place = F.row_number().over(Window.partitionBy("__virtual").orderBy("__key", "text_crc32", "__size")) - 1
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(s, owner[s], base[s]) for s in range(slots)], "slot_id int, shard int, base long")
-    joined = cells.withColumn("__place", place).join(F.broadcast(table), F.col("__virtual") == F.col("slot_id"))  # `slots` rows
+        for part in range(PARTS):
+            first.append((slot, part, shard, before.get(shard, 0)))
+            before[shard] = first[-1][3] + counts.get((slot, part), 0)
+    place = F.row_number().over(Window.partitionBy("__virtual", "__part").orderBy("__key", "text_crc32", "__size")) - 1
+    table = docs.sparkSession.createDataFrame(first, "slot_id int, part_id int, shard int, base long")
+    joined = cells.withColumn("__place", place).join(F.broadcast(table), (F.col("__virtual") == F.col("slot_id")) & (F.col("__part") == F.col("part_id")))
     return joined.select(
         F.col("__key").alias(id_col),
         F.col("__size").alias("size"),
@@ -165,21 +179,21 @@ def assign(docs: DataFrame, owner: list[int], id_col: str = "doc_id", text_col:
     )
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Deals all documents to `shards` shards of nearly equal bytes (text bytes and 8 for each record).
+def shard(docs: DataFrame, path: str, shards: int = SHARDS, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Deals all documents to `shards` shards of nearly equal bytes (text bytes and 8 for each record), with map_version.
 
-    With path, versions 1 (slots in turn) and 2 (rebalanced by bytes) of the map go to that table, or a further version
-    if it holds some already. No rows in, no rows out."""
+    path: the stored map, in a folder that all executors share. An empty one gets versions 1 (slots in turn) and 2 (rebalanced by bytes);
+    another gets one more version, which moves only the slots that have to move. The rows follow the version as it is read
+    back. No rows in, no rows out."""
+    spark = docs.sparkSession
     weight = slot_bytes(docs, id_col, text_col, slots)
-    version, owner = 1, first_map(shards, slots)
-    if path:
-        try:
-            version, owner = load_map(docs.sparkSession, path)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            save_map(docs.sparkSession, path, version, owner, weight)
-    owner = rebalance(owner, weight, shards)
-    if path:
-        save_map(docs.sparkSession, path, version + 1, owner, weight)
-    return assign(docs, owner, id_col, text_col)
+    stored = load_map(spark, path)
+    if stored is None:
+        stored = 1, first_map(shards, slots)
+        save_map(spark, path, *stored, weight)
+    elif len(stored[1]) != slots:
+        raise ValueError(f"the stored map has {len(stored[1])} virtual slots, not {slots}")
+    version, owner = stored
+    save_map(spark, path, version + 1, rebalance(owner, weight, shards), weight)
+    version, owner = load_map(spark, path, version + 1)
+    return assign(docs, owner, id_col, text_col).withColumn("map_version", F.lit(version))
