@@ -1,5 +1,10 @@
 import collections
 import hashlib
+import os
+import re
+import time
+import uuid
+import zlib
 
 import numpy as np
 import pytest
@@ -62,6 +67,81 @@ def test_lines_shared_with_the_nearest_page_go(spark):
     assert texts(spark, rows) == {**{i: f"Text {i}" for i in range(1, 5)}, 9: "Alone"}
 
 
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        ("<article><p class='notice'>Cookie<p>Real one<p>Real two</article>", "Real one Real two"),
+        ("<article><ul><li class='ad'>x<li>kept<li>also</ul><table><tr><td class=share>s<td>cell</table></article>", "kept also cell"),
+        ("<article><div class='entry-header'><h1>Headline</h1></div><h1 class='article-header'>More</h1><p>x</article>", "Headline More x"),
+        ("<article><p>Please <span class='alert'>stop</span> here</p></article>", "Please stop here"),
+        ("<article><dl><dt>a<dd class=promo>b<dt>c<dd>d</dl></article>", "a c d"),
+        ("<article><div class=sidebar><p>a</div><p>b</article>", "b"),
+        ("<header>Site</header><article><header>Head</header><p>x</p></article>", "Head x"),
+        ("<div class=comments><p>one<div>two</div></div><p>text</p>", "text"),
+        ("<p>a</div></ul></li>b &lt;p&gt; \u00a0 c", "a b <p> c"),
+        ("<p>a<!-- <p>no --> b<script>if (a<b) '</p>'</script>c<style>p{}", "a b c"),
+    ],
+)
+def test_elements(body, text):
+    assert page_text.main_text(page_text.lines(body), None) == text
+
+
+def test_deep_and_long_pages_take_linear_time():
+    began = time.time()
+    assert page_text.lines("<div>" * 60_000 + "x" + "</p>" * 60_000 + "</div>" * 60_000)[0] == [("x", False, False)]
+    assert len(page_text.lines("<p>some line of text " * 60_000)[0]) == 60_000
+    assert time.time() - began < 20
+
+
+def site(n=400):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(n):
+        host = "big.com" if i % 3 == 0 else f"h{i % 7}.org"
+        path = "/" + "/".join(rng.choice(["a", "b", "news", "x1"], rng.integers(0, 4)).tolist()) + (f"/{i}" if i % 5 else "")
+        lines = [*rng.choice([f"menu {k}" for k in range(9)], 5).tolist(), f"Text {i} of {host}", *rng.choice([f"foot {k}" for k in range(5)], 3).tolist()]
+        rows.append((i, f"http://{host}{path}?q", "".join(f"<p>{x}" for x in lines), "z"))
+    rows += [(1000, None, "<p>no host"), (1001, "nothing", "<p>no host<p>own"), (1002, "http://lone.net/", "<p>Alone"), (1003, "http://big.com/", None), (None, "http://h1.org/a", "<p>menu 1<p>no id")]
+    return [(*r[:3], "z") for r in rows]
+
+
+def differenced(rows):
+    """Every page with the nearer page of its host, plainly."""
+    hosts = collections.defaultdict(list)
+    for i, url, page, _ in rows:
+        rest = (url or "").partition("://")[2] if "://" in (url or "") else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        hosts[host.lower()].append((re.match(r"[^?#]*", rest[len(host) :])[0].encode(), i is not None, i or 0, page_text.lines(page or "")))
+    start = lambda a, b: len(os.path.commonprefix([a.decode(), b.decode()]))
+    out = collections.Counter()
+    for own in hosts.values():
+        own.sort(key=lambda x: x[:3])
+        for at, (path, known, i, page) in enumerate(own):
+            near = [own[k] for k in (at - 1, at + 1) if 0 <= k < len(own)]
+            mate = max(near, key=lambda x: start(x[0], path))[3] if near else None
+            out[i if known else None, page_text.main_text(page, mate)] += 1
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 61])
+def test_neighbours_do_not_depend_on_partitions(spark, partitions):
+    rows, before = site(), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        out = page_text.extract(spark.createDataFrame(rows, PAGES + ", text string").repartition(5)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert collections.Counter((r.page_id, r.text) for r in out) == differenced(rows)
+    assert all(r.n_chars == len(r.text) for r in out) and out[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
+
+
+def test_repeated_pages_and_empty_tables(spark):
+    rows = [(1, "http://a.com/1", "<p>same<p>x")] * 9 + [(2, "http://a.com/1", "<article><p>kept</p></article>")] * 2
+    out = page_text.extract(spark.createDataFrame(rows, PAGES)).collect()
+    assert collections.Counter((r.page_id, r.text) for r in out) == {(1, ""): 9, (2, "kept"): 2}
+    assert page_text.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
 def test_common_subsequence():
     assert page_text.shared(list("abcxd"), list("abyd")) == {0, 1, 4}
     assert page_text.shared(list("xaybzc"), list("a1b2c")) == {1, 3, 5}
@@ -98,6 +178,21 @@ def test_warc_files(spark, tmp_path):
     assert payloads == {i: f"<p>{'text ' * i}".encode() for i in range(60)}
 
 
+def test_an_archive_is_read_in_one_pass():
+    import zstandard
+
+    rng = np.random.default_rng(1)
+    for checksum in (False, True):
+        packer = zstandard.ZstdCompressor(write_checksum=checksum)
+        records = [b"", b"a", b"z" * 700_000, rng.bytes(300_000), *[b"page %d" % i * (i % 50) for i in range(3000)]]
+        frames = [packer.compress(r) for r in records]
+        assert [warc.frame_size(memoryview(f + b"more" * 9)) for f in frames] == list(map(len, frames))
+        archive = warc.dictionary_frame(b"") + b"".join(frames)
+        assert list(warc.read_archive(archive)) == records
+        with pytest.raises((ValueError, zstandard.ZstdError)):
+            list(warc.read_archive(archive[:-3]))
+
+
 def test_dictionary_makes_small_records_smaller():
     pages = [f"<html><head><title>{i}</title></head><body><article><p>words {i * 7} and more words</p></article></body></html>".encode() for i in range(400)]
     import zstandard
@@ -106,19 +201,31 @@ def test_dictionary_makes_small_records_smaller():
     assert size(zstandard.ZstdCompressionDict(warc.train_dictionary(pages))) < 0.7 * size(None)
 
 
-def test_shards(spark):
-    rows = [(i, "x" * (i * 37 % 900)) for i in range(3000)] + [(5, "dup"), (None, None), (-1, "")]
-    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), path=scratch(spark) + "/slot-map-test").collect()
+def test_shards_against_a_plain_version(spark):
+    rows = [(i, "xé" * (i * 37 % 450), i) for i in range(3000)] + [(5, "dup", 1), (5, "dup", 1), (None, None, 2), (-1, "", 3), (None, "long " * 50_000, 4)] + [(None, f"null {i}", 0) for i in range(300)]
+    df, path = spark.createDataFrame(rows, "doc_id long, text string, size int"), f"{scratch(spark)}/slot-map-{uuid.uuid4().hex}"
+    out = sharding.shard(df, path).collect()
     load, places = collections.Counter(), collections.defaultdict(list)
     for r in out:
         load[r.shard] += r.size
         places[r.shard].append(r.slot)
-    assert len(out) == len(rows) and len(load) == 24 and max(load.values()) - min(load.values()) <= 16
+    facts = lambda i, t: (i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()))
+    assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in out) == collections.Counter(facts(i, t) for i, t, _ in rows)
+    # one record is larger than a shard's share; the others are near equal
+    rest = sorted(load.values())[:-1]
+    assert len(load) == 24 and rest[-1] - rest[0] <= 16
     assert all(sorted(v) == list(range(len(v))) for v in places.values())
-    version, owner = sharding.load_map(spark, scratch(spark) + "/slot-map-test")
-    assert version == 2 and {r.shard for r in out if r.virtual_slot == 9} <= {owner[9]}
-    assert sharding.load_map(spark, scratch(spark) + "/slot-map-test", 1)[1] == sharding.first_map(24)
-    assert sharding.shard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    version, owner = sharding.load_map(spark, path)
+    assert version == 2 and all(r.shard == owner[r.virtual_slot] and r.map_version == 2 for r in out)
+    assert len({r.virtual_slot for r in out if r.doc_id is None}) > 200 and len({r.virtual_slot for r in out if r.doc_id == 5}) == 1
+    assert sharding.load_map(spark, path, 1)[1] == sharding.first_map(24)
+    # the next version leaves alone what need not move
+    again = sharding.shard(df.filter("doc_id is not null"), path)
+    moved = {r.doc_id: (r.shard, r.map_version) for r in again.collect()}
+    assert {v for _, v in moved.values()} == {3} and sum(moved[r.doc_id][0] != r.shard for r in out if r.doc_id is not None) < 400
+    assert sharding.shard(spark.createDataFrame([], "doc_id long, text string"), path + "-empty").count() == 0
+    with pytest.raises(ValueError):
+        sharding.shard(df, path, slots=64)
 
 
 def test_growing_moves_slots_only_to_the_new_shard():

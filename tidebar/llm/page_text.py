@@ -1,24 +1,28 @@
 """Main text of web pages by differencing with the nearest page.
 
-Pages are dealt by host and path, so that pages with neighbouring paths of a host lie together. Each is cut into lines (blocks of
-text with the element they stand in) and paired with its neighbour in path order: the page before it, or, for the first of a
-run, the page after it. The lines of the two are aligned by a longest common subsequence and shared lines are deleted:
-what a template repeats. A line inside the page's article is kept even if the neighbour has it too, since articles
-quote and republish; lines in elements that say what they are (navigation, header, footer, aside, form, script, style, and
-classes such as ad, cookie, sidebar, comment) go in any case, and where a page marks its article, so does what lies outside.
+Pages are put in order of host, path and id, and cut into ranges of that order; each range also gets the page before and the page
+after it, so how many ranges there are changes nothing. Of the pages before and after it on its host a page takes the one whose
+path begins like its own for longer (on a tie the one before). Both are cut into lines (blocks of text with the elements they stand
+in), the lines are aligned by a longest common subsequence, and what both have is the template's and goes.
+
+Two kinds of lines are beyond differencing, so elements decide them: lines that a template fills anew on each page (menus,
+adverts, footers and the like, by element or by a class that says so), which go although no neighbour has them, and lines of the page's
+article, which stay although its neighbour republishes them. A page that marks no article is judged by the alignment.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidebar.llm.common import bounded_sample, give_back, shuffle_partitions
 from tidebar.llm.url_filter import split_url
 
 # Elements by their role in HTML.
@@ -29,7 +33,18 @@ INLINE = {
     "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img",
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MAIN = {"article", "main"}
+#: Elements whose start ends an open paragraph.
+AFTER_P = HEADINGS | {
+    "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "header", "hgroup", "hr", "main",
+    "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul",
+}
+#: Elements whose end tag may be left out: what start ends them, and the elements that a search for them does not leave.
+ENDS = {
+    "p": (AFTER_P, {"td", "th", "table", "button", "caption", "object"}), "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "tbody", "thead", "tfoot"}, {"table"}),
+    "td": ({"td", "th", "tr", "tbody", "thead", "tfoot"}, {"table"}), "th": ({"td", "th", "tr", "tbody", "thead", "tfoot"}, {"table"}), "option": ({"option", "optgroup"}, {"select", "datalist"}),
+}
 #: Words of a class, id or role that mark what is not the article.
 MARKS = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "adsbox", "banner", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation", "menu", "menubar",
@@ -37,25 +52,35 @@ MARKS = {
     "popup", "modal", "overlay", "comment", "comments", "disqus", "respond", "reply", "replies", "related", "recommended", "share", "sharing", "social", "subscribe", "newsletter",
     "signup", "login", "search", "widget", "toolbar", "pagination", "pager", "skip", "hidden",
 }
+#: Words that make a header or footer one of the article: `entry-header`.
+OWN = {"article", "entry", "post", "story", "content", "body", "text"}
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
 #: Rows of the alignment that are kept at each level, so that its space grows with the lines, not with their product.
 CUTS = 16
+#: Sampled keys by which the order is cut into ranges, and ranges for each task.
+SAMPLE_KEYS, RANGES = 20_000, 3
+
+#: Lines of a page (text, in the article, in an element that is not text), and whether it marks an article.
+Lines = tuple[list[tuple[str, bool, bool]], bool]
 
 
 def marked(attributes: str) -> bool:
     for _, *values in ATTRIBUTE.findall(attributes):
-        if any(word in MARKS for value in values for word in SPLIT.split(value.lower())):
-            return True
+        for name in " ".join(values).lower().split():
+            words = {*SPLIT.split(name)}
+            if words & MARKS and not (words & OWN and words & MARKS <= {"header", "footer"}):
+                return True
     return False
 
 
-def lines(page: str) -> tuple[list[tuple[str, bool, bool]], bool]:
-    """Lines of a page, (text, in the article, in an element that is not text), and whether it marks an article."""
+def lines(page: str) -> Lines:
+    """Lines of a page. A start tag ends paragraphs, items and cells whose own end tag is left out."""
     out: list[tuple[str, bool, bool]] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, not text, article
+    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # element, and with all that it stands in: not text, article
+    open_: Counter[str] = Counter()
     found = False
     at, end = 0, len(page)
 
@@ -63,7 +88,22 @@ def lines(page: str) -> tuple[list[tuple[str, bool, bool]], bool]:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append((text, any(s[2] for s in stack), any(s[1] for s in stack)))
+            out.append((text, stack[-1][2], stack[-1][1]))
+
+    def close_down_to(depth: int) -> None:
+        for name, _, _ in stack[depth:]:
+            open_[name] -= 1
+        del stack[depth:]
+
+    def close(names: set[str], stay: set[str]) -> None:
+        """Ends the innermost of names, unless one of stay lies within it."""
+        if any(open_[n] for n in names):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i][0] in names:
+                    close_down_to(i)
+                    return
+                if stack[i][0] in stay:
+                    return
 
     while at < end:
         m = TOKEN.search(page, at)
@@ -75,26 +115,27 @@ def lines(page: str) -> tuple[list[tuple[str, bool, bool]], bool]:
         if m[2] is None:
             continue
         name = m[2].lower()
-        if name in INLINE and not marked(m[3] or ""):
-            if not m[1]:
-                continue
-            if not any(s[0] == name for s in stack):
-                continue
+        if name in INLINE:
+            continue
         close_line()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            close({name}, set())
         elif name in RAW:
             stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = stop.end() if stop else end
-        elif name not in VOID and not (m[3] or "").endswith("/"):
-            main = name in MAIN
-            found |= main
-            # a header inside an article heads the article
-            boiler = name in NOT_TEXT or (name == "header" and not any(s[2] for s in stack)) or (marked(m[3] or "") and not main and name not in ("body", "html"))
-            stack.append((name, boiler, main))
+        else:
+            for left_out, (starts, stay) in ENDS.items():
+                if name in starts and open_[left_out]:
+                    close({left_out}, stay)
+            if name not in VOID and not (m[3] or "").endswith("/"):
+                main = name in MAIN
+                found |= main
+                _, not_text, article = stack[-1]
+                # a header inside an article heads the article
+                boiler = name in NOT_TEXT or (name == "header" and not article)
+                boiler |= not main and name not in HEADINGS and name not in ("body", "html") and marked(m[3] or "")
+                stack.append((name, not_text or boiler, article or main))
+                open_[name] += 1
     close_line()
     return out, found
 
@@ -148,7 +189,7 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def main_text(own: tuple[list[tuple[str, bool, bool]], bool], other: tuple[list[tuple[str, bool, bool]], bool] | None) -> str:
+def main_text(own: Lines, other: Lines | None) -> str:
     """The lines left of a page, joined by one space."""
     found, has_article = own
     repeated = shared([x[0] for x in found], [x[0] for x in other[0]]) if other else set()
@@ -160,42 +201,90 @@ def main_text(own: tuple[list[tuple[str, bool, bool]], bool], other: tuple[list[
     return " ".join(kept)
 
 
+def common_start(a: str, b: str) -> int:
+    """Characters with which both begin."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle - 1)
+    return low
+
+
+class _Page:
+    def __init__(self, row: tuple):
+        self.page_id, self.url, page, self.host, self.path, self.range, self.guest = row
+        self.lines = lines(page or "")
+
+    def row(self, before: _Page | None, after: _Page | None) -> tuple:
+        """page_id, url, text, n_chars, by the nearer of two pages in the order."""
+        mates = [x for x in (before, after) if x is not None and x.range == self.range and x.host == self.host]
+        text = main_text(self.lines, max(mates, key=lambda x: common_start(self.path, x.path)).lines if mates else None)
+        return self.page_id, self.url, text, len(text)
+
+
 def _difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pages come in order of host and path; one page waits for the next."""
-    waiting = None  # (id, url, host, lines) of a page that has no neighbour yet
-    before = None  # (host, lines) of the last page
-
-    def row(page_id, url, text: str) -> tuple:
-        return page_id, url, text, len(text)
-
-    for batch in batches:
-        out = []
-        for page_id, url, page, host in batch.itertuples(index=False, name=None):
-            own = lines(page or "")
-            if waiting is not None:
-                mate = own if waiting[2] == host else None
-                out.append(row(waiting[0], waiting[1], main_text(waiting[3], mate)))
-                waiting = None
-            if before is not None and before[0] == host:
-                out.append(row(page_id, url, main_text(own, before[1])))
-            else:
-                waiting = (page_id, url, host, own)
-            before = (host, own)
-        if out:
-            yield pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars"]).astype({"page_id": object})
-    if waiting is not None:
-        yield pd.DataFrame([row(waiting[0], waiting[1], main_text(waiting[3], None))], columns=["page_id", "url", "text", "n_chars"]).astype({"page_id": object})
+    """Pages come by range, and within it in their order; a page is judged when the next one is here."""
+
+    def judged() -> Iterator[tuple]:
+        before = own = None
+        for batch in batches:
+            for row in batch.itertuples(index=False, name=None):
+                after = _Page(row)
+                if own is not None and not own.guest:
+                    yield own.row(before, after)
+                before, own = own, after
+        if own is not None and not own.guest:
+            yield own.row(before, None)
+
+    held: list[tuple] = []
+    for row in judged():
+        held.append(row)
+        if len(held) == 200:
+            yield _frame(held)
+            held = []
+    if held:
+        yield _frame(held)
+    give_back()
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["page_id", "url", "text", "n_chars"]).astype({"page_id": object})
+
+
+def _in_ranges(keyed: DataFrame, ranges: int) -> DataFrame:
+    """keyed (page_id, url, html, host, path, key) with range, and the pages next to each range once more as guest rows."""
+    kind = keyed.schema["key"].dataType
+    sample = bounded_sample(keyed.select("key"), ["key"], SAMPLE_KEYS).collect()
+    keys = sorted((tuple(x["key"]) for x in sample), key=lambda k: (k[0].encode(), k[1].encode(), k[2] is not None, k[2]))
+    edges = dict.fromkeys(keys[len(keys) * i // ranges] for i in range(1, ranges)) if keys else ()
+
+    def literal(key: tuple) -> Column:
+        return F.struct(*[F.lit(value).cast(field.dataType).alias(field.name) for value, field in zip(key, kind.fields, strict=True)])
+
+    bounds = F.array(*map(literal, edges)) if edges else F.array().cast(f"array<{kind.simpleString()}>")
+    dealt = keyed.withColumn("range", F.size(F.filter(bounds, lambda b: b <= F.col("key"))))
+    # two keys a range: what its neighbours have to see
+    ends = sorted(dealt.groupBy("range").agg(F.min("key").alias("low"), F.max("key").alias("high")).collect(), key=lambda x: x["range"])
+    visits = [x for a, b in zip(ends, ends[1:]) for x in ((tuple(a["high"]), b["range"]), (tuple(b["low"]), a["range"]))]
+    visits = keyed.sparkSession.createDataFrame(visits, f"key {kind.simpleString()}, visited int")
+    guests = dealt.join(F.broadcast(visits), "key").withColumns({"range": F.col("visited"), "guest": F.lit(True)})
+    # rows that share host, path and id are one guest
+    guests = guests.dropDuplicates(["key", "range"]).select(*dealt.columns, "guest")
+    return dealt.withColumn("guest", F.lit(False)).unionByName(guests)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every page of pages (page_id, url, html).
 
-    A page's neighbour is the nearest by (host, path, page_id) that its range of the order holds; a host with one page has none, and
+    A page's neighbour is the nearer of those before and after it on its host, by (path, page_id); a host with one page has none, and
     its lines are judged by their elements alone. Null or empty html gives an empty text. URLs without a host share the empty
-    host. Repeated rows are neighbours of each other. Character references are decoded; white space in a line becomes one space.
+    host. Repeated rows are neighbours of each other; rows that share URL and id but not html come in any order. Character references are decoded; white space in a line becomes one space.
+    Other columns of pages are not read. No rows in, no rows out.
     """
     host, path = split_url(F.col("url"))
-    keyed = pages.select("page_id", "url", "html", host.alias("__host"), path.alias("__path"))
-    ordered = keyed.repartitionByRange("__host", "__path", "page_id").sortWithinPartitions("__host", "__path", "page_id")
+    keyed = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"))
+    keyed = keyed.withColumn("key", F.struct("host", "path", "page_id"))
+    tasks = shuffle_partitions(pages.sparkSession)
+    dealt = _in_ranges(keyed, RANGES * tasks).repartition(tasks, "range").sortWithinPartitions("range", "host", "path", "page_id")
     kind = pages.schema["page_id"].dataType.simpleString()
-    return ordered.select("page_id", "url", "html", "__host").mapInPandas(_difference, f"page_id {kind}, url string, text string, n_chars long")
+    return dealt.select("page_id", "url", "html", "host", "path", "range", "guest").mapInPandas(_difference, f"page_id {kind}, url string, text string, n_chars long")
