@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import math
 import os
 import re
 import time
@@ -47,6 +48,49 @@ def test_url_models_follow_their_urls(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def url_differences(taught, asked):
+    """The two models, plainly: counts of every context, for each side."""
+    seen = [collections.Counter(), collections.Counter()]
+    steps = lambda u: [("\0" * 5 + u)[i : i + 6] for i in range(len(u))]
+    lower = lambda u: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in u)
+    for url, good in taught:
+        for step in steps(lower(url)):
+            for k in range(6):
+                seen[good]["context", step[5 - k : 5]] += 1
+                seen[good]["next", step[5 - k :]] += 1
+    out = {}
+    for url in asked:
+        total = 0.0
+        for step in steps(lower(url)):
+            for side, sign in ((1, 1), (0, -1)):
+                p = 1 / url_filter.ALPHABET
+                for k in range(6):
+                    n = seen[side]["context", step[5 - k : 5]]
+                    p = (seen[side]["next", step[5 - k :]] + url_filter.SMOOTHING * p) / (n + url_filter.SMOOTHING) if n >= url_filter.SEEN else p
+                total += sign * math.log(p)
+        out[url] = total / max(len(url), 1)
+    return out
+
+
+@pytest.mark.parametrize("hot", [0, 7, 100_000])
+def test_url_models_against_a_plain_version(spark, hot):
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcXyz/-%"), rng.integers(1, 9)))
+    taught = [(f"http://{word()}.com/{word()}", 1) for _ in range(150)] + [(f"http://w.net/fr/{word()}-{word()}", 0) for _ in range(90)]
+    asked = [f"ftp://{word()}.org/{word()}" for _ in range(60)] + ["", "x", "y" * 30_000]
+    counts = url_filter.models(spark.createDataFrame([(u, bool(g)) for u, g in taught], "url string, good boolean"))
+    got = {r.url: r.difference for r in url_filter.differences(counts, spark.createDataFrame([(u,) for u in asked], "url string").distinct(), hot).collect()}
+    want = url_differences(taught, asked)
+    assert got.keys() == want.keys() and all(abs(got[u] - want[u]) < 1e-9 for u in want)
+
+
+def test_url_filter_with_clashing_columns_and_repeated_rows(spark):
+    rows = [(i % 50, f"http://a{i % 9}.com/x{i % 25}", "k", 1) for i in range(200)] + [(i, f"http://b.net/es/y{i % 30}", "k", 2) for i in range(100)] + [(7, "http://c.org/x" + "long" * 20_000, "k", 3)] * 3
+    out = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, verdict string, difference int"))
+    assert out.columns == ["page_id", "host", "path", "rule", "verdict", "difference"] and out.count() == len(rows)
+    assert len(set(out.filter("host = 'c.org'").collect())) == 1
+
+
 TEMPLATE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body><nav><a href="/x">Menu</a></nav>
 <div class="ad">Buy</div>%s<footer>&copy; Foot</footer></body></html>"""
 
