@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebar.plans import market, operations, research
+from tidebar.plans import market, operations, research, surface
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "pair_events"
 
 
 def queries() -> dict[str, Query]:
-    return market.QUERIES | research.QUERIES | operations.QUERIES
+    return market.QUERIES | research.QUERIES | operations.QUERIES | surface.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return market.SQL | research.SQL | operations.SQL
+    return market.SQL | research.SQL | operations.SQL | surface.SQL

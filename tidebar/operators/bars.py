@@ -53,12 +53,21 @@ def roll_up(bars5: DataFrame, frequency: str) -> DataFrame:
     return with_times(rows.withColumnRenamed("_to", "slot").withColumn("expected_component_count", F.lit(size)), frequency)
 
 
-def weekly(daily: DataFrame) -> DataFrame:
-    """Monday weeks."""
+def week_of(date: Column) -> Column:
+    """The Monday of a date's week."""
+    return F.to_date(F.date_trunc("week", date))
+
+
+def weekly(daily: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Monday weeks; with as_of only those completed before its week. Revisions and row hashes are carried along where bars have them."""
     order = F.col("trading_date")
-    return daily.groupBy("symbol", F.to_date(F.date_trunc("week", order)).alias("week")).agg(
+    rows = daily if as_of is None else daily.filter(week_of(order) < week_of(as_of))
+    more = [F.max("revision").alias("revision")] if "revision" in daily.columns else []
+    if "row_hash" in daily.columns:
+        more.append(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "row_hash"))), lambda x: x["row_hash"]), ":").alias("row_hash"))
+    return rows.groupBy("symbol", week_of(order).alias("week")).agg(
         F.min_by("open_ticks", order).alias("open_ticks"), F.max("high_ticks").alias("high_ticks"), F.min("low_ticks").alias("low_ticks"), F.max_by("close_ticks", order).alias("close_ticks"),
-        F.sum("volume").alias("volume"), F.count("*").alias("days"),
+        F.sum("volume").alias("volume"), F.count("*").alias("days"), *more,
     )
 
 
@@ -104,15 +113,23 @@ def merge_bars(stored: DataFrame, incoming: DataFrame, key: list[str]) -> DataFr
     return out.withColumn("event_id", F.when(F.col("event_type").isNotNull(), F.concat(F.lit("sha256:"), F.sha2(text, 256))))
 
 
+def reconciled(stored: DataFrame, merged: DataFrame, key: list[str]) -> DataFrame:
+    """What a merge revised: key, old_hash, new_hash, revision."""
+    old = stored.select(*key, F.col("row_hash").alias("old_hash"))
+    return merged.filter("event_type = 'BarRevised'").join(old, key).select(*key, "old_hash", F.col("row_hash").alias("new_hash"), "revision")
+
+
 def checkpoints(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol", "frequency").agg(F.max("eob").alias("last_eob"), F.count("*").alias("bars"))
 
 
 def with_volume_delta(ticks: DataFrame) -> DataFrame:
-    """Traded volume since the symbol's previous tick of the day, from cumulative volume; never negative, all of it at the first."""
-    w = Window.partitionBy("symbol", "trading_date").orderBy("event_time", "event_id")
-    before = F.lag("cumulative_volume").over(w)
-    return ticks.withColumn("volume_delta", F.greatest(F.col("cumulative_volume") - F.coalesce(before, F.lit(0)), F.lit(0)))
+    """Volume that each tick adds, ticks taken as they arrive (by event_id): its own trade volume where it has one (last_volume), else
+    the rise of the cumulative volume over all before it in the day, never below zero; none for a tick older than one before it."""
+    before = Window.partitionBy("symbol", "trading_date").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    late = F.coalesce(F.col("event_time") < F.max("event_time").over(before), F.lit(False))
+    rise = F.greatest(F.col("cumulative_volume") - F.coalesce(F.max("cumulative_volume").over(before), F.lit(0)), F.lit(0))
+    return ticks.withColumn("volume_delta", F.when(late, 0).otherwise(F.coalesce("last_volume", rise)))
 
 
 def latest_quotes(ticks: DataFrame) -> DataFrame:
@@ -120,12 +137,16 @@ def latest_quotes(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("symbol").agg(F.max_by(F.struct("event_time", "price_ticks", "event_id"), F.struct("event_time", "event_id")).alias("q")).select("symbol", "q.*")
 
 
-def expected_slots(symbol_days: DataFrame, frequency: str) -> DataFrame:
-    return symbol_days.select("symbol", "trading_date", F.explode(F.sequence(F.lit(0), F.lit(SLOTS[frequency] - 1))).alias("slot"))
+def expected_slots(symbol_days: DataFrame, frequency: str, cutoff: Column | None = None, grace: int = 90) -> DataFrame:
+    """All slots of the symbols' days; with a cutoff those that ended at least `grace` seconds before it."""
+    slots = symbol_days.select("symbol", "trading_date", F.explode(F.sequence(F.lit(0), F.lit(SLOTS[frequency] - 1))).alias("slot"))
+    if cutoff is None:
+        return slots
+    return slots.filter(F.timestamp_add("SECOND", F.lit(grace), slot_end(F.col("trading_date"), F.col("slot"), frequency)) <= cutoff)
 
 
-def missing_slots(symbol_days: DataFrame, bars: DataFrame, frequency: str) -> DataFrame:
-    return expected_slots(symbol_days, frequency).join(bars.select("symbol", "trading_date", "slot"), ["symbol", "trading_date", "slot"], "left_anti")
+def missing_slots(symbol_days: DataFrame, bars: DataFrame, frequency: str, cutoff: Column | None = None) -> DataFrame:
+    return expected_slots(symbol_days, frequency, cutoff).join(bars.select("symbol", "trading_date", "slot"), ["symbol", "trading_date", "slot"], "left_anti")
 
 
 def islands(missing: DataFrame) -> DataFrame:
@@ -135,19 +156,42 @@ def islands(missing: DataFrame) -> DataFrame:
     return run.groupBy("symbol", "trading_date", "_run").agg(F.min("slot").alias("from_slot"), F.max("slot").alias("to_slot"), F.count("*").alias("missing")).drop("_run")
 
 
+def detect_gaps(symbol_days: DataFrame, bars: DataFrame, frequency: str, cutoff: Column | None = None) -> DataFrame:
+    """Runs of missing slots with a key and a severity (error for daily bars, else warning)."""
+    rows = islands(missing_slots(symbol_days, bars, frequency, cutoff))
+    text = F.concat_ws("|", "symbol", F.lit(frequency), F.date_format("trading_date", "yyyy-MM-dd"), F.col("from_slot").cast("string"), F.col("to_slot").cast("string"))
+    return rows.withColumns({"gap_key": F.sha2(text, 256), "frequency": F.lit(frequency), "severity": F.lit("error" if frequency == "1d" else "warning")})
+
+
+def gap_totals(symbol_days: DataFrame, bars: DataFrame, frequency: str, cutoff: Column | None = None) -> DataFrame:
+    """Expected, existing and missing slots."""
+    slot = ["symbol", "trading_date", "slot"]
+    both = expected_slots(symbol_days, frequency, cutoff).join(bars.select(*slot, F.lit(1).alias("is")), slot, "left")
+    return both.agg(F.count("*").alias("expected"), F.count("is").alias("existing"), F.count_if(F.col("is").isNull()).alias("missing"))
+
+
 def last_n(bars: DataFrame, n: int) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy(F.desc("eob"))
     return bars.withColumn("age", F.row_number().over(w)).filter(F.col("age") <= n)
 
 
 def quality_issues(bars: DataFrame, symbol_days: DataFrame, frequency: str) -> DataFrame:
-    """One row per broken rule: OHLC, missing slots, incomplete components where the table has them."""
-    bad = bars.filter(~valid()).select("symbol", "trading_date", F.lit("invalid_ohlc").alias("check_type"), F.lit("error").alias("severity"), F.lit(1).cast("long").alias("n"))
-    gone = missing_slots(symbol_days, bars, frequency).groupBy("symbol", "trading_date").agg(F.count("*").alias("n"))
-    out = bad.unionByName(gone.select("symbol", "trading_date", F.lit("missing_slots").alias("check_type"), F.lit("warning").alias("severity"), "n"))
+    """Broken rules by symbol and day: OHLC, negative volume, repeated slots, slots off the grid, missing slots, incomplete components
+    where the table has them."""
+    day = ["symbol", "trading_date"]
+    rules = {
+        ("invalid_ohlc", "error"): ~valid(), ("negative_volume", "error"): F.col("volume") < 0,
+        ("slot_misaligned", "error"): F.col("slot").isNull() | ~F.col("slot").between(0, SLOTS[frequency] - 1),
+    }
     if "component_count" in bars.columns:
-        part = bars.filter("component_count < expected_component_count").groupBy("symbol", "trading_date").agg(F.count("*").alias("n"))
-        out = out.unionByName(part.select("symbol", "trading_date", F.lit("incomplete_components").alias("check_type"), F.lit("warning").alias("severity"), "n"))
+        rules["incomplete_components", "warning"] = F.col("component_count") < F.col("expected_component_count")
+    counts = bars.groupBy(*day).agg(*[F.count_if(rule).alias(name) for (name, _), rule in rules.items()])
+    each = F.array(*[F.struct(F.lit(name).alias("check_type"), F.lit(severity).alias("severity"), F.col(name).alias("n")) for name, severity in rules])
+    out = counts.select(*day, F.inline(each)).filter("n > 0")
+    twice = bars.groupBy(*day, "slot").count().filter("count > 1").groupBy(*day).agg(F.sum(F.col("count") - 1).alias("n"))
+    gone = missing_slots(symbol_days, bars, frequency).groupBy(*day).agg(F.count("*").alias("n"))
+    for rows, name, severity in ((twice, "duplicate_slots", "error"), (gone, "missing_slots", "warning")):
+        out = out.unionByName(rows.select(*day, F.lit(name).alias("check_type"), F.lit(severity).alias("severity"), "n"))
     return out
 
 

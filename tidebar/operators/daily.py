@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebar.operators.bars import week_of, weekly
+
 #: Points of the wave score by component; thresholds of its signals; bars it looks at.
 POINTS = {"RSI_TURN": 20, "MACD_CONTRACTION": 15, "NO_NEW_LOW": 15, "BOTTOM_STRUCTURE": 15, "MA_RECOVERY": 15, "SHORT_PRESSURE_MA5": 10, "VOLUME_CONFIRM": 10}
 STRONG, CANDIDATE, LOOK_BACK, LEAST_BARS = 85, 70, 120, 60
@@ -45,27 +47,43 @@ def trend_gate(daily: DataFrame) -> DataFrame:
 
 
 def pullback_volume(daily: DataFrame) -> DataFrame:
-    """Mean volume of the last 5 days over that of the 10 before; 1 with fewer than 15 days."""
+    """Mean volume of the last 5 days over that of the 10 before; 0 with fewer than 15 days."""
     w = _by_symbol()
     old = F.avg("volume").over(w.rowsBetween(-14, -5))
     full = F.count("*").over(w.rowsBetween(-14, 0)) >= 15
-    return daily.withColumn("pullback_volume_ratio", F.when(full & (old > 0), F.avg("volume").over(w.rowsBetween(-4, 0)) / old).otherwise(1.0))
+    return daily.withColumn("pullback_volume_ratio", F.when(full & (old > 0), F.avg("volume").over(w.rowsBetween(-4, 0)) / old).otherwise(0.0))
 
 
 def relative_strength(daily: DataFrame) -> DataFrame:
     """Five-day return, support (the lower positive of MA20, MA30) and change against the market's mean of the day."""
     w = _by_symbol()
-    rows = moving_averages(daily).withColumn("pre_close", F.lag("close_ticks").over(w))
+    rows = moving_averages(daily).withColumns({"pre_close": F.lag("close_ticks").over(w), "four_ago": F.lag("close_ticks", 4).over(w)})
     rows = rows.withColumn("change", percent(F.col("close_ticks"), F.coalesce("pre_close", F.lit(0))))
-    market = rows.filter("pre_close > 0").groupBy("trading_date").agg(F.avg("change").alias("market_change"))
+    five = F.when(F.col("four_ago").isNotNull(), percent(F.col("close_ticks"), F.col("four_ago"))).otherwise(0.0)
+    rows = rows.withColumns({"five_day_return": five, "support": support()})
+    return rows.join(market_change(daily), "trading_date", "left").withColumn("relative_strength", F.col("change") - F.coalesce("market_change", F.lit(0.0)))
+
+
+def support() -> Column:
     positive = lambda c: F.when(F.col(c) > 0, F.col(c))
-    return rows.join(market, "trading_date", "left").withColumns(
-        {
-            "five_day_return": F.when(F.lag("close_ticks", 4).over(w).isNotNull(), percent(F.col("close_ticks"), F.lag("close_ticks", 4).over(w))).otherwise(0.0),
-            "support": F.coalesce(F.least(positive("ma20"), positive("ma30")), F.lit(0.0)),
-            "relative_strength": F.col("change") - F.coalesce("market_change", F.lit(0.0)),
-        }
-    )
+    return F.coalesce(F.least(positive("ma20"), positive("ma30")), F.lit(0.0))
+
+
+def with_prev_close(quotes: DataFrame, daily: DataFrame, price: str = "price_ticks") -> DataFrame:
+    """quotes (symbol, trading_date, a price, pre_close or null) with prev_close (their own, else the close of the newest daily bar
+    before their date) and change_percent."""
+    days = as_of_dates(quotes.select("symbol", F.col("trading_date").alias("as_of")).distinct(), daily, inclusive=False)
+    close = days.join(daily.select("symbol", F.col("trading_date").alias("bar_date"), F.col("close_ticks").alias("last_close")), ["symbol", "bar_date"]).drop("bar_date")
+    rows = quotes.join(close.withColumnRenamed("as_of", "trading_date"), ["symbol", "trading_date"], "left")
+    rows = rows.withColumn("prev_close", F.coalesce("pre_close", "last_close")).drop("last_close")
+    return rows.withColumn("change_percent", F.when(F.col("prev_close") > 0, percent(F.col(price), F.col("prev_close"))))
+
+
+def market_change(daily: DataFrame) -> DataFrame:
+    """Mean change of the day over symbols that have a close before it; how many they are."""
+    before = F.lag("close_ticks").over(_by_symbol())
+    rows = daily.withColumn("pre_close", before).filter("pre_close > 0")
+    return rows.groupBy("trading_date").agg(F.avg(percent(F.col("close_ticks"), F.col("pre_close"))).alias("market_change"), F.count("*").alias("symbols"))
 
 
 def weekly_platform(weeks: DataFrame) -> DataFrame:
@@ -83,22 +101,94 @@ def weekly_platform(weeks: DataFrame) -> DataFrame:
 
 
 def forward_outcomes(signals: DataFrame, daily: DataFrame, days: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
-    """Returns of the close 1, 3, 5 bars after the signal day's bar, best and worst of the next five bars; null where there is no bar."""
+    """Returns of the close 1, 3, 5 bars after the signal day's bar and of the first bar at least seven days later (w1), best and worst
+    of the next five bars; null where there is no bar."""
     w = _by_symbol()
     close = F.col("close_ticks")
+    week = Window.partitionBy("symbol").orderBy(F.unix_date("trading_date")).rangeBetween(7, Window.unboundedFollowing)
     ahead = daily.withColumns(
         {f"d{n}": percent(F.lead("close_ticks", n).over(w), close) for n in days}
-        | {"mfe5": percent(F.max("high_ticks").over(w.rowsBetween(1, 5)), close), "mae5": percent(F.min("low_ticks").over(w.rowsBetween(1, 5)), close)}
+        | {"w1": percent(F.first("close_ticks").over(week), close), "mfe5": percent(F.max("high_ticks").over(w.rowsBetween(1, 5)), close), "mae5": percent(F.min("low_ticks").over(w.rowsBetween(1, 5)), close)}
     )
-    return signals.join(ahead.select("symbol", "trading_date", *[f"d{n}" for n in days], "mfe5", "mae5"), ["symbol", "trading_date"], "left")
+    return signals.join(ahead.select("symbol", "trading_date", *[f"d{n}" for n in days], "w1", "mfe5", "mae5"), ["symbol", "trading_date"], "left")
+
 
+def as_of_dates(jobs: DataFrame, daily: DataFrame, inclusive: bool = True, date: str = "trading_date") -> DataFrame:
+    """jobs (symbol, as_of) with bar_date, the newest date of the symbol's daily rows up to as_of, or before it; jobs without one go.
+    One sort of both together, no join by range."""
+    rows = daily.select("symbol", F.col(date).alias("d"), F.lit(0).alias("job"))
+    both = rows.unionByName(jobs.select("symbol", F.col("as_of").alias("d"), F.lit(1 if inclusive else -1).alias("job")))
+    w = Window.partitionBy("symbol").orderBy("d", "job").rowsBetween(Window.unboundedPreceding, 0)
+    newest = F.last(F.when(F.col("job") == 0, F.col("d")), ignorenulls=True).over(w)
+    return both.withColumn("bar_date", newest).filter("job <> 0 and bar_date is not null").select("symbol", F.col("d").alias("as_of"), "bar_date").distinct()
 
-def look_back(jobs: DataFrame, daily: DataFrame, n: int = LOOK_BACK) -> DataFrame:
-    """Per job (symbol, as_of) the last n daily bars up to as_of, as an array in time order."""
-    w = Window.partitionBy("symbol", "as_of").orderBy(F.desc("trading_date"))
-    rows = jobs.join(daily, "symbol").filter(F.col("trading_date") <= F.col("as_of")).withColumn("_age", F.row_number().over(w)).filter(F.col("_age") <= n)
+
+def look_back(jobs: DataFrame, daily: DataFrame, n: int = LOOK_BACK, inclusive: bool = True) -> DataFrame:
+    """Per job (symbol, as_of) the last n daily bars up to as_of (or before it), as an array in time order."""
     bar = F.struct("trading_date", "open_ticks", "high_ticks", "low_ticks", "close_ticks", "volume")
-    return rows.groupBy("symbol", "as_of").agg(F.sort_array(F.collect_list(bar)).alias("bars"))
+    ends = as_of_dates(jobs, daily, inclusive)
+    windows = daily.select("symbol", F.col("trading_date").alias("bar_date"), F.collect_list(bar).over(_by_symbol().rowsBetween(-(n - 1), 0)).alias("bars"))
+    return windows.join(ends, ["symbol", "bar_date"]).select("symbol", "as_of", "bars")
+
+
+def latest_30m(bars30: DataFrame) -> DataFrame:
+    """Of each symbol's day the last 30-minute bar: volume over the mean of the five bars before it (of any day), place of the close,
+    upper wick, and whether it closed above its open."""
+    w = Window.partitionBy("symbol").orderBy("eob")
+    o, h, low, c = (F.col(f"{x}_ticks") for x in ("open", "high", "low", "close"))
+    mean = F.avg("volume").over(w.rowsBetween(-5, -1))
+    wide = h > low
+    rows = bars30.select(
+        "symbol", "trading_date", "eob", F.when(mean > 0, F.col("volume") / mean).otherwise(0.0).alias("m30_volume_ratio"), F.when(wide, (c - low) / (h - low)).otherwise(1.0).alias("m30_close_position"),
+        F.when(wide, (h - F.greatest(o, c)) / (h - low)).otherwise(0.0).alias("m30_upper_wick"), (c > o).alias("m30_bullish"),
+    )
+    names = ["eob", "m30_volume_ratio", "m30_close_position", "m30_upper_wick", "m30_bullish"]
+    return rows.groupBy("symbol", "trading_date").agg(F.max_by(F.struct(*names), "eob").alias("m")).select("symbol", "trading_date", F.col("m.eob").alias("m30_eob"), *[f"m.{n}" for n in names[1:]])
+
+
+def decline_wave(rows: DataFrame, bars: str = "bars", price: str = "price") -> DataFrame:
+    """rows with their last 140 daily bars and a price: fall from the major high to the low after it, rebound from that low, repair from
+    the low after the rebound, whether that is a second bottom, and whether the price is above MA10 and MA20.
+
+    Zeros under 120 bars, or if the high is among the last 20. If the low is among the last five only the fall is known, and
+    it is negative there."""
+    get = lambda name: F.transform(bars, lambda b: b[name])
+    out = rows.withColumns({"_h": get("high_ticks"), "_l": get("low_ticks"), "_c": get("close_ticks"), "_n": F.size(bars)})
+    after = lambda a, i: F.slice(a, i + 2, F.greatest(F.col("_n") - i - 1, F.lit(0)))
+    first = lambda a, v: F.array_position(a, v).cast("int")
+    mean = lambda n: F.aggregate(F.slice("_c", F.greatest(F.col("_n") - n, F.lit(0)) + 1, n), F.lit(0.0), lambda s, x: s + x) / n
+    out = out.withColumn("_i", first(F.col("_h"), F.array_max("_h")) - 1)
+    out = out.withColumn("_low", F.array_min(after(F.col("_l"), F.col("_i")))).withColumn("_j", F.col("_i") + first(after(F.col("_l"), F.col("_i")), F.col("_low")))
+    out = out.withColumn("_rise", F.array_max(after(F.col("_h"), F.col("_j")))).withColumn("_k", F.col("_j") + first(after(F.col("_h"), F.col("_j")), F.col("_rise")))
+    out = out.withColumn("_rest", after(F.col("_l"), F.least(F.col("_k"), F.col("_n") - 2))).withColumn("_second", F.array_min("_rest"))
+    known = F.coalesce((F.col("_n") >= 120) & (F.col("_i") < F.col("_n") - 20), F.lit(False))
+    whole = known & F.coalesce(F.col("_j") < F.col("_n") - 5, F.lit(False))
+    high = F.array_max("_h")
+    second = (F.size("_rest") >= 2) & (F.col("_second") >= F.col("_low") * 0.98) & (F.col("_second") <= F.col("_rise") * 0.97)
+    return out.withColumns(
+        {
+            "decline": F.when(whole, (high - F.col("_low")) / high * 100).when(known, percent(F.col("_low"), high)).otherwise(0.0),
+            "rebound": F.when(whole, percent(F.col("_rise"), F.col("_low"))).otherwise(0.0), "repair": F.when(whole, percent(F.col(price), F.col("_second"))).otherwise(0.0),
+            "second_bottom": whole & second, "breaks_trend": whole & (F.col(price) > F.greatest(mean(10), mean(20))),
+        }
+    ).drop("_h", "_l", "_c", "_n", "_i", "_low", "_j", "_rise", "_k", "_rest", "_second")
+
+
+def daily_state(jobs: DataFrame, daily: DataFrame) -> DataFrame:
+    """Per job (symbol, as_of) what its daily bars before as_of say: averages, slope, trend, last close, mean volume of five days, pull-back
+    volume, the completed weeks' platform, and the last 140 bars."""
+    w = _by_symbol()
+    rows = pullback_volume(moving_averages(daily)).withColumns({"support": support(), "four_ago": F.lag("close_ticks", 4).over(w), "mean_volume": F.avg("volume").over(w.rowsBetween(-4, 0))})
+    rows = rows.withColumn("ma20_slope", F.when(F.row_number().over(w) >= 21, F.col("ma20_slope")).otherwise(0.0))
+    names = [*[f"ma{n}" for n in (5, 10, 20, 30, 60)], "ma20_slope", "trend_strength", "pullback_volume_ratio", "support", "four_ago", "mean_volume"]
+    rows = rows.select("symbol", F.col("trading_date").alias("bar_date"), F.col("close_ticks").alias("last_close"), *names)
+    state = as_of_dates(jobs, daily, inclusive=False).join(rows, ["symbol", "bar_date"])
+    weeks = weekly_platform(weekly(daily))
+    asked = state.select("symbol", week_of(F.col("as_of")).alias("as_of")).distinct()
+    place = as_of_dates(asked, weeks, inclusive=False, date="week").select("symbol", F.col("as_of").alias("this_week"), F.col("bar_date").alias("week"))
+    platform = place.join(weeks.select("symbol", "week", "platform_high", "platform_low", "range_24", "range_12", "touches"), ["symbol", "week"]).drop("week")
+    state = state.withColumn("this_week", week_of(F.col("as_of"))).join(platform, ["symbol", "this_week"], "left").drop("this_week")
+    return state.join(look_back(jobs, daily, 140, inclusive=False), ["symbol", "as_of"])
 
 
 def rsi(closes: Column, n: int = 14) -> Column:

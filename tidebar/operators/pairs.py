@@ -35,19 +35,26 @@ def pair_hits(bars: DataFrame, include_round: bool = True) -> DataFrame:
 def with_breaks(hits5: DataFrame, bars5: DataFrame) -> DataFrame:
     """hits5 with break_eob and break_ticks of the first later bar of the symbol that lies strictly beyond; null if none does.
 
-    First within the hit's own day; for what is left the extremes of days name the day, and that day's bars the bar."""
+    First within the hit's own day. For levels left over, the extremes of the later days of the month name the day, for those still left the
+    extremes of later months name the month and its days the day; that day's bars name the bar. So a level meets the days of a
+    month and the months of its history, never all days or bars."""
     sides = F.array(F.struct(F.lit("TOP").alias("side"), F.col("high_ticks").alias("reach")), F.struct(F.lit("BOTTOM").alias("side"), F.col("low_ticks").alias("reach")))
     reach = bars5.select("symbol", F.col("trading_date").alias("day"), F.col("eob").alias("bar_eob"), F.inline(sides))
-    beyond = F.when(F.col("side") == "TOP", F.col("reach") > F.col("ticks")).otherwise(F.col("reach") < F.col("ticks"))
+    top = F.col("side") == "TOP"
+    extreme = F.when(top, F.max("reach")).otherwise(F.min("reach")).alias("reach")
+    days = reach.groupBy("symbol", "side", "day").agg(extreme).withColumn("month", F.trunc("day", "month"))
+    months = days.groupBy("symbol", "side", F.col("month").alias("to_month")).agg(extreme)
+    beyond = F.when(top, F.col("reach") > F.col("ticks")).otherwise(F.col("reach") < F.col("ticks"))
     first = F.min(F.struct("bar_eob", "reach"))
-    levels = hits5.select("symbol", "side", "ticks", "trading_date", "eob").distinct()
     keys = ["symbol", "side", "ticks", "trading_date", "eob"]
+    levels = hits5.select(*keys).distinct()
     same = levels.withColumn("day", F.col("trading_date")).join(reach, ["symbol", "side", "day"]).filter((F.col("bar_eob") > F.col("eob")) & beyond)
     same = same.groupBy(*keys).agg(first.alias("hit"))
-    rest = levels.join(same.select(*keys), keys, "left_anti")
-    days = reach.groupBy("symbol", "side", "day").agg(F.when(F.col("side") == "TOP", F.max("reach")).otherwise(F.min("reach")).alias("reach"))
-    later = rest.join(days, ["symbol", "side"]).filter((F.col("day") > F.col("trading_date")) & beyond).groupBy(*keys).agg(F.min("day").alias("day"))
-    later = later.join(reach, ["symbol", "side", "day"]).filter(beyond).groupBy(*keys).agg(first.alias("hit"))
+    rest = levels.join(same.select(*keys), keys, "left_anti").withColumn("month", F.trunc("trading_date", "month"))
+    soon = rest.join(days, ["symbol", "side", "month"]).filter((F.col("day") > F.col("trading_date")) & beyond).groupBy(*keys).agg(F.min("day").alias("day"))
+    far = rest.join(soon.select(*keys), keys, "left_anti").join(months, ["symbol", "side"]).filter((F.col("to_month") > F.col("month")) & beyond)
+    far = far.groupBy(*keys).agg(F.min("to_month").alias("month")).join(days, ["symbol", "side", "month"]).filter(beyond).groupBy(*keys).agg(F.min("day").alias("day"))
+    later = soon.unionByName(far).join(reach, ["symbol", "side", "day"]).filter(beyond).groupBy(*keys).agg(first.alias("hit"))
     found = same.unionByName(later).select(*keys, F.col("hit.bar_eob").alias("break_eob"), F.col("hit.reach").alias("break_ticks"))
     return hits5.join(found, keys, "left")
 
@@ -88,6 +95,9 @@ def assemble(events: DataFrame) -> DataFrame:
             "score": pick(SCORES),
             "timeframe_mask": pick([1, 3, 7, 15]),
             "strongest_frequency": pick(list(ORDER)),
+            "frequencies": pick([",".join(list(ORDER)[: i + 1]) for i in range(4)]),
+            "confluence": F.col("promotions") + 1,
+            "round_00": F.when(F.col("pair_kind") == "ROUND_00", F.col("hits_5m") + F.col("promotions")).otherwise(0),
             "total_hit_count": F.col("hits_5m") + F.col("promotions"),
             "last_seen_at": F.greatest("last_hit_at", *times, "break_eob"),
             "is_active": ~broken,
@@ -115,6 +125,36 @@ def replay(bars: dict[str, DataFrame], include_round: bool = True) -> DataFrame:
     return assemble(promote(break_groups(with_breaks(hits["5m"], bars["5m"])), hits))
 
 
+def evidence(events: DataFrame, broken: DataFrame) -> DataFrame:
+    """The hits behind events: every 5-minute hit of the event's level and break, and the bar of each promotion."""
+    e = events.select("event_key", *KEY, "break_eob", "pair_kind")
+    b = broken.select(*[F.col(k).alias(f"_{k}") for k in KEY], F.col("break_eob").alias("_break"), "eob").distinct()
+    same = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"_{k}") for k in KEY]) & F.col("break_eob").eqNullSafe(F.col("_break"))
+    found = e.join(b, same).select("event_key", "symbol", "side", "ticks", "pair_kind", F.lit("5m").alias("frequency"), F.lit("DISCOVERED").alias("stage"), "eob")
+    step = lambda frequency, stage, at: F.struct(F.lit(frequency).alias("frequency"), F.lit(stage).alias("stage"), F.col(at).alias("eob"))
+    steps = F.array(step("30m", "OBSERVING", "observed_at"), step("60m", "FOCUS", "focused_at"), step("1d", "ESTABLISHED", "established_at"))
+    more = events.select("event_key", "symbol", "side", "ticks", "pair_kind", F.inline(F.filter(steps, lambda x: x["eob"].isNotNull())))
+    out = found.unionByName(more)
+    return out.withColumn("hit_key", F.sha2(F.concat_ws("|", "event_key", "frequency", F.date_format("eob", "yyyy-MM-dd HH:mm:ss")), 256))
+
+
+def hit_counters(hits: DataFrame) -> DataFrame:
+    """Per event: hits in all, promotions, candidates, and by kind of price."""
+    n = lambda c: F.count_if(c)
+    candidate = F.col("frequency") == "5m"
+    return hits.groupBy("event_key").agg(
+        F.count("*").alias("hits"), n(~candidate).alias("promotions"), n(candidate).alias("candidates"), n(F.col("pair_kind") == "ROUND_00").alias("round_00"), n(F.col("pair_kind") == "DOUBLE_DIGIT").alias("double_digit")
+    )
+
+
+def frequency_summary(hits: DataFrame) -> DataFrame:
+    """Per event: mask, number, strongest and list of the frequencies that its hits have."""
+    bit = F.coalesce(*[F.when(F.col("frequency") == f, F.lit(v)) for f, v in ORDER.items()])
+    rows = hits.withColumn("bit", bit).groupBy("event_key").agg(F.bit_or("bit").alias("mask"), F.count_distinct("frequency").alias("confluence"), F.max_by("frequency", "bit").alias("strongest"))
+    names = F.array_compact(F.array(*[F.when(F.col("mask").bitwiseAND(F.lit(v)) != 0, F.lit(f)) for f, v in ORDER.items()]))
+    return rows.withColumn("frequencies", F.array_join(names, ","))
+
+
 def stage_at(cutoff: Column) -> Column:
     """Stage as it was just before an instant."""
     before = lambda c: F.coalesce(F.col(c) < cutoff, F.lit(False))
@@ -130,24 +170,41 @@ def stock_groups(events: DataFrame, cutoff: Column) -> DataFrame:
         F.max("discovered_at").alias("latest_pivot_at"), F.max(F.when(top, F.col("discovered_at"))).alias("latest_top_at"), F.max(F.when(bottom, F.col("discovered_at"))).alias("latest_bottom_at"),
         F.count("*").alias("events"), F.count_if(top).alias("tops"), F.count_if(bottom).alias("bottoms"), F.count_if(~gone).alias("active"), F.count_if(gone).alias("invalidated"),
         F.max_by("stage_then", F.struct("discovered_at", "event_key")).alias("latest_stage"),
+        *([F.max(F.when(F.col("wave_status") == "COMPLETED", F.col("wave_score"))).alias("max_wave_score"), F.max_by("symbol_name", F.struct("discovered_at", "event_key")).alias("symbol_name")] if "wave_score" in events.columns else []),
     )
 
 
+#: What a list of events can be sorted by.
+SORT_KEYS = {"score": "score", "first_seen": "discovered_at", "confluence": "confluence", "hits": "total_hit_count", "last_seen": "last_seen_at"}
+
+
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     size = max(1, min(size, 200))
     return rows.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size)
 
 
-def invariants(events: DataFrame) -> DataFrame:
-    """Checks that must all count zero."""
-    checks = {
-        "several_active_events": events.filter("is_active").groupBy(*KEY).count().filter("count > 1"),
-        "active_but_broken": events.filter("is_active and break_eob is not null"),
-        "stage_without_time": events.filter("strongest_stage = 'ESTABLISHED' and established_at is null"),
-        "stage_out_of_order": events.filter("observed_at < discovered_at or focused_at < observed_at or established_at < focused_at"),
-        "promoted_after_break": events.filter("greatest(observed_at, focused_at, established_at) >= break_eob"),
-        "break_not_strict": events.filter("(side = 'TOP' and break_ticks <= ticks) or (side = 'BOTTOM' and break_ticks >= ticks)"),
-        "break_before_discovery": events.filter("break_eob <= discovered_at"),
-        "root_missing": events.filter("discovered_at is null"),
-    }
-    return reduce(DataFrame.unionByName, [d.agg(F.count("*").alias("n")).select(F.lit(k).alias("check_name"), "n") for k, d in checks.items()])
+def event_list(events: DataFrame, sort: str = "score", descending: bool = True, number: int = 1, size: int = 50) -> DataFrame:
+    """A page by a sort key, ties by event_key, each row with the number of events and of pages."""
+    size = max(1, min(size, 200))
+    key = F.col(SORT_KEYS[sort])
+    totals = events.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / size).cast("long"))
+    return page(events, [key.desc() if descending else key.asc(), F.asc("event_key")], number, size).join(F.broadcast(totals))  # one row
+
+
+def invariants(events: DataFrame, hits: DataFrame, moves: DataFrame) -> DataFrame:
+    """13 checks that must all count zero, from one pass over events, one over levels, hits and lifecycle each."""
+    active, gone = F.col("is_active"), F.col("stage") == "INVALIDATED"
+    level = lambda *stages: F.col("stage").isin(*stages)
+    off = lambda name, side, held: F.count_if((F.col("side") == side) & gone & held).alias(name)
+    seen = events.agg(
+        F.count_if(active & gone).alias("active_invalidated_stage"), F.count_if(~active & ~gone).alias("inactive_noninvalidated_stage"),
+        F.count_if(level(*STAGES[1:]) & F.col("observed_at").isNull()).alias("observing_without_30m_time"), F.count_if(level(*STAGES[2:]) & F.col("focused_at").isNull()).alias("focus_without_60m_time"),
+        F.count_if(level(STAGES[3]) & F.col("established_at").isNull()).alias("established_without_day_time"),
+        off("top_invalidated_without_strict_break", "TOP", F.col("break_ticks") <= F.col("ticks")), off("bottom_invalidated_without_strict_break", "BOTTOM", F.col("break_ticks") >= F.col("ticks")),
+    )
+    twice = events.filter(active).groupBy(*KEY).count().agg(F.count_if(F.col("count") > 1).alias("duplicate_active_level"))
+    wrong = lambda name, stage, frequency: F.count_if((F.col("stage") == stage) & (F.col("frequency") != frequency)).alias(name)
+    bars = hits.agg(wrong("discovery_not_5m", "DISCOVERED", "5m"), wrong("observing_not_30m", "OBSERVING", "30m"), wrong("focus_not_60m", "FOCUS", "60m"), wrong("established_not_1d", "ESTABLISHED", "1d"))
+    told = moves.agg(F.count_if((F.col("to_stage") == "DISCOVERED") & F.col("notify")).alias("discovery_should_notify"))
+    rows = [d.select(F.inline(F.array(*[F.struct(F.lit(c).alias("check_name"), F.col(c).alias("n")) for c in d.columns]))) for d in (seen, twice, bars, told)]
+    return reduce(DataFrame.unionByName, rows)

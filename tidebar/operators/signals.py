@@ -8,11 +8,24 @@ from pyspark.sql import functions as F
 THRESHOLDS = [75, 80, 85, 90, 95]
 
 
-def classify_signals(signals: DataFrame, gain: int = 2) -> DataFrame:
-    """New, Strengthened (score risen by `gain`) or Repeated, against the previous signal of day, symbol and strategy."""
+def classify_signals(signals: DataFrame, gain: int = 2, within: int = 5) -> DataFrame:
+    """Event type against the previous signal of day, symbol and strategy: New; Revised (another source watermark within `within`
+    seconds); Strengthened (score risen by `gain`, or a higher action); else Repeated. action and watermark are optional columns."""
     w = Window.partitionBy("symbol", "strategy_code", "trading_date").orderBy("observed_at", "signal_id")
-    before = F.lag("score").over(w)
-    return signals.withColumn("event_type", F.when(before.isNull(), "New").when(F.col("score") >= before + gain, "Strengthened").otherwise("Repeated"))
+    lag = lambda c: F.lag(c).over(w)
+    up = F.col("score") >= lag("score") + gain
+    if "action" in signals.columns:
+        rank = lambda c: F.coalesce(F.when(c == "CONFIRM", 2).when(c == "CANDIDATE", 1), F.lit(0))
+        up = up | (rank(F.col("action")) > rank(lag("action")))
+    kind = F.when(lag("score").isNull(), "New")
+    if "watermark" in signals.columns:
+        kind = kind.when((F.col("watermark") != lag("watermark")) & (F.timestamp_diff("SECOND", lag("observed_at"), F.col("observed_at")) <= within), "Revised")
+    return signals.withColumn("event_type", kind.when(up, "Strengthened").otherwise("Repeated"))
+
+
+def expiries(aged: DataFrame) -> DataFrame:
+    """A row for each detail whose aged status is not what is stored."""
+    return aged.filter(F.col("aged_status") != F.col("status")).select("symbol", "strategy_code", "trading_date", F.col("status").alias("from_status"), F.col("aged_status").alias("to_status"))
 
 
 def level(active: Column, score: Column) -> Column:
@@ -50,11 +63,53 @@ def train_split(signals: DataFrame, ratio: float = 0.7) -> DataFrame:
     return signals.join(part, "trading_date")
 
 
-def calibration(outcomes: DataFrame, horizon: str = "d3") -> DataFrame:
-    """Samples, win rate and mean return by strategy, threshold and segment, with the segment `all`."""
+HORIZONS = ("d1", "d3", "d5", "w1")
+
+
+def calibration(outcomes: DataFrame) -> DataFrame:
+    """Samples, win rate and mean return of each horizon, and mean best and worst of five days, by strategy, threshold and segment, with the
+    segment `all`."""
     both = outcomes.withColumn("segment", F.explode(F.array("segment", F.lit("all"))))
-    r = F.col(horizon)
-    return both.groupBy("strategy_code", "threshold", "segment").agg(F.count(r).alias("samples"), F.avg((r > 0).cast("int")).alias("win_rate"), F.avg(r).alias("mean_return"))
+    each = [x for h in HORIZONS for x in (F.count(h).alias(f"samples_{h}"), F.avg((F.col(h) > 0).cast("int")).alias(f"win_rate_{h}"), F.avg(h).alias(f"mean_{h}"))]
+    return both.groupBy("strategy_code", "threshold", "segment").agg(*each, F.avg("mfe5").alias("mean_mfe5"), F.avg("mae5").alias("mean_mae5"))
+
+
+def recommendations(calibrated: DataFrame, least: int = 20) -> DataFrame:
+    """Per strategy the threshold to use: both segments with enough three-day samples, a mean above 0 and a win rate of a half at least; of
+    those the best by the segments' mean return less their distance; ties go to the lower threshold."""
+    part = lambda name: calibrated.filter(F.col("segment") == name).select("strategy_code", "threshold", *[F.col(f"{c}_d3").alias(f"{name}_{c}") for c in ("samples", "mean", "win_rate")])
+    rows = part("train").join(part("validation"), ["strategy_code", "threshold"])
+    for name in ("train", "validation"):
+        rows = rows.filter((F.col(f"{name}_samples") >= least) & (F.col(f"{name}_mean") > 0) & (F.col(f"{name}_win_rate") >= 0.5))
+    a, b = F.col("train_mean"), F.col("validation_mean")
+    rows = rows.withColumn("objective", F.round((a + b) / 2 - F.abs(a - b), 9))
+    best = F.max(F.struct("objective", (-F.col("threshold")).alias("minus"))).alias("best")
+    return rows.groupBy("strategy_code").agg(best).select("strategy_code", (-F.col("best.minus")).alias("threshold"), F.col("best.objective").alias("objective"))
+
+
+def filter_signals(signals: DataFrame, symbol: str | None = None, strategy: str | None = None, event_type: str | None = None, date: str | None = None) -> DataFrame:
+    for column, value in (("symbol", symbol), ("strategy_code", strategy), ("event_type", event_type), ("trading_date", date)):
+        if value is not None:
+            signals = signals.filter(F.col(column) == F.lit(value).cast(signals.schema[column].dataType))
+    return signals
+
+
+def filter_opportunities(rows: DataFrame, date: str | None = None, symbol: str | None = None, level: str | None = None, status: str | None = "active") -> DataFrame:
+    for column, value in (("trading_date", date), ("symbol", symbol), ("level", level), ("status", status)):
+        if value is not None:
+            rows = rows.filter(F.col(column) == F.lit(value).cast(rows.schema[column].dataType))
+    return rows
+
+
+def filter_runs(runs: DataFrame, profile: str | None = None, status: str | None = None) -> DataFrame:
+    for column, value in (("profile", profile), ("status", status)):
+        if value is not None:
+            runs = runs.filter(F.col(column) == value)
+    return runs
+
+
+def with_outcome(signals: DataFrame, outcomes: DataFrame) -> DataFrame:
+    return signals.join(outcomes, ["symbol", "trading_date"], "left")
 
 
 def age(detail: DataFrame, now: Column, weaken: int = 6, expire: int = 18) -> DataFrame:

@@ -44,6 +44,17 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("first")).unionByName(b.exceptAll(a).withColumn("side", F.lit("second")))
 
 
+def gate(first: DataFrame, second: DataFrame, calendar: DataFrame, other: DataFrame, bounds: tuple[int, int] = (4000, 10_000), least_eligible: int = 4500) -> DataFrame:
+    """Per day of the first snapshot: rows, eligible ones, repeated symbols, rows in which two snapshots differ, and whether it passes: sizes
+    within bounds, no repeats, no differences, and the day on both exchanges' calendars or on neither."""
+    counted = first.groupBy("trading_date").agg(F.count("*").alias("total"), F.count_if("is_eligible").alias("eligible"), (F.count("*") - F.count_distinct("symbol")).alias("duplicates"))
+    off = differences(first, second).groupBy("trading_date").agg(F.count("*").alias("differing"))
+    days = calendar.select("trading_date", F.lit(1).alias("a")).join(other.select("trading_date", F.lit(1).alias("b")), "trading_date", "full")
+    rows = counted.join(off, "trading_date", "left").join(days, "trading_date", "left").fillna(0, ["differing"])
+    passed = F.col("total").between(*bounds) & (F.col("eligible") >= least_eligible) & (F.col("duplicates") == 0) & (F.col("differing") == 0) & F.col("a").eqNullSafe(F.col("b"))
+    return rows.withColumn("passed", passed).drop("a", "b")
+
+
 def readiness(certificates: DataFrame, universe: DataFrame) -> DataFrame:
     """Per certified day: counted against certified totals; ready if all agree, and a day without trading has none."""
     counted = universe.groupBy("trading_date").agg(F.count("*").alias("total"), F.count_if("is_eligible").alias("eligible"), F.count_distinct("symbol").alias("symbols"))

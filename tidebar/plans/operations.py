@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebar.operators import bars as B
+from tidebar.operators import daily as D
 from tidebar.operators import intraday as I
 from tidebar.operators import maintain as M
 from tidebar.operators import pairs as P
 from tidebar.operators import signals as S
 from tidebar.operators import universe as U
 from tidebar.plans.market import CUTOFF, EVENTS, QUERIES, SQL, TICKS, bars_sql, cutoff, day, events, query, stamp, text
-from tidebar.plans.research import SIGNALS, percent, rounded
+from tidebar.plans.research import DAILY, SIGNALS, mean, percent, rounded
 from tidebar.sources import adapters as A
 
 __all__ = ["QUERIES", "SQL"]
@@ -84,8 +85,8 @@ def exact_cover_5m(spark: SparkSession, folder: str) -> DataFrame:
     return U.cover(B.expected_slots(days, "5m"), bars, proofs, ["symbol", "trading_date"], "slot").withColumn("trading_date", day())
 
 
-M1 = f"""WITH {TICKS}, {bars_sql('1m', 'm')}, v AS (SELECT *, coalesce(sum(amount_ticks) OVER (w ROWS UNBOUNDED PRECEDING) / nullif(sum(volume) OVER (w ROWS UNBOUNDED PRECEDING), 0)::DOUBLE, close_ticks) AS vwap, row_number() OVER w AS n FROM m WINDOW w AS (PARTITION BY symbol, trading_date ORDER BY slot)),
-r AS (SELECT *, n - coalesce(max(CASE WHEN close_ticks < vwap THEN n END) OVER (PARTITION BY symbol, trading_date ORDER BY slot ROWS UNBOUNDED PRECEDING), 0) AS run_above FROM v)"""
+M1 = f"""WITH {TICKS}, {bars_sql('1m', 'm')}, v AS (SELECT *, coalesce(sum(amount_ticks) OVER (w ROWS UNBOUNDED PRECEDING) / nullif(sum(volume) OVER (w ROWS UNBOUNDED PRECEDING), 0)::DOUBLE, close_ticks) AS vwap, sum(volume) OVER (w ROWS UNBOUNDED PRECEDING) > 0 AS traded, row_number() OVER w AS n FROM m WINDOW w AS (PARTITION BY symbol, trading_date ORDER BY slot)),
+r AS (SELECT *, n - coalesce(max(CASE WHEN NOT (traded AND close_ticks >= vwap) THEN n END) OVER (PARTITION BY symbol, trading_date ORDER BY slot ROWS UNBOUNDED PRECEDING), 0) AS run_above FROM v)"""
 
 
 @query("vwap_runs", f"{M1} SELECT symbol, strftime(trading_date, '%Y-%m-%d') AS trading_date, slot, round(vwap, 4) AS vwap, run_above FROM r")
@@ -94,15 +95,17 @@ def vwap_runs(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(rows, "vwap").select("symbol", day(), "slot", "vwap", "run_above")
 
 
-FEATURES = f"""{M1}, f AS (SELECT *, avg(volume) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS last5, CASE WHEN n >= 10 THEN avg(volume) OVER (w ROWS BETWEEN 9 PRECEDING AND 5 PRECEDING) END AS prior5,
- coalesce(volume >= lag(volume) OVER w AND lag(volume) OVER w >= lag(volume, 2) OVER w, false) AS rising, max(high_ticks) OVER (w ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING) AS platform, lag(close_ticks, 5) OVER w AS ago FROM r WINDOW w AS (PARTITION BY symbol, trading_date ORDER BY slot)),
+FEATURES = M1 + """, f AS (SELECT *, avg(volume) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS last5, CASE WHEN n >= 10 THEN avg(volume) OVER (w ROWS BETWEEN 9 PRECEDING AND 5 PRECEDING) END AS prior5,
+ coalesce(volume >= lag(volume) OVER w AND lag(volume) OVER w >= lag(volume, 2) OVER w, false) AS rising, max(high_ticks) OVER (w ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING) AS platform, lag(close_ticks, 5) OVER w AS ago, avg(volume) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS last3, CASE WHEN n >= 6 THEN avg(volume) OVER (w ROWS BETWEEN 5 PRECEDING AND 3 PRECEDING) END AS prior3,
+ list({'l': low_ticks, 'c': close_ticks, 'v': vwap}) OVER (w ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS last8 FROM r WINDOW w AS (PARTITION BY symbol, trading_date ORDER BY slot)),
 a AS (SELECT symbol, trading_date, arg_min(open_ticks, slot) AS day_open, max(high_ticks) AS day_high, min(low_ticks) AS day_low, sum(volume)::BIGINT AS volume, sum(amount_ticks)::BIGINT AS amount_ticks, count(*) AS bars, max(slot) AS slot FROM f GROUP BY symbol, trading_date),
-d AS (SELECT a.*, f.close_ticks AS price, f.vwap, f.run_above, last5, prior5, rising, platform, ago FROM a JOIN f USING (symbol, trading_date, slot)),
-z AS (SELECT symbol, trading_date, day_open, day_high, day_low, price, volume, amount_ticks, bars, vwap, run_above, {percent('price', 'day_open')} AS from_open, {percent('price', 'vwap')} AS above_vwap, (day_high - price) / day_high::DOUBLE * 100 AS pullback,
+d AS (SELECT a.*, f.close_ticks AS price, f.vwap, f.run_above, last5, prior5, rising, platform, ago, last3, prior3, last8 FROM a JOIN f USING (symbol, trading_date, slot)),
+""" + f"""z AS (SELECT slot, coalesce(CASE WHEN prior3 > 0 THEN last3 / prior3 END, 0) AS recent3,
+ CASE WHEN len(last8) >= 4 THEN last8[-1].c >= last8[-1].v AND last8[-2].c >= last8[-2].v AND len(list_filter(last8[1:len(last8) - 2], lambda b: b.l >= b.v * 0.997 AND b.c >= b.v AND (last8[-1].c - b.c) / b.c::DOUBLE * 100 >= 0.2)) > 0 ELSE false END AS restart, symbol, trading_date, day_open, day_high, day_low, price, volume, amount_ticks, bars, vwap, run_above, {percent('price', 'day_open')} AS from_open, {percent('price', 'vwap')} AS above_vwap, (day_high - price) / day_high::DOUBLE * 100 AS pullback,
  CASE WHEN day_high > day_low THEN (price - day_low) / (day_high - day_low)::DOUBLE ELSE 1 END AS close_position, CASE WHEN day_high > day_low THEN (day_high - greatest(day_open, price)) / (day_high - day_low)::DOUBLE ELSE 0 END AS upper_wick,
  coalesce(CASE WHEN prior5 > 0 THEN last5 / prior5 END, 0) AS acceleration, rising AS volume_sustained, {percent('price', 'coalesce(ago, 0)')} AS return_5, CASE WHEN platform > 0 THEN {percent('price', 'platform')} ELSE 0 END AS platform_breakout FROM d)"""
-_REALS = ["vwap", "from_open", "above_vwap", "pullback", "close_position", "upper_wick", "acceleration", "return_5", "platform_breakout"]
-_WHOLE = ["day_open", "day_high", "day_low", "price", "volume", "amount_ticks", "bars", "run_above", "volume_sustained"]
+_REALS = ["vwap", "from_open", "above_vwap", "pullback", "close_position", "upper_wick", "acceleration", "return_5", "platform_breakout", "recent3"]
+_WHOLE = ["day_open", "day_high", "day_low", "price", "volume", "amount_ticks", "bars", "run_above", "volume_sustained", "slot", "restart"]
 
 
 def features(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,26 +117,106 @@ def day_features(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(features(spark, folder), *_REALS).select("symbol", day(), *_WHOLE, *_REALS)
 
 
-def _rules_sql() -> str:
+# daily bars of the ten listed symbols stand in as history of the twenty that tick
+HISTORY = f"""{FEATURES}, {bars_sql('30m', 'b30m')}, {DAILY}, hist AS (SELECT 'U' || CAST(k AS VARCHAR) AS symbol, trading_date AS d, * EXCLUDE (symbol, trading_date) FROM (SELECT unnest(range(20)) AS k) JOIN daily ON daily.symbol = 'S' || CAST(k % 10 AS VARCHAR)),
+m3 AS (SELECT symbol, trading_date, eob, open_ticks AS o, high_ticks AS h, low_ticks AS l, close_ticks AS c, volume, avg(volume) OVER (PARTITION BY symbol ORDER BY eob ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS mean FROM b30m),
+m30 AS (SELECT symbol, trading_date, CASE WHEN mean > 0 THEN volume / mean ELSE 0 END AS m30_volume_ratio, CASE WHEN h > l THEN (c - l) / (h - l)::DOUBLE ELSE 1 END AS m30_close_position, CASE WHEN h > l THEN (h - greatest(o, c)) / (h - l)::DOUBLE ELSE 0 END AS m30_upper_wick, c > o AS m30_bullish
+ FROM m3 QUALIFY row_number() OVER (PARTITION BY symbol, trading_date ORDER BY m3.eob DESC) = 1),
+av AS (SELECT symbol, d, close_ticks AS last_close, {', '.join(f'{mean(n)} AS ma{n}' for n in (5, 10, 20, 30, 60))}, {mean(20, 1)} AS ma20_before, lag(close_ticks, 4) OVER w AS four_ago, avg(volume) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS mean_volume, row_number() OVER w AS i,
+ count(*) OVER (w ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS n15, avg(volume) OVER (w ROWS BETWEEN 14 PRECEDING AND 5 PRECEDING) AS old FROM hist WINDOW w AS (PARTITION BY symbol ORDER BY d)),
+st AS (SELECT symbol, last_close, ma5, ma10, ma20, ma30, ma60, CASE WHEN i >= 21 THEN {percent('ma20', 'ma20_before')} ELSE 0 END AS ma20_slope, {percent('ma20', 'ma60')} AS trend_strength, CASE WHEN n15 >= 15 AND old > 0 THEN mean_volume / old ELSE 0 END AS pullback_volume_ratio,
+ coalesce(least(CASE WHEN ma20 > 0 THEN ma20 END, CASE WHEN ma30 > 0 THEN ma30 END), 0) AS support, four_ago, mean_volume FROM av QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY d DESC) = 1),
+wk AS (SELECT symbol, date_trunc('week', d) AS week, max(high_ticks) AS h, min(low_ticks) AS l FROM hist GROUP BY ALL),
+wn AS (SELECT symbol, week, row_number() OVER (PARTITION BY symbol ORDER BY week DESC) AS a, h, l FROM wk),
+wp AS (SELECT symbol, count(*) AS nw, max(h) FILTER (a <= 24) AS hi, min(l) FILTER (a <= 24) AS lo, max(h) FILTER (a <= 12) AS hi12, min(l) FILTER (a <= 12) AS lo12, list(h) FILTER (a <= 24) AS hs FROM wn GROUP BY symbol),
+pl AS (SELECT symbol, CASE WHEN nw >= 12 THEN hi ELSE 0 END AS platform_high, CASE WHEN nw >= 12 THEN lo ELSE 0 END AS platform_low, CASE WHEN nw >= 12 THEN {percent('hi', 'lo')} ELSE 0 END AS range_24, CASE WHEN nw >= 12 THEN {percent('hi12', 'lo12')} ELSE 0 END AS range_12,
+ CASE WHEN nw >= 12 THEN len(list_filter(hs, lambda q: q >= hi * 0.97)) ELSE 0 END AS touches FROM wp),
+hn AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY d DESC) AS a FROM hist), hl AS (SELECT symbol, count(*) AS n, list(high_ticks ORDER BY d) AS h, list(low_ticks ORDER BY d) AS l, list(close_ticks::DOUBLE ORDER BY d) AS c FROM hn WHERE a <= 140 GROUP BY symbol),
+w1 AS (SELECT *, list_position(h, list_max(h)) AS i FROM hl), w2 AS (SELECT *, list_min(l[i + 1:n]) AS low FROM w1), w3 AS (SELECT *, i + list_position(l[i + 1:n], low) AS j FROM w2), w4 AS (SELECT *, list_max(h[j + 1:n]) AS rise FROM w3), w5 AS (SELECT *, j + list_position(h[j + 1:n], rise) AS k FROM w4),
+w6 AS (SELECT *, l[least(k + 1, n):n] AS rest, n >= 120 AND i <= n - 20 AS known FROM w5), w7 AS (SELECT *, list_min(rest) AS second, known AND coalesce(j <= n - 5, false) AS whole FROM w6),
+snap0 AS (SELECT z.*, m30.* EXCLUDE (symbol, trading_date), st.* EXCLUDE (symbol), pl.* EXCLUDE (symbol), last_close AS pre_close, {percent('price', 'last_close')} AS change, {percent('day_open', 'last_close')} AS gap, coalesce(CASE WHEN mean_volume > 0 THEN volume / (mean_volume * (slot + 1) / 240.0) END, 0) AS volume_ratio,
+ {percent('price', 'four_ago')} AS five_day_return, {percent('price', 'support')} AS distance_from_support, amount_ticks / 100.0::DOUBLE AS amount, CASE WHEN n < 60 THEN 'FEW_DAILY_BARS' ELSE 'READY' END AS readiness, CAST(substr(symbol, 2) AS INTEGER) % 2 = 1 AS growth,
+ CASE WHEN whole THEN (list_max(h) - low) / list_max(h)::DOUBLE * 100 WHEN known THEN {percent('low', 'list_max(h)')} ELSE 0 END AS decline, CASE WHEN whole THEN {percent('rise', 'low')} ELSE 0 END AS rebound, CASE WHEN whole THEN {percent('price', 'second')} ELSE 0 END AS repair,
+ whole AND len(rest) >= 2 AND second >= low * 0.98 AND second <= rise * 0.97 AS second_bottom, whole AND price > greatest(list_avg(c[n - 9:n]), list_avg(c[n - 19:n])) AS breaks_trend
+ FROM z JOIN m30 USING (symbol, trading_date) JOIN st USING (symbol) JOIN pl USING (symbol) JOIN w7 USING (symbol)),
+snap AS (SELECT *, change - avg(change) OVER (PARTITION BY trading_date) AS relative_strength, avg(change) OVER (PARTITION BY trading_date) AS market_change FROM snap0)"""
+_SNAP_REALS = [
+    *_REALS, *[c for c in (*I.M30, *I.HISTORY, *I.WEEKS, *I.WAVE) if c not in ("m30_bullish", "second_bottom", "breaks_trend", "touches", "platform_high", "platform_low")],
+    "change", "gap", "volume_ratio", "five_day_return", "distance_from_support", "amount", "relative_strength", "market_change",
+]
+_SNAP_WHOLE = [*_WHOLE, "m30_bullish", "second_bottom", "breaks_trend", "touches", "platform_high", "platform_low", "pre_close", "readiness"]
+
+
+def snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    ticks = A.ticks(spark, folder)
+    symbols = ticks.select("symbol").distinct().withColumn("_s", F.concat(F.lit("S"), (F.substring("symbol", 2, 9).cast("int") % 10).cast("string")))
+    history = A.daily_bars(spark, folder).withColumnRenamed("symbol", "_s").join(F.broadcast(symbols), "_s").drop("_s")  # as many rows as symbols tick
+    m1, m30 = B.ticks_to_bars(ticks, "1m"), B.ticks_to_bars(ticks, "30m")
+    quotes = m1.groupBy("symbol", "trading_date").agg(F.max_by("close_ticks", "slot").alias("price_ticks")).withColumn("pre_close", F.lit(None).cast("long"))
+    market = D.with_prev_close(quotes, history).groupBy("trading_date").agg(F.avg("change_percent").alias("market_change"))
+    rows = I.snapshots(m1, m30, history, market)
+    return rows.withColumn("growth", F.substring("symbol", 2, 9).cast("int") % 2 == 1)
+
+
+@query("snapshots", f"{HISTORY} SELECT symbol, strftime(trading_date, '%Y-%m-%d') AS trading_date, {', '.join(_SNAP_WHOLE)}, {', '.join(f'round({c}, 4) AS {c}' for c in _SNAP_REALS)} FROM snap")
+def snapshot_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(snapshots(spark, folder), *_SNAP_REALS).select("symbol", day(), *_SNAP_WHOLE, *_SNAP_REALS)
+
+
+@query("quote_change", f"""{HISTORY} SELECT symbol, strftime(trading_date, '%Y-%m-%d') AS trading_date, p AS prev_close, round(CASE WHEN p > 0 THEN {percent('price', 'p')} END, 4) AS change_percent FROM (SELECT *, CASE WHEN price % 2 = 0 THEN price - 100 ELSE last_close END AS p FROM snap)""")
+def quote_change(spark: SparkSession, folder: str) -> DataFrame:
+    """Quotes of which half bring their previous close along."""
+    rows = snapshots(spark, folder).select("symbol", "trading_date", F.col("price").alias("price_ticks"), F.when(F.col("price") % 2 == 0, F.col("price") - 100).alias("pre_close"))
+    symbols = rows.select("symbol").distinct().withColumn("_s", F.concat(F.lit("S"), (F.substring("symbol", 2, 9).cast("int") % 10).cast("string")))
+    history = A.daily_bars(spark, folder).withColumnRenamed("symbol", "_s").join(F.broadcast(symbols), "_s").drop("_s")
+    return rounded(D.with_prev_close(rows, history), "change_percent").select("symbol", day(), "prev_close", "change_percent")
+
+
+#: Limits that some of the synthetic days pass.
+SCALED = I.LIMITS | {
+    "turnover": 5000, "minutes": 6, "rise": -50, "day_gain": 1e9, "candidate_low": 0, "confirm_low": 0, "pullback_high": 80, "candidate_run": 1, "confirm_run": 2, "candidate_pace": 0.5, "confirm_pace": 0.8, "recent3": 0.5,
+    "return_5": -50, "breakout": -90, "gap_main": -100, "gap_growth": -100, "restart_rise": -50, "restart_gain": 1e9, "restart_above": -50, "restart_pullback": 80,
+}
+
+
+def _rules_sql(limits: dict) -> str:
     parts = []
-    for name, conditions in I.RULES.items():
-        failed = ", ".join(f"CASE WHEN NOT coalesce({c}, false) THEN '{k}' END" for k, c in conditions.items())
+    for (rule, branch), conditions in I.rules(limits).items():
+        names = lambda no: ", ".join(f"CASE WHEN {no} coalesce({c}, false) THEN '{k}' END" for k, c in conditions.items())  # noqa: E731, B023
         met = " + ".join(f"coalesce({c}, false)::INT" for c in conditions.values())
-        parts.append(f"SELECT symbol, trading_date, '{name}' AS rule, concat_ws(',', {failed}) AS failed, round(100 * ({met}) / {len(conditions)}::DOUBLE, 4) AS score, ({met}) = {len(conditions)} AS passed FROM z")
+        parts.append(f"SELECT symbol, trading_date, '{rule}' AS rule, '{branch}' AS branch, concat_ws(',', {names('')}) AS met, concat_ws(',', {names('NOT')}) AS missed, round(100 * ({met}) / {len(conditions)}::DOUBLE, 4) AS score, ({met}) = {len(conditions)} AS passed FROM snap")
     return " UNION ALL ".join(parts)
 
 
-RULED = f"{FEATURES}, ev AS ({_rules_sql()})"
+def _funnel_sql(limits: dict) -> str:
+    parts = []
+    for (rule, branch), conditions in I.rules(limits).items():
+        for i, k in enumerate(conditions):
+            came = " AND ".join(["true", *[f"coalesce({c}, false)" for c in list(conditions.values())[:i]]])
+            parts.append(f"SELECT '{rule}' AS rule, '{branch}' AS branch, {i + 1} AS step, '{k}' AS condition, count(*) AS evaluated, count(*) FILTER (coalesce({conditions[k]}, false)) AS passed FROM snap WHERE {came} HAVING count(*) > 0")
+    return " UNION ALL ".join(parts)
 
 
-@query("rule_evaluations", f"{RULED} SELECT symbol, strftime(trading_date, '%Y-%m-%d') AS trading_date, rule, failed, score, passed FROM ev")
+@query("rule_evaluations", f"{HISTORY}, ruled AS ({_rules_sql(I.LIMITS)}) SELECT symbol, strftime(trading_date, '%Y-%m-%d') AS trading_date, rule, branch, met, missed, score, passed FROM ruled")
 def rule_evaluations(spark: SparkSession, folder: str) -> DataFrame:
-    return I.evaluate(features(spark, folder)).withColumn("trading_date", day())
+    """By the published limits."""
+    rows = I.evaluate(snapshots(spark, folder))
+    return rows.withColumns({"trading_date": day(), "met": F.array_join("met", ","), "missed": F.array_join("missed", ",")})
+
+
+@query(
+    "rule_decisions",
+    f"""{HISTORY}, ruled AS ({_rules_sql(SCALED)}), dc AS (SELECT symbol, trading_date, rule, bool_or(branch = 'confirm' AND passed) AS c, bool_or(branch = 'candidate' AND passed) AS d, max(score) AS score FROM ruled GROUP BY ALL)
+SELECT symbol, strftime(trading_date, '%Y-%m-%d') AS trading_date, rule, score, CASE WHEN c THEN 'CONFIRM' WHEN d THEN 'CANDIDATE' ELSE 'NONE' END AS action FROM dc""",
+)
+def rule_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """By limits scaled to the synthetic prices."""
+    return I.decisions(I.evaluate(snapshots(spark, folder), SCALED)).withColumn("trading_date", day())
 
 
-@query("rule_funnel", f"{RULED} SELECT rule, count(*) AS evaluated, count(*) FILTER (passed) AS passed FROM ev GROUP BY rule")
+@query("rule_funnel", f"{HISTORY} {_funnel_sql(SCALED)}")
 def rule_funnel(spark: SparkSession, folder: str) -> DataFrame:
-    return I.funnel(I.evaluate(features(spark, folder)))
+    return I.funnel(I.evaluate(snapshots(spark, folder), SCALED), SCALED)
 
 
 @query(

@@ -15,8 +15,8 @@ from tidebar.sources import adapters as A
 __all__ = ["QUERIES", "SQL"]
 
 DAILY = """daily AS (
-  SELECT 'S' || CAST(l_suppkey % 10 AS VARCHAR) AS symbol, CAST(l_shipdate AS DATE) AS trading_date, arg_min(p, (l_orderkey, l_linenumber)) AS open_ticks, max(p) AS high_ticks, min(p) AS low_ticks,
-         arg_max(p, (l_orderkey, l_linenumber)) AS close_ticks, CAST(sum(l_quantity) AS BIGINT) AS volume, sum(p)::BIGINT AS amount_ticks
+  SELECT 'S' || CAST(l_suppkey % 10 AS VARCHAR) AS symbol, CAST(l_shipdate AS DATE) AS trading_date, arg_min(p, (l_orderkey, l_linenumber, l_partkey, p, l_quantity)) AS open_ticks, max(p) AS high_ticks, min(p) AS low_ticks,
+         arg_max(p, (l_orderkey, l_linenumber, l_partkey, p, l_quantity)) AS close_ticks, CAST(sum(l_quantity) AS BIGINT) AS volume, sum(p)::BIGINT AS amount_ticks
   FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS p FROM lineitem) GROUP BY 1, 2)"""
 SIGNALS = """sig AS (
   SELECT 'C' || CAST(o_custkey % 50 AS VARCHAR) AS symbol, o_orderpriority AS strategy_code, CAST(o_orderdate AS DATE) AS trading_date, CAST(o_orderdate AS TIMESTAMP) + to_seconds(CAST(o_orderkey % 14400 AS INTEGER)) AS observed_at,
@@ -75,7 +75,7 @@ def trend_gate(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "pullback_volume",
     f"""{BASE}, p AS (SELECT symbol, trading_date, count(*) OVER (w ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS n, avg(volume) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS new,
-  avg(volume) OVER (w ROWS BETWEEN 14 PRECEDING AND 5 PRECEDING) AS old FROM daily WINDOW w AS ({W})) SELECT symbol, {DATE}, round(CASE WHEN n >= 15 AND old > 0 THEN new / old ELSE 1 END, 4) AS pullback_volume_ratio FROM p""",
+  avg(volume) OVER (w ROWS BETWEEN 14 PRECEDING AND 5 PRECEDING) AS old FROM daily WINDOW w AS ({W})) SELECT symbol, {DATE}, round(CASE WHEN n >= 15 AND old > 0 THEN new / old ELSE 0 END, 4) AS pullback_volume_ratio FROM p""",
 )
 def pullback_volume(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(D.pullback_volume(A.daily_bars(spark, folder)), "pullback_volume_ratio").select("symbol", day(), "pullback_volume_ratio")
@@ -105,23 +105,47 @@ def weekly_platform(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("symbol", day("week"), "platform_high", "platform_low", "range_24", "range_12", "touches")
 
 
-def _day_signals(spark: SparkSession, folder: str) -> DataFrame:
-    bars = A.daily_bars(spark, folder)
-    return bars.filter(F.pmod("close_ticks", F.lit(7)) == 0).select("symbol", "trading_date")
+AHEAD = f"""ahead AS (SELECT symbol, trading_date, close_ticks AS c, lead(close_ticks, 1) OVER w AS c1, lead(close_ticks, 3) OVER w AS c3, lead(close_ticks, 5) OVER w AS c5, max(high_ticks) OVER (w ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS hi,
+ min(low_ticks) OVER (w ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS lo, first_value(close_ticks) OVER (PARTITION BY symbol ORDER BY trading_date RANGE BETWEEN INTERVAL 7 DAY FOLLOWING AND UNBOUNDED FOLLOWING) AS cw FROM daily WINDOW w AS ({W})),
+outcome AS (SELECT symbol, trading_date, c, {', '.join(f'{percent(f"c{n}", "c")} AS d{n}' for n in (1, 3, 5))}, {percent('cw', 'c')} AS w1, {percent('hi', 'c')} AS mfe5, {percent('lo', 'c')} AS mae5 FROM ahead)"""
+_OUTCOMES = ["d1", "d3", "d5", "w1", "mfe5", "mae5"]
 
 
-@query(
-    "forward_outcomes",
-    f"""{BASE}, f AS (SELECT symbol, trading_date, close_ticks AS c, lead(close_ticks, 1) OVER w AS c1, lead(close_ticks, 3) OVER w AS c3, lead(close_ticks, 5) OVER w AS c5, max(high_ticks) OVER (w ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS hi,
- min(low_ticks) OVER (w ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS lo FROM daily WINDOW w AS ({W})) SELECT symbol, {DATE}, {', '.join(f'round({percent(f"c{n}", "c")}, 4) AS d{n}' for n in (1, 3, 5))}, round({percent('hi', 'c')}, 4) AS mfe5, round({percent('lo', 'c')}, 4) AS mae5 FROM f WHERE c % 7 = 0""",
-)
+@query("forward_outcomes", f"{BASE}, {AHEAD} SELECT symbol, {DATE}, {', '.join(f'round({n}, 4) AS {n}' for n in _OUTCOMES)} FROM outcome")
 def forward_outcomes(spark: SparkSession, folder: str) -> DataFrame:
-    names = ["d1", "d3", "d5", "mfe5", "mae5"]
-    rows = D.forward_outcomes(_day_signals(spark, folder), A.daily_bars(spark, folder))
-    return rounded(rows, *names).select("symbol", day(), *names)
-
-
-@query("wave_scores")
+    """Every daily bar as a signal."""
+    bars = A.daily_bars(spark, folder)
+    return rounded(D.forward_outcomes(bars.select("symbol", "trading_date"), bars), *_OUTCOMES).select("symbol", day(), *_OUTCOMES)
+
+
+def _wave_sql() -> str:
+    ema = lambda values, n: f"list_reduce({values}, lambda a, x: a * {n - 1}.0 / {n + 1} + x * 2.0 / {n + 1})"
+    wilder = lambda values, e: f"list_reduce(list_concat([list_avg({values}[1:14])], {values}[15:len({values}) - {e}]), lambda a, x: (a * 13 + x) / 14)"
+    rsi = lambda e: f"CASE WHEN {wilder('dn', e)} = 0 THEN 100 ELSE 100 - 100 / (1 + {wilder('up', e)} / {wilder('dn', e)}) END"
+    hist = lambda e: f"(dif[n - {e}] - {ema(f'dif[1:n - {e}]', 9)}) * 2"
+    ma = lambda k, skip=0: f"list_avg(c[n - {k + skip} + 1:n - {skip}])"
+    tests = {
+        "RSI_TURN": "list_min([r0, r1, r2, r3, r4]) <= 35 AND r0 > r1", "MACD_CONTRACTION": "h0 <= 0 AND h0 > h1 AND h1 > h2", "NO_NEW_LOW": "l[n] > list_min(l[n - 4:n - 1])",
+        "BOTTOM_STRUCTURE": "q - p BETWEEN 5 AND 30 AND (l[q + 1] >= 1.005 * l[p + 1] OR (abs(l[q + 1] / l[p + 1] - 1) <= 0.03 AND h[n] >= list_max(h[p + 1:q + 1])))",
+        "MA_RECOVERY": f"c[n] > {ma(10)} AND {ma(10)} >= {ma(10, 5)}", "SHORT_PRESSURE_MA5": f"c[n] > list_max(h[n - 10:n - 1]) AND c[n] > {ma(5)}", "VOLUME_CONFIRM": "list_avg(v[n - 5:n - 1]) > 0 AND v[n] >= 1.2 * list_avg(v[n - 5:n - 1])",
+    }
+    gates = ["c[n] / c[n - 20] - 1 <= -0.08", "c[n] / list_max(h[n - 59:n]) - 1 <= -0.15", f"{ma(10)} < {ma(20)} AND {ma(20)} < {ma(20, 5)}"]
+    met = ", ".join(f"coalesce({t}, false) AS t_{k}" for k, t in tests.items())
+    score = " + ".join(f"CASE WHEN t_{k} THEN {D.POINTS[k]} ELSE 0 END" for k in tests)
+    names = ", ".join(f"CASE WHEN t_{k} THEN '{k}' END" for k in tests)
+    return f"""{BASE}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY d) AS i FROM x), e AS (SELECT symbol, max(d) AS as_of FROM x GROUP BY symbol, date_trunc('month', d)),
+w AS (SELECT e.symbol, as_of, count(*) AS n, list(b.close_ticks::DOUBLE ORDER BY b.d) AS c, list(b.high_ticks::DOUBLE ORDER BY b.d) AS h, list(b.low_ticks::DOUBLE ORDER BY b.d) AS l, list(b.volume::DOUBLE ORDER BY b.d) AS v
+ FROM e JOIN k z ON z.symbol = e.symbol AND z.d = as_of JOIN k b ON b.symbol = e.symbol AND b.i BETWEEN z.i - {D.LOOK_BACK - 1} AND z.i GROUP BY ALL),
+s AS (SELECT *, list_transform(range(2, n + 1), lambda i: greatest(c[i] - c[i - 1], 0)) AS up, list_transform(range(2, n + 1), lambda i: greatest(c[i - 1] - c[i], 0)) AS dn,
+ list_transform(range(1, n + 1), lambda i: {ema('c[1:i]', 12)} - {ema('c[1:i]', 26)}) AS dif, list_filter(range(greatest(2, n - 45), n - 2), lambda i: l[i + 1] <= l[i] AND l[i + 1] <= l[i + 2] AND l[i + 1] <= l[i - 1] AND l[i + 1] <= l[i + 3]) AS lows FROM w WHERE n >= {D.LEAST_BARS}),
+r AS (SELECT *, {', '.join(f'{rsi(i)} AS r{i}' for i in range(5))}, {', '.join(f'{hist(i)} AS h{i}' for i in range(3))}, CASE WHEN len(lows) >= 2 THEN lows[-2] END AS p, CASE WHEN len(lows) >= 2 THEN lows[-1] END AS q FROM s),
+t AS (SELECT symbol, as_of, n, {' + '.join(f'coalesce({g}, false)::INT' for g in gates)} >= 2 AS gate, {met} FROM r),
+o AS (SELECT symbol, as_of, n, gate, {score} AS score, concat_ws(',', {names}) AS matched FROM t)
+SELECT symbol, strftime(as_of, '%Y-%m-%d') AS as_of, n, 'COMPLETED' AS status, gate, score, CASE WHEN gate AND score >= {D.STRONG} THEN 'STRONG' WHEN gate AND score >= {D.CANDIDATE} THEN 'CANDIDATE' ELSE 'NONE' END AS signal, matched FROM o
+UNION ALL SELECT symbol, strftime(as_of, '%Y-%m-%d'), n, 'INSUFFICIENT_DATA', false, 0, 'NONE', '' FROM w WHERE n < {D.LEAST_BARS}"""
+
+
+@query("wave_scores", _wave_sql())
 def wave_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of every symbol as of each month's last bar."""
     bars = A.daily_bars(spark, folder)
@@ -129,13 +153,9 @@ def wave_scores(spark: SparkSession, folder: str) -> DataFrame:
     return D.wave_score(D.look_back(jobs, bars)).withColumn("as_of", day("as_of"))
 
 
-@query("market_change", f"{BASE}, c AS (SELECT *, lag(close_ticks) OVER ({W.replace('trading_date', 'd')}) AS pre FROM x) SELECT {DATE}, count(*) AS symbols, round(avg((close_ticks - pre) / pre::DOUBLE * 100), 4) AS average_change FROM c WHERE pre > 0 GROUP BY c.trading_date")
+@query("market_change", f"{BASE}, c AS (SELECT *, lag(close_ticks) OVER ({W.replace('trading_date', 'd')}) AS pre FROM x) SELECT {DATE}, count(*) AS symbols, round(avg((close_ticks - pre) / pre::DOUBLE * 100), 4) AS market_change FROM c WHERE pre > 0 GROUP BY c.trading_date")
 def market_change(spark: SparkSession, folder: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    before = F.lag("close_ticks").over(Window.partitionBy("symbol").orderBy("trading_date"))
-    rows = A.daily_bars(spark, folder).withColumn("pre", before).filter("pre > 0")
-    return rows.groupBy("trading_date").agg(F.count("*").alias("symbols"), F.round(F.avg(D.percent(F.col("close_ticks"), F.col("pre"))), 4).alias("average_change")).withColumn("trading_date", day())
+    return rounded(D.market_change(A.daily_bars(spark, folder)), "market_change").withColumn("trading_date", day())
 
 
 @query(
@@ -175,36 +195,89 @@ def first_crossings(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumns(text("observed_at") | {"trading_date": day()})
 
 
-@query(
-    "calibration",
-    f"""{BASE}, s AS (SELECT symbol, trading_date, 'mod' || CAST(close_ticks % 3 AS VARCHAR) AS strategy_code, CAST(75 + 5 * (close_ticks % 5) AS INTEGER) AS threshold, {percent('c3', 'close_ticks')} AS d3
- FROM (SELECT *, lead(close_ticks, 3) OVER ({W.replace('trading_date', 'd')}) AS c3 FROM x) WHERE close_ticks % 7 = 0), n AS (SELECT trading_date, row_number() OVER (ORDER BY trading_date) AS k, count(*) OVER () AS total FROM (SELECT DISTINCT trading_date FROM s)),
-g AS (SELECT s.*, CASE WHEN k <= total * 0.7 THEN 'train' ELSE 'validation' END AS segment FROM s JOIN n USING (trading_date)), b AS (SELECT * FROM g UNION ALL SELECT * REPLACE ('all' AS segment) FROM g)
-SELECT strategy_code, threshold, segment, count(d3) AS samples, round(avg((d3 > 0)::INT), 4) AS win_rate, round(avg(d3), 4) AS mean_return FROM b GROUP BY ALL""",
-)
-def calibration(spark: SparkSession, folder: str) -> DataFrame:
+SPLIT = f"""s AS (SELECT symbol, trading_date, 'mod' || CAST(c % 3 AS VARCHAR) AS strategy_code, CAST(75 + 5 * (c % 5) AS INTEGER) AS threshold, d1, d3, d5, w1, mfe5, mae5 FROM outcome),
+n AS (SELECT trading_date, row_number() OVER (ORDER BY trading_date) AS k, count(*) OVER () AS total FROM (SELECT DISTINCT trading_date FROM s)),
+g AS (SELECT s.*, CASE WHEN k <= total * 0.7 THEN 'train' ELSE 'validation' END AS segment FROM s JOIN n USING (trading_date)), b AS (SELECT * FROM g UNION ALL SELECT * REPLACE ('all' AS segment) FROM g),
+cal AS (SELECT strategy_code, threshold, segment, {', '.join(f"count({h}) AS samples_{h}, avg(({h} > 0)::INT) AS win_rate_{h}, avg({h}) AS mean_{h}" for h in S.HORIZONS)}, avg(mfe5) AS mean_mfe5, avg(mae5) AS mean_mae5 FROM b GROUP BY ALL)"""
+_MEANS = [*[f"{x}_{h}" for h in S.HORIZONS for x in ("win_rate", "mean")], "mean_mfe5", "mean_mae5"]
+
+
+def _calibrated(spark: SparkSession, folder: str) -> DataFrame:
     bars = A.daily_bars(spark, folder)
-    named = bars.filter(F.pmod("close_ticks", F.lit(7)) == 0).select(
-        "symbol", "trading_date", F.concat(F.lit("mod"), (F.col("close_ticks") % 3).cast("string")).alias("strategy_code"), (75 + 5 * (F.col("close_ticks") % 5)).cast("int").alias("threshold")
-    )
-    outcomes = D.forward_outcomes(S.train_split(named), bars)
-    return rounded(S.calibration(outcomes), "win_rate", "mean_return")
+    named = bars.select("symbol", "trading_date", F.concat(F.lit("mod"), (F.col("close_ticks") % 3).cast("string")).alias("strategy_code"), (75 + 5 * (F.col("close_ticks") % 5)).cast("int").alias("threshold"))
+    return S.calibration(D.forward_outcomes(S.train_split(named), bars))
+
+
+@query("calibration", f"{BASE}, {AHEAD}, {SPLIT} SELECT strategy_code, threshold, segment, {', '.join(f'samples_{h}' for h in S.HORIZONS)}, {', '.join(f'round({m}, 4) AS {m}' for m in _MEANS)} FROM cal")
+def calibration(spark: SparkSession, folder: str) -> DataFrame:
+    """Every daily bar is a signal of a strategy and threshold by its close."""
+    return rounded(_calibrated(spark, folder), *_MEANS)
 
 
 @query(
-    "next_day_validation",
-    f"""{EVENTS}, cal AS (SELECT trading_date, lead(trading_date) OVER (ORDER BY trading_date) AS next_date FROM (SELECT DISTINCT trading_date FROM b5m)),
+    "recommendations",
+    f"""{BASE}, {AHEAD}, {SPLIT}, p AS (SELECT t.strategy_code, t.threshold, round((t.mean_d3 + v.mean_d3) / 2 - abs(t.mean_d3 - v.mean_d3), 9) AS objective FROM cal t JOIN cal v ON v.strategy_code = t.strategy_code AND v.threshold = t.threshold
+ WHERE t.segment = 'train' AND v.segment = 'validation' AND t.samples_d3 >= 20 AND v.samples_d3 >= 20 AND t.mean_d3 > 0 AND v.mean_d3 > 0 AND t.win_rate_d3 >= 0.5 AND v.win_rate_d3 >= 0.5)
+SELECT strategy_code, threshold, round(objective, 4) AS objective FROM p QUALIFY row_number() OVER (PARTITION BY strategy_code ORDER BY p.objective DESC, threshold) = 1""",
+)
+def recommendations(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(S.recommendations(_calibrated(spark, folder)), "objective")
+
+
+VALIDATED = f"""{EVENTS}, cal AS (SELECT trading_date, lead(trading_date) OVER (ORDER BY trading_date) AS next_date FROM (SELECT DISTINCT trading_date FROM b5m)),
+proof AS (SELECT d.symbol, d.trading_date, s.slot FROM (SELECT DISTINCT symbol, trading_date FROM ticks) d, (SELECT unnest(range(48))::INTEGER AS slot) s ANTI JOIN b5m ON b5m.symbol = d.symbol AND b5m.trading_date = d.trading_date AND b5m.slot = s.slot WHERE day(d.trading_date) % 3 <> 0),
+cover AS (SELECT symbol, trading_date, count(*) FILTER (NOT bar) AS proven, count(*) = 48 AND count(DISTINCT slot) = 48 AS covered FROM (SELECT symbol, trading_date, slot, true AS bar FROM b5m UNION ALL SELECT *, false FROM proof) GROUP BY ALL),
 e AS (SELECT ev.*, cal.next_date FROM ev LEFT JOIN cal ON cal.trading_date = CAST(established_at AS DATE) WHERE established_at IS NOT NULL),
 q AS (SELECT e.event_key, count(*) AS bars, CASE WHEN any_value(side) = 'TOP' THEN max(high_ticks) ELSE min(low_ticks) END AS extreme_ticks,
-  min(b.eob) FILTER ((side = 'TOP' AND high_ticks > ticks) OR (side = 'BOTTOM' AND low_ticks < ticks)) AS breached_at FROM e JOIN b5m b ON b.symbol = e.symbol AND b.trading_date = e.next_date GROUP BY e.event_key),
-v AS (SELECT e.*, coalesce(bars, 0) AS bars, extreme_ticks, CASE WHEN next_date IS NULL THEN 'MONITORING' WHEN break_eob < CAST(next_date AS TIMESTAMP) + to_minutes(570) THEN 'NOT_APPLICABLE' WHEN bars IS NULL THEN 'NO_TRADE' WHEN breached_at IS NOT NULL THEN 'INVALIDATED' ELSE 'PASSED' END AS validation, breached_at FROM e LEFT JOIN q USING (event_key))
-SELECT event_key, symbol, side, ticks, strftime(next_date, '%Y-%m-%d') AS next_date, validation, bars, 48 - bars AS missing, extreme_ticks, strftime(CASE WHEN validation = 'INVALIDATED' THEN breached_at END, '%Y-%m-%d %H:%M:%S') AS breached_at FROM v""",
-)
-def next_day_validation(spark: SparkSession, folder: str) -> DataFrame:
+  min(b.eob) FILTER ((side = 'TOP' AND high_ticks > ticks) OR (side = 'BOTTOM' AND low_ticks < ticks)) AS breached_at FROM e JOIN b5m b ON b.symbol = e.symbol AND b.trading_date = e.next_date AND b.eob <= TIMESTAMP '@' GROUP BY e.event_key),
+v AS (SELECT e.*, coalesce(bars, 0) AS bars, coalesce(proven, 0) AS proven, extreme_ticks, CASE WHEN break_eob < CAST(next_date AS TIMESTAMP) + to_minutes(570) THEN 'NOT_APPLICABLE' WHEN breached_at IS NOT NULL THEN 'INVALIDATED' WHEN next_date IS NULL OR CAST(next_date AS TIMESTAMP) + to_minutes(900) > TIMESTAMP '@' THEN 'MONITORING'
+  WHEN NOT coalesce(covered, false) THEN 'INCOMPLETE' WHEN bars IS NULL THEN 'NO_TRADE' ELSE 'PASSED' END AS validation, breached_at FROM e LEFT JOIN q USING (event_key) LEFT JOIN cover c ON c.symbol = e.symbol AND c.trading_date = e.next_date)"""
+FAR, NOON = "2100-01-01 00:00:00", "2024-01-20 13:00:00"
+
+
+def validated(spark: SparkSession, folder: str, as_of: str) -> DataFrame:
+    """Slots without a bar are proven to be without trade on two days of three."""
     b5 = intraday(spark, folder)["5m"]
-    far = F.lit("2100-01-01 00:00:00").cast("timestamp_ntz")
-    rows = N.validate(events(spark, folder), b5, N.next_trading_date(b5), far).drop("breach_ticks")
-    return rows.withColumns(text("breached_at") | {"next_date": day("next_date")})
+    proofs = B.missing_slots(A.ticks(spark, folder).select("symbol", "trading_date").distinct(), b5, "5m").filter(F.dayofmonth("trading_date") % 3 != 0)
+    return N.validate(events(spark, folder), b5, N.next_trading_date(b5), F.lit(as_of).cast("timestamp_ntz"), proofs)
+
+
+_VALIDATED = """SELECT event_key, symbol, side, ticks, strftime(next_date, '%Y-%m-%d') AS next_date, validation, bars, proven, extreme_ticks, strftime(CASE WHEN validation = 'INVALIDATED' THEN breached_at END, '%Y-%m-%d %H:%M:%S') AS breached_at FROM v"""
+
+
+@query("next_day_validation", f"{VALIDATED.replace('@', FAR)} {_VALIDATED}")
+def next_day_validation(spark: SparkSession, folder: str) -> DataFrame:
+    return validated(spark, folder, FAR).drop("breach_ticks").withColumns(text("breached_at") | {"next_date": day("next_date")})
+
+
+@query("next_day_monitor", f"{VALIDATED.replace('@', NOON)} {_VALIDATED}")
+def next_day_monitor(spark: SparkSession, folder: str) -> DataFrame:
+    """The same in the middle of a day: what has broken is known, the rest of that day is watched."""
+    return validated(spark, folder, NOON).drop("breach_ticks").withColumns(text("breached_at") | {"next_date": day("next_date")})
+
+
+@query(
+    "validation_summary",
+    f"""{VALIDATED.replace('@', NOON)}, g AS (SELECT next_date, count(*) AS total, {', '.join(f"count(*) FILTER (validation = '{v}') AS {n}" for v, n in (('INVALIDATED', 'invalidated'), ('PASSED', 'passed'), ('NO_TRADE', 'no_trade'), ('NOT_APPLICABLE', 'not_applicable'), ('INCOMPLETE', 'incomplete'), ('MONITORING', 'remaining')))} FROM v GROUP BY next_date)
+SELECT * REPLACE (strftime(next_date, '%Y-%m-%d') AS next_date), CASE WHEN remaining > 0 THEN 'RUNNING' WHEN incomplete > 0 THEN 'COMPLETED_WITH_ERRORS' ELSE 'COMPLETED' END AS status FROM g""",
+)
+def validation_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return N.validation_summary(validated(spark, folder, NOON), ["next_date"]).withColumn("next_date", day("next_date"))
+
+
+@query(
+    "validation_applied",
+    f"""{VALIDATED.replace('@', FAR)}, r AS (SELECT ev.event_key, ev.symbol, CASE WHEN ev.ticks % 2 = 0 THEN NULL ELSE ev.break_eob END AS old_break, ev.ticks % 2 = 0 OR ev.is_active AS was_active, v.side, v.breached_at FROM ev LEFT JOIN v ON v.event_key = ev.event_key AND v.validation = 'INVALIDATED'),
+c AS (SELECT *, breached_at IS NOT NULL AND (old_break IS NULL OR breached_at < old_break) AS moved FROM r)
+SELECT event_key, was_active AND NOT moved AS is_active, CASE WHEN moved THEN CASE WHEN side = 'TOP' THEN 'NEXT_DAY_TOP_PRICE_BREAK' ELSE 'NEXT_DAY_BOTTOM_PRICE_BREAK' END END AS invalidation_reason, {stamp('CASE WHEN moved THEN breached_at ELSE old_break END', 'break_eob')}, moved AS has_pre_image FROM c""",
+)
+def validation_applied(spark: SparkSession, folder: str) -> DataFrame:
+    """The validation applied to events of which half had not been known to break."""
+    even = F.col("ticks") % 2 == 0
+    stored = events(spark, folder).withColumns({"break_eob": F.when(even, None).otherwise(F.col("break_eob")), "is_active": even | F.col("is_active")})
+    after, before, moves = N.apply_validation(stored, validated(spark, folder, FAR))
+    marked = before.select("event_key", F.lit(True).alias("pre")).join(moves.select("event_key"), "event_key")
+    return after.join(marked, "event_key", "left").select("event_key", "is_active", "invalidation_reason", text("break_eob")["break_eob"].alias("break_eob"), F.coalesce("pre", F.lit(False)).alias("has_pre_image"))
 
 
 @query("dataset_counts", " UNION ALL ".join(f"SELECT '{t}' AS dataset, count(*) AS n FROM {t}" for t in ("events", "lineitem", "orders", "supplier", "customer", "nation", "region", "part")))

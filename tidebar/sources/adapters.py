@@ -38,10 +38,10 @@ def tick_rows(events: DataFrame, symbols: int = 20) -> DataFrame:
 
 
 def daily_bars(spark: SparkSession, folder: str, symbols: int = 10) -> DataFrame:
-    """Daily bars from order lines; open and close by (order, line)."""
+    """Daily bars from order lines; open and close by order, line and, since these can repeat, part, price and quantity."""
     li = table(spark, folder, "lineitem")
-    order = F.struct("l_orderkey", "l_linenumber")
     price = F.round(F.col("l_extendedprice") * 100).cast("long")
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", price.alias("p"), "l_quantity")
     return (
         li.groupBy(F.concat(F.lit("S"), (F.col("l_suppkey") % symbols).cast("string")).alias("symbol"), F.to_date("l_shipdate").alias("trading_date"))
         .agg(

@@ -64,6 +64,13 @@ def broken_levels(ticks: DataFrame, levels: DataFrame) -> DataFrame:
     return rows.filter((F.col("event_time") > F.col("last_seen_at")) & beyond).select("event_key", "symbol", "side", "ticks", "event_time", "price_ticks")
 
 
+def first_breaks(ticks: DataFrame, levels: DataFrame) -> DataFrame:
+    """Each broken level once, with the first tick that passes it."""
+    first = F.min(F.struct("event_time", "event_id", "price_ticks")).alias("t")
+    rows = ticks.join(levels, "symbol").filter((F.col("event_time") > F.col("last_seen_at")) & F.when(F.col("side") == "TOP", F.col("price_ticks") > F.col("ticks")).otherwise(F.col("price_ticks") < F.col("ticks")))
+    return rows.groupBy("event_key", "symbol", "side", "ticks").agg(first).select("event_key", "symbol", "side", "ticks", "t.event_time", "t.price_ticks")
+
+
 def run_each(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Micro-batches to an idempotent writer; what was there when it started is read, then it stops."""
     return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
