@@ -3,6 +3,10 @@ import zlib
 
 from pyspark.sql import functions as F
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from tidebar.llm import quality
 
 
@@ -36,3 +40,46 @@ def test_without_anything_to_learn(spark):
     d, y = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int")
     assert [(r.score, r.predicted) for r in quality.classify(d, y).collect()] == [(0.5, 1)] * 2
     assert quality.classify(d.limit(0), y).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.2, 0.6, 0.9])
+def test_prior_from_positives_and_unlabelled_text(share):
+    rng = np.random.default_rng(1)
+    bins = lambda n, a, b: np.bincount((rng.beta(a, b, n) * quality.BINS).astype(int), minlength=quality.BINS)
+    mixed = bins(int(40_000 * share), 8, 2) + bins(int(40_000 * (1 - share)), 2, 8)
+    assert abs(quality.estimate_prior(mixed, bins(6000, 8, 2)) - share) < 0.05
+    assert quality.estimate_prior(mixed, np.zeros(quality.BINS)) == 0.5
+
+
+def test_the_step_follows_the_risk():
+    """The gradient that the fit follows is that of the risk, by differences; the correction adds what the sample lacks of all documents."""
+    rng = np.random.default_rng(2)
+    p, u = rng.standard_normal((40, 6)).astype(np.float32) + 0.4, rng.standard_normal((90, 6)).astype(np.float32)
+    more = rng.standard_normal((500, 6)).astype(np.float32)
+    risk = lambda w, un: 0.3 * np.logaddexp(0, -(p @ w[:-1] + w[-1])).mean() + np.logaddexp(0, un @ w[:-1] + w[-1]).mean() - 0.3 * np.logaddexp(0, p @ w[:-1] + w[-1]).mean()
+    at = rng.standard_normal(7) * 0.1
+    slope = lambda un: np.array([(risk(at + 1e-5 * e, un) - risk(at - 1e-5 * e, un)) / 2e-5 for e in np.eye(7)])
+    mean = lambda un: np.append(quality.chances(at, un) @ un, quality.chances(at, un).sum()) / len(un)
+    assert np.allclose(slope(more) - slope(u), mean(more) - mean(u), atol=1e-6)
+    fitted = quality.fit(p, u, 0.3, steps=400)
+    start = quality.fit(p, u, 0.3, steps=1)
+    assert risk(fitted, u) < risk(start, u) < risk(np.zeros(7), u) + 1e-6
+
+
+def test_features_of_a_text_do_not_depend_on_its_neighbours():
+    texts = ["One two. Two!", "", None, "äöü 123 " * 40_000, "x"]
+    whole = quality.features(pa.array(texts, pa.string()))
+    for i, t in enumerate(texts):
+        assert np.allclose(whole[i], quality.features(pa.array([t], pa.string()))[0], atol=1e-6)
+    assert not whole[1].any() and whole.shape == (5, quality.DIMENSIONS)
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    docs, labels = rows_of(300)
+    d = spark.createDataFrame([(*r, 0.0, "k") for r in docs + docs[:40] + [(7, "word " * 100_000)] * 2], "doc_id long, text string, score double, good string")
+    out = quality.classify(d, spark.createDataFrame(labels + labels[:9], "doc_id long, quality int"))
+    assert out.columns == ["doc_id", "text", "good", "held_out", "score", "predicted"]
+    rows = out.collect()
+    assert len(rows) == 342 and all(r.good == "k" and 0 <= r.score <= 1 for r in rows)
+    by = {}
+    assert all(abs(by.setdefault((r.doc_id, r.text), r.score) - r.score) < 1e-9 for r in rows)

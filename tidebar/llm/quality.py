@@ -2,12 +2,15 @@
 
 Only trusted positives and unlabelled web text teach the model; negatives are never shown. With prior p the risk
 p E_P[l(+)] + E_U[l(-)] - p E_P[l(-)] is an unbiased estimate of the classification risk; its part for negatives cannot be
-below zero, so where the estimate is, the step goes against it (non-negative risk). The prior is the share of good documents
-among all labelled ones of the training folds.
+below zero, so where the estimate is, the step goes against it (non-negative risk).
+
+The prior is estimated from positives and unlabelled text alone: a first model ranks all unlabelled documents and the half of the
+trusted positives that it was not fitted on, and the prior is the least ratio of their shares above any score, with a margin for what the
+shares may be off by. All documents of the training folds take part in that, and in the risk: the model is fitted on a bounded sample,
+and the same pass adds up the unlabelled part of the gradient over all documents, which corrects the sample's at every step.
 
 The model is linear over the whole text's hashed runs of byte shapes (small letter, capital, digit, each other byte), hashed byte
-trigrams, and how often words come again at once. It is fitted on
-a bounded sample of FIT_POSITIVES and FIT_UNLABELLED documents; every document is scored.
+trigrams, and how often words come again at once. Of labelled rows at most FIT_POSITIVES positives teach it; every document is scored.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import bounded_sample, row_of, slices, text_buffers, words_of
+from tidebar.llm.common import bounded_sample, row_of, slices, staged, text_buffers, words_of
 
 #: Slots of the shape runs (of two and of four bytes), word distances at which repeats are counted, slots of the byte trigrams.
 SHAPES, LAGS, GRAMS = 512, 4, 1024
@@ -27,8 +30,11 @@ DIMENSIONS = 2 * SHAPES + LAGS + GRAMS
 TEXT_WEIGHT = 0.25
 #: Least deviation by which a feature is scaled.
 FLOOR = 0.02
-FIT_POSITIVES, FIT_UNLABELLED = 3000, 6000
+#: Labelled rows that teach at most, and rows of the sample whose gradient the one over all documents corrects.
+FIT_POSITIVES, SAMPLE_ROWS = 3000, 4000
 STEPS, RATE, DECAY = 120, 0.01, 2e-3
+#: Bins of the first model's score; chance and share by which the prior's shares may be off.
+BINS, DOUBT, MARGIN = 1000, 0.1, 0.01
 
 
 def fold(id_column: Column) -> Column:
@@ -76,22 +82,26 @@ def features(column: pa.Array) -> np.ndarray:
     return np.hstack([_grams(shape, row, rows, 2, SHAPES), _grams(shape, row, rows, 4, SHAPES), repeats, TEXT_WEIGHT * _grams(raw, row, rows, 3, GRAMS)])
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS) -> np.ndarray:
-    """Weights and, last, the bias; Adam on the non-negative risk of the logistic loss."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, correction: np.ndarray | float = 0.0, steps: int = STEPS) -> np.ndarray:
+    """Weights and, last, the bias; Adam on the non-negative risk of the logistic loss. correction: what the unlabelled sample's mean of
+    chance times (features, 1) lacks of that over all documents."""
     mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + FLOOR
     p, u = ((x - mean) / scale for x in (positive, unlabelled))
+    if np.ndim(correction):
+        correction = np.append((correction[:-1] - correction[-1] * mean) / scale, correction[-1]).astype(np.float32)
     w = np.zeros(p.shape[1] + 1, np.float32)
     first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        up, uu = (1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))) for x in (p, u))
-        # l(+) = -log s, l(-) = -log(1 - s)
-        negative = -np.log(1 - uu).mean() + prior * np.log(1 - up).mean()
+        zp, zu = (np.clip(x @ w[:-1] + w[-1], -30, 30) for x in (p, u))
+        up, uu = (1 / (1 + np.exp(-z)) for z in (zp, zu))
+        # l(+) = log(1 + exp(-z)), l(-) = log(1 + exp(z))
+        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         gp, gu = up / len(up), uu / len(uu)
 
         def grad(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return np.append(a.astype(np.float32) @ p + b.astype(np.float32) @ u, np.float32(a.sum() + b.sum()))
 
-        down = grad(-prior * gp, gu)
+        down = grad(-prior * gp, gu) + correction
         if negative < 0:
             g = -down
         else:
@@ -105,40 +115,83 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return np.append(weights, w[-1] - mean @ weights)
 
 
-def _sparse():
+def chances(model: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ model[:-1] + model[-1], -700, 700)))
+
+
+def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Feature rows as slots and values; at most DIMENSIONS a row whatever the text's length."""
+    for part in slices(batches):
+        x = features(part.column("text"))
+        row, slot = np.nonzero(x)
+        offsets = pa.array(np.searchsorted(row, np.arange(len(x) + 1)), pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [part.column("key"), pa.ListArray.from_arrays(offsets, pa.array(slot, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(x[row, slot], pa.float32()))], ["key", "slots", "counts"]
+        )
+
+
+def _ranked(model: np.ndarray):
+    """The bin of each row's score and, last, a task's row with the sum of chance times (features, 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(DIMENSIONS + 1)
+        names = ["key", "bin", "sums"]
         for part in slices(batches):
             x = features(part.column("text"))
-            row, slot = np.nonzero(x)
-            offsets = pa.array(np.searchsorted(row, np.arange(len(x) + 1)), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("good"), pa.ListArray.from_arrays(offsets, pa.array(slot, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(x[row, slot], pa.float32()))], ["good", "slots", "counts"]
-            )
+            score = chances(model, x)
+            total += np.append(score @ x, score.sum())
+            bins = np.minimum((score * BINS).astype(np.int32), BINS - 1)
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(bins), pa.nulls(len(x), pa.list_(pa.float64()))], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([total.tolist()], pa.list_(pa.float64()))], names)
 
     return run
 
 
+def estimate_prior(unlabelled: np.ndarray, positive: np.ndarray) -> float:
+    """Of counts by bin: the least ratio of shares above a score, at the score where its upper bound is least."""
+    n = np.array([max(x.sum(), 1) for x in (unlabelled, positive)])
+    above = [np.cumsum(x[::-1])[::-1] / m for x, m in zip((unlabelled, positive), n, strict=True)]
+    doubt = np.sqrt(np.log(4 / DOUBT) / (2 * n)).sum()
+    some = above[1] > 0
+    if not some.any():
+        return 0.5
+    ratio = above[0][some] / above[1][some]
+    best = np.argmin(ratio + (1 + MARGIN) * doubt / above[1][some])
+    return float(np.clip(ratio[best], 0.01, 0.999))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray | None:
     """A model from the training folds; None without positives or without documents."""
-    named = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("good")).filter("id is not null and good is not null")
-    taught = named.filter(fold(F.col("id")) != 1)
-    share = taught.agg(F.avg((F.col("good") == 1).cast("int"))).first()[0]
-    trusted = bounded_sample(taught.filter("good = 1").select("id").distinct(), ["id"], FIT_POSITIVES).select("id", F.lit(True).alias("good"))
-    keyed = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    some = keyed.filter(F.col("doc").isNotNull() & (fold(F.col("doc")) != 1)).select(F.col("doc").alias("id")).distinct()
-    some = bounded_sample(some, ["id"], FIT_UNLABELLED, seed=1).select("id", F.lit(False).alias("good"))
-    drawn = trusted.union(some)  # at most FIT_POSITIVES + FIT_UNLABELLED ids
-    rows = keyed.join(F.broadcast(drawn), F.col("doc") == F.col("id")).select("good", "text").mapInArrow(_sparse(), "good boolean, slots array<int>, counts array<float>")
-    sides = {True: [], False: []}
-    for x in rows.toLocalIterator():
-        dense = np.zeros(DIMENSIONS, np.float32)
-        dense[x["slots"]] = x["counts"]
-        sides[x["good"]].append(dense)
-    if not share or not sides[True] or not sides[False]:
+    named = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("id"))
+    trusted = named.filter(fold(F.col("id")) != 1).distinct().withColumn("half", F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(2)).cast("int"))
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    keyed = keyed.filter(F.col("id").isNotNull() & (fold(F.col("id")) != 1))
+    good = keyed.select("id", "key").join(trusted, "id").select("key", "half").distinct()
+    drawn = bounded_sample(good, ["key"], FIT_POSITIVES).select("key", F.col("half").alias("side"))
+    drawn = drawn.union(bounded_sample(keyed.select("key").distinct(), ["key"], SAMPLE_ROWS, seed=1).select("key", F.lit(2).alias("side")))
+    wanted = [tuple(x) for x in drawn.collect()]  # at most FIT_POSITIVES + SAMPLE_ROWS keys
+    keys = docs.sparkSession.createDataFrame(sorted({(k,) for k, _ in wanted}) or [(None,)], "wanted long")
+    rows = keyed.join(F.broadcast(keys), F.col("key") == F.col("wanted")).select("key", "text").mapInArrow(_sparse, "key long, slots array<int>, counts array<float>")
+    found = {}
+    for x in rows.dropDuplicates(["key"]).toLocalIterator():
+        found[x["key"]] = np.zeros(DIMENSIONS, np.float32)
+        found[x["key"]][x["slots"]] = x["counts"]
+    first, second, sample = (np.array([found[k] for k, side in wanted if side == n and k in found]).reshape(-1, DIMENSIONS) for n in range(3))
+    if not len(first) + len(second) or not len(sample):
         return None
-    return fit(np.array(sides[True]), np.array(sides[False]), min(share, 0.999))
+    pilot = fit(first if len(first) else second, sample, 0.5)
+    ranked = staged(keyed.select("key", "text").mapInArrow(_ranked(pilot), "key long, bin int, sums array<double>"), "ranked")
+    sums = ranked.filter("sums is not null").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("total")).collect()  # DIMENSIONS + 1 numbers
+    held = ranked.filter("bin is not null").join(good.filter("half = 1"), "key", "left")
+    tally = held.groupBy("bin").agg(F.count("*").alias("n"), F.count("half").alias("good")).collect()  # at most BINS rows
+    counts = np.zeros((2, BINS))
+    for x in tally:
+        counts[:, x["bin"]] = x["n"], x["good"]
+    whole = np.zeros(DIMENSIONS + 1)
+    whole[[x["pos"] for x in sums]] = [x["total"] for x in sums]
+    here = chances(pilot, sample)
+    correction = whole / max(counts[0].sum(), 1) - np.append(here @ sample, here.sum()) / len(sample)
+    return fit(np.concatenate([first, second]), sample, estimate_prior(*counts), correction)
 
 
 def _score(model: np.ndarray | None):
@@ -147,7 +200,7 @@ def _score(model: np.ndarray | None):
             if model is None:
                 score = np.full(part.num_rows, 0.5)
             else:
-                score = 1 / (1 + np.exp(-np.clip(features(part.column("text")) @ model[:-1] + model[-1], -700, 700)))
+                score = chances(model, features(part.column("text")))
             yield pa.RecordBatch.from_arrays([part.column("__row"), part.column("text"), pa.array(score, pa.float64())], ["__row", "text", "score"])
 
     return run
