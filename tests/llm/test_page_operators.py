@@ -310,6 +310,40 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_overfull_leaves_are_split_until_small(spark, monkeypatch):
+    """A sample far smaller than the table, and one label with nearly all rows: leaves end small, and links are found as before."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((1500, 24))
+    vectors = (base[rng.integers(0, 1500, 4000)] + 0.03 * rng.standard_normal((4000, 24))).astype(np.float32)
+    rows = [(i, v.tolist(), 1 if i % 50 else 2, "k", 0) for i, v in enumerate(vectors)] + [(9000 + i, [1.0] * 24, 3, "k", 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, mate string, n_links int")
+    sizes = []
+    compare = embedding_dedup._refined
+
+    def refined(*a):
+        out = compare(*a)
+        sizes.append(out.selectExpr("label", "explode(leaves) leaf").groupBy("label", "leaf").count().agg({"count": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(embedding_dedup, "_refined", refined)
+    monkeypatch.setattr(embedding_dedup, "LEAF_SAMPLE", 200)
+    out = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, leaf=100, sample_rows=150, overfull=400).collect()}
+    assert sizes[0] <= 400 and len(out) == len(rows)
+    links, union = collections.Counter(), Union()
+    for label in (1, 2):
+        own = [i for i, _, g, *_ in rows if g == label]
+        m = vectors[own].astype(np.float64)
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        for a, b in zip(*np.nonzero(np.triu(m @ m.T >= 0.98, 1))):
+            links[own[a]] += 1
+            links[own[b]] += 1
+            union.join(own[a], own[b])
+    found = sum(out[i].n_links for i in range(4000))
+    assert sum(links.values()) >= found >= 0.97 * sum(links.values()) > 4000
+    assert all(out[i].n_links <= links[i] for i in range(4000)) and all(out[9000 + i].n_links == 299 for i in range(300))
+    assert sum(out[i].component_id != union.find(i) for i in range(4000)) <= 40
+
+
 @pytest.mark.parametrize("rows", [4, 1400])
 def test_embedding_chains_are_one_component(spark, rows):
     """A path whose inner link is nobody's link to its smallest neighbour, in one block and over several chunks; other lengths link too."""

@@ -5,7 +5,9 @@ split (within SPILL of a link's reach) goes to both sides, so two linked vectors
 meet in some leaf. Leaves are compared in blocks of at most BLOCK rows: a leaf that grew larger is cut into chunks and
 every two chunks meet, so no leaf is capped.
 
-The splits are fitted on a bounded sample; every vector is indexed. Equal vectors of one label are one class with a
+The upper splits are fitted on a bounded sample; every vector is indexed. A leaf that holds many rows of one label is then split
+further, by a tree of its own that is fitted in a task on a bounded sample of the leaf, and so on until leaves are small or cannot be
+split, so leaves stay small however many vectors there are. Equal vectors of one label are one class with a
 multiplicity, so copies cost nothing. A block sends no pairs: it counts, for each class, the links that no earlier leaf
 has already seen (each row carries its leaves in all trees), and joins each class to the smallest one that the block's
 verified pairs reach, which keeps every connection and is one row a class. Vectors of each length have a forest and leaves of their own.
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import bounded_sample, staged
+from tidebar.llm.common import bounded_sample, give_back, mix, staged
 from tidebar.llm.components import components
 
 THRESHOLD = 0.98
@@ -30,6 +32,10 @@ TREES = 8
 SAMPLE_ROWS, SPLIT_ROWS = 20_000, 32
 #: Wanted classes in a leaf, and the most that one task compares with one another at once.
 LEAF, BLOCK = 256, 1024
+#: A leaf with more classes of a label is split further, by a tree fitted on about so many of them; rows that descend it in one task.
+OVERFULL, LEAF_SAMPLE, DESCENT = 4096, 2048, 4096
+#: Leaf numbers have so many bits, the tree's number stands above them.
+SHIFT = 48
 #: Half-width of the band in which a vector goes to both sides, in typical projections of a link's difference.
 SPILL = 1.0
 
@@ -89,7 +95,7 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def _index(forests: dict[int, tuple[list, float]]):
-    """Leaf paths of each class: an array of leaves per tree, flattened as tree * 2**32 + leaf.
+    """Leaf paths of each class: an array of leaves per tree, flattened as tree * 2**SHIFT + leaf.
 
     forests: trees and margin by length of vector; a length without trees is one leaf."""
 
@@ -107,16 +113,90 @@ def _index(forests: dict[int, tuple[list, float]]):
                 for number, tree in enumerate(forest):
                     r, leaf_number = leaves_of(vectors, tree, margin)
                     row.append(own[r])
-                    leaf.append(leaf_number + (number << 32))
+                    leaf.append(leaf_number + (number << SHIFT))
             row, leaf = np.concatenate(row), np.concatenate(leaf)
             order = np.lexsort((leaf, row))
             offsets = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(leaf[order], pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "leaves"])
+        give_back()
 
     return run
 
 
+def _split(threshold: float, leaf: int):
+    """The tree of one overfull leaf, from a sample of it; nothing if the leaf cannot be split."""
+
+    def run(sample: pd.DataFrame) -> pd.DataFrame:
+        first = sample.iloc[0]
+        vectors = _unit(_matrix(sample["vector"]))
+        rng = np.random.default_rng([int(first["leaf"]), len(vectors[0])])
+        depth = max(1, int(np.ceil(np.log2(first["n"] / leaf))))
+        nodes = fit_tree(vectors, depth, margin_of(vectors.shape[1], threshold), rng)
+        columns = ["label", "length", "leaf"]
+        out = sample[columns].head(1 if nodes else 0).copy()
+        out["directions"] = [np.concatenate([n[0] for n in nodes]).tobytes()] if nodes else []
+        out["splits"] = [np.array([n[1] for n in nodes])] if nodes else []
+        out["children"] = [np.array([n[2:] for n in nodes], np.int32).ravel()] if nodes else []
+        return out
+
+    return run
+
+
+def _descend(threshold: float):
+    """The new leaves of rows of an overfull leaf; without a tree the leaf itself."""
+
+    def run(rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(trees):
+            return pd.DataFrame({"id": rows["id"][:0], "key": rows["key"][:0], "leaf": [], "into": []})
+        vectors, tree = _unit(_matrix(rows["vector"])), trees.iloc[0]
+        directions = np.frombuffer(tree["directions"], np.float64).reshape(len(tree["splits"]), -1)
+        nodes = [(d, m, *c) for d, m, c in zip(directions, tree["splits"], np.asarray(tree["children"]).reshape(-1, 2).tolist(), strict=True)]
+        row, number = leaves_of(vectors, nodes, margin_of(vectors.shape[1], threshold))
+        old = int(tree["leaf"])
+        new = (mix(np.uint64(old) * np.uint64(31) + number.astype(np.uint64) + np.uint64(1)) >> np.uint64(64 - SHIFT)).astype(np.int64) | (old >> SHIFT << SHIFT)
+        return pd.DataFrame({"id": rows["id"].to_numpy()[row], "key": rows["key"].to_numpy()[row], "leaf": old, "into": new})
+
+    return run
+
+
+def margin_of(length: int, threshold: float) -> float:
+    """A link spans at most sqrt(2 - 2 threshold); along a random direction about that over sqrt(length)."""
+    return SPILL * np.sqrt((2 - 2 * threshold) / length) / 2
+
+
+def _refined(indexed: DataFrame, threshold: float, leaf: int, overfull: int) -> DataFrame:
+    """indexed with leaves of more than `overfull` classes of a label split, level by level; leaves that cannot be split stay."""
+    group = ["label", "length", "leaf"]
+    kinds = {f.name: f.dataType.simpleString() for f in indexed.schema.fields}
+    shape = f"label {kinds['label']}, length int, leaf long"
+    tried = None
+    while True:
+        big = indexed.select("label", "length", F.explode("leaves").alias("leaf")).groupBy(*group).agg(F.count("*").alias("n")).filter(F.col("n") > overfull)
+        if tried is not None:
+            big = big.join(tried, group, "left_anti")
+        big = staged(big, "overfull")
+        if big.isEmpty():
+            return indexed
+        tried = big.select(*group) if tried is None else tried.unionByName(big.select(*group))
+        each = indexed.select("label", "length", "id", F.xxhash64("vector").alias("key"), "vector", F.explode("leaves").alias("leaf")).join(big, group)
+        draw = F.pmod(F.xxhash64("leaf", "id", "key"), F.lit(1 << 31))
+        sample = each.filter(draw < (1 << 31) * LEAF_SAMPLE / F.col("n")).select(*group, "n", "vector")
+        trees = staged(sample.groupBy(*group).applyInPandas(_split(threshold, leaf), f"{shape}, directions binary, splits array<double>, children array<int>"), "leaf-trees")
+        # a leaf's rows descend in chunks, and each chunk gets the tree
+        chunks = F.ceil(F.col("n") / DESCENT).cast("int")
+        rows = each.select(*group, F.pmod(F.xxhash64("id", "key"), chunks).cast("int").alias("chunk"), "id", "key", "vector")
+        parts = big.select(*[F.col(c).alias(f"of_{c}") for c in group], F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+        same = [F.col(c) == F.col(f"of_{c}") for c in group]
+        dealt = trees.join(parts, same).select(*group, "chunk", "directions", "splits", "children")
+        part = [*group, "chunk"]
+        moved = rows.groupBy(*part).cogroup(dealt.groupBy(*part)).applyInPandas(_descend(threshold), f"id {kinds['id']}, key long, leaf long, into long")
+        moved = moved.groupBy("id", "key").agg(F.collect_set("leaf").alias("old"), F.collect_set("into").alias("new"))
+        at = indexed.withColumn("key", F.xxhash64("vector")).join(moved.withColumnsRenamed({"id": "of", "key": "of_key"}), (F.col("id") == F.col("of")) & (F.col("key") == F.col("of_key")), "left")
+        leaves = F.when(F.col("new").isNull(), F.col("leaves")).otherwise(F.array_sort(F.array_union(F.array_except("leaves", "old"), F.col("new"))))
+        indexed = staged(at.withColumn("leaves", leaves).select(*indexed.columns), "leaves")
+
+
 def _joined(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The smallest row that each row reaches, once pairs x, y are added to those that led to root."""
     while True:
@@ -167,8 +247,8 @@ def _paths(leaves: pd.Series, below: int) -> list[np.ndarray]:
     owner = np.repeat(np.arange(len(leaves)), leaves.map(len))
     flat = np.concatenate(leaves.to_numpy())
     out = []
-    for tree in range((below >> 32) + 1):
-        own = (flat < below) & (flat >> 32 == tree)
+    for tree in range((below >> SHIFT) + 1):
+        own = (flat < below) & (flat >> SHIFT == tree)
         row = owner[own]
         if len(row):
             place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -189,12 +269,13 @@ def _meet(paths: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, seed: int = 7) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, seed: int = 7, sample_rows: int = SAMPLE_ROWS, overfull: int = OVERFULL) -> DataFrame:
     """One row per vector: id, n_links (other vectors of its label with cosine >= threshold), component_id (smallest id that links
     reach), kept (id = component_id).
 
     Vectors without a label, null, empty, zero or with null or non-finite numbers link with nothing; vectors of different lengths do
-    not link with one another. Rows with equal ids are told apart while linking, and share component_id. No rows in, no rows out.
+    not link with one another. Rows with equal ids are told apart while linking, and share component_id. Other columns are not
+    read. No rows in, no rows out.
     """
     kind = vectors.schema[id_col].dataType.simpleString()
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
@@ -207,7 +288,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         return vectors.select(F.col(id_col), F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"), F.lit(True).alias("kept"))
     classes = classes.withColumn("length", F.size("vector"))
     points: dict[int, list] = {}
-    for x in bounded_sample(classes.select("vector", "id"), ["id"], SAMPLE_ROWS).collect():
+    for x in bounded_sample(classes.select("vector", "id"), ["id"], sample_rows).collect():
         points.setdefault(len(x["vector"]), []).append(x["vector"])
     # fewer are not split, so such a length is one leaf, whose chunks all meet
     points = {length: p for length, p in points.items() if len(p) >= SPLIT_ROWS}
@@ -216,12 +297,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     forests = {}
     for size in sizes:
         sample = _unit(np.array(points[size["length"]], np.float64))
-        # a link spans at most sqrt(2 - 2 threshold); along a random direction about that over sqrt(dimensions)
-        margin = SPILL * np.sqrt((2 - 2 * threshold) / size["length"]) / 2
+        margin = margin_of(size["length"], threshold)
         depth = max(0, int(np.ceil(np.log2(size["rows"] / size["labels"] / leaf)))) if size["rows"] > leaf else 0
         # without splits all trees are the same single leaf
         forests[size["length"]] = ([fit_tree(sample, depth, margin, rng) for _ in range(trees if depth else 1)], margin)
     indexed = staged(classes.mapInArrow(_index(forests), f"label {classes.schema['label'].dataType.simpleString()}, vector array<double>, id {kind}, many long, length int, leaves array<long>"), "leaves")
+    indexed = _refined(indexed, threshold, leaf, overfull)
     dealt = indexed.withColumn("leaf", F.explode("leaves"))
     counts = indexed.select("label", "length", F.explode("leaves").alias("leaf")).groupBy("label", "length", "leaf").agg(F.ceil(F.count("*") / (BLOCK // 2)).cast("int").alias("chunks"))
     dealt = dealt.join(counts, ["label", "length", "leaf"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
