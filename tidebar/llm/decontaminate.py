@@ -30,8 +30,9 @@ BLOCK_WINDOWS = 200_000
 class Block:
     """Windows of one block, with what a task needs to find them."""
 
-    def __init__(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, items: np.ndarray, counts: dict[int, int]):
-        """Window i is words[starts[i]:starts[i] + sizes[i]] and belongs to item items[i]; counts: word -> occurrences in the corpus."""
+    def __init__(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, items: np.ndarray, counts: dict[int, int], names: list[str]):
+        """Window i is words[starts[i]:starts[i] + sizes[i]] and belongs to item names[items[i]]; counts: word -> occurrences in the corpus."""
+        self.names = names
         prefix = prefix_hash(words)
         self.items = items
         self.parts = []
@@ -137,7 +138,7 @@ def _match(block: Block):
                     pa.array(np.diff(rows), pa.int64()),
                     ragged(a - rows[row], cuts, pa.int32()),
                     ragged(b - rows[row], cuts, pa.int32()),
-                    ragged(np.array([i for _, i in items], np.int64), item_cuts, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(item_cuts, pa.int32()), pa.array([block.names[i] for _, i in items], pa.string())),
                 ],
                 ["__id", "n_words", "begins", "ends", "items"],
             )
@@ -155,7 +156,7 @@ def _verdict():
                 for x, y in sorted(zip(a, b, strict=True)):
                     total += max(0, y - max(x, reach))
                     reach = max(reach, y)
-                names = sorted({str(i) for i in own})
+                names = sorted(set(own))
                 n_hit.append(total)
                 n_items.append(len(names))
                 digest.append(hashlib.sha256(",".join(names).encode()).hexdigest())
@@ -169,33 +170,34 @@ def _verdict():
 
 def _blocks(items: Iterator, size: int, limit: int) -> Iterator[tuple]:
     """Blocks of at most `limit` windows, from rows (item_id, words); an item may go on in the next block."""
-    words, starts, sizes, owners, base = [], [], [], [], 0
+    words, starts, sizes, owners, names, base = [], [], [], [], [], 0
     for item in items:
         own = np.array(item["words"], np.int64).view(np.uint64)
         if not len(own) or item["item_id"] is None:
             continue
+        names.append(item["item_id"])
         length = min(size, len(own))
         places = np.arange(len(own) - length + 1)
         while len(places):
             free = limit - sum(map(len, starts))
             starts.append(places[:free] + base)
             sizes.append(np.full(len(places[:free]), length))
-            owners.append(np.full(len(places[:free]), item["item_id"], np.int64))
+            owners.append(np.full(len(places[:free]), len(names) - 1))
             places = places[free:]
             if len(places) or sum(map(len, starts)) >= limit:
-                yield tuple(map(np.concatenate, ([*words, own], starts, sizes, owners)))
-                words, starts, sizes, owners, base = [], [], [], [], 0
+                yield *map(np.concatenate, ([*words, own], starts, sizes, owners)), names
+                words, starts, sizes, owners, names, base = [], [], [], [], [item["item_id"]], 0
         words.append(own)
         base += len(own)
     if starts:
-        yield tuple(map(np.concatenate, (words, starts, sizes, owners)))
+        yield *map(np.concatenate, (words, starts, sizes, owners)), names
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, block_windows: int = BLOCK_WINDOWS, keep: list[str] | None = None) -> DataFrame:
     """One row per document: all its columns, n_words, n_hit (words inside an occurrence of a benchmark window), n_items
     (items with an occurring window), items_sha256 (of those item ids, sorted as strings and comma-joined), contaminated.
 
-    Words are `[^\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F]+` after A-Z are lower-cased. benchmark: item_id, text; items without words or id
+    Words are `[^\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F]+` after A-Z are lower-cased. benchmark: item_id (of any type, compared as text), text; items without words or id
     are no items, equal items both count. keep: the columns of docs to return (all). A null or empty text has no words and is clean. An empty benchmark makes all
     documents clean. Repeated documents get a row each; columns of docs with a result's name give way.
     """
@@ -204,19 +206,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     row = F.struct(*[F.col(f"`{c}`") for c in kept])
     keyed = docs.select(row.alias("__id"), F.col(text_col).alias("text"))
     id_type = row_type(keyed)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_item_windows(size), "item_id long, words array<long>")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(_item_windows(size), "item_id string, words array<long>")
     out = None
-    for words, starts, sizes, owners in _blocks(items.toLocalIterator(), size, block_windows):
+    for words, starts, sizes, owners, names in _blocks(items.toLocalIterator(), size, block_windows):
         vocabulary = np.unique(words)
         tally = docs.select(F.col(text_col).alias("text")).mapInArrow(_count(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
         counts = {x["word"] & ((1 << 64) - 1): x["n"] for x in tally.collect()}
-        block = Block(words, starts, sizes, owners, counts)
-        hits = keyed.mapInArrow(_match(block), f"__id {id_type}, n_words long, begins array<int>, ends array<int>, items array<long>")
+        block = Block(words, starts, sizes, owners, counts, names)
+        hits = keyed.mapInArrow(_match(block), f"__id {id_type}, n_words long, begins array<int>, ends array<int>, items array<string>")
         out = hits if out is None else out.unionByName(hits)
         several = out is not hits
     if out is None:
-        empty = Block(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), {})
-        out, several = keyed.mapInArrow(_match(empty), f"__id {id_type}, n_words long, begins array<int>, ends array<int>, items array<long>"), False
+        empty = Block(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), {}, [])
+        out, several = keyed.mapInArrow(_match(empty), f"__id {id_type}, n_words long, begins array<int>, ends array<int>, items array<string>"), False
     if several:
         # equal rows are merged and dealt out again
         n = docs.groupBy(row.alias("__id")).agg(F.count("*").alias("__n"))
