@@ -2,7 +2,12 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from tidebar.functions import session
 from tidebar.operators import bars as B
+from tidebar.operators import cards as C
+from tidebar.operators import maintain as M
+from tidebar.operators import pairs as P
+from tidebar.sources import store
 from tidebar.sources.adapters import tick_rows
 from tidebar.streaming import ticks as T
 
@@ -31,6 +36,98 @@ def test_stream_ends_where_batch_does(spark, tmp_path):
     assert got == sorted(map(tuple, B.latest_quotes(tick_rows(e)).collect()))
 
 
+def test_stream_of_events_ends_where_the_replay_does(spark, tmp_path):
+    e = events(spark, 120)
+    folder, out = str(tmp_path / "events"), str(tmp_path / "out")
+    for i in range(2):
+        e.filter(F.col("event_id") % 2 == i).coalesce(1).write.mode("append").parquet(folder)
+    T.stream_events(T.read_ticks(spark, folder), out, str(tmp_path / "check")).awaitTermination(180)
+    five = B.ticks_to_bars(tick_rows(e), "5m")
+    want = P.replay({"5m": five} | {f: B.roll_up(five, f) for f in ("30m", "60m", "1d")})
+    cols = ["event_key", "stage", "generation", "break_eob", "total_hit_count"]
+    assert sorted(map(str, store.current(spark, f"{out}/events").select(*cols).collect())) == sorted(map(str, want.select(*cols).collect()))
+    sent = store.current(spark, f"{out}/alerts")
+    # alerts of transitions that a later batch undid have been sent; none is sent twice
+    own = {r.outbox_id for r in C.alerts(P.lifecycle(want), want).collect()}
+    ids = [r.outbox_id for r in sent.collect()]
+    assert own <= set(ids) and len(ids) == len(set(ids))
+    # a batch that runs again changes nothing
+    last = spark.read.parquet(f"{out}/ticks").filter("batch = 1").drop("batch")
+    T.replay_touched(spark, spark.createDataFrame(last.collect(), last.schema), 1, out)
+    assert sorted(map(str, store.current(spark, f"{out}/events").select(*cols).collect())) == sorted(map(str, want.select(*cols).collect()))
+    assert store.current(spark, f"{out}/alerts").count() == len(ids)
+
+
+def test_dedupe_by_session_sequence(spark, tmp_path):
+    e = events(spark, 60)
+    folder = str(tmp_path / "events")
+    e.unionByName(e.filter("event_id % 2 = 0")).coalesce(1).write.parquet(folder)
+    ticks = T.read_ticks(spark, folder)
+    assert finish(T.dedupe(ticks), "once", "append").count() == 60
+    named = ticks.withColumns({"session_id": F.lit("s"), "worker_sequence": F.col("event_id") % 20})
+    assert finish(T.dedupe(named), "sequence", "append").count() == tick_rows(e).selectExpr("worker_id", "event_id % 20").distinct().count()
+
+
+def test_preview_bars_name_their_sources(spark):
+    t = tick_rows(events(spark, 50)).withColumn("collection_mode", F.when(F.col("event_id") % 2 == 0, "SUBSCRIBE").otherwise("SNAPSHOT_POLL"))
+    rows = T.preview_bars(t, "1d").collect()
+    assert {r.source_mode for r in rows} <= {"MIXED", "SUBSCRIBE", "SNAPSHOT_POLL"} and all((r.quality == "PARTIAL") == (r.source_mode == "MIXED") for r in rows)
+    fresh = t.withColumn("source_priority", F.when(F.col("collection_mode") == "SUBSCRIBE", 300).otherwise(200)).withColumn("event_time", F.lit(datetime(2024, 1, 2, 10)).cast("timestamp_ntz"))
+    assert all(r.event_id % 2 == 0 for r in T.latest_quotes(fresh).collect())
+
+
+def test_bar_lifecycle(spark):
+    bar = lambda slot, h, f="5m": ("A", f, datetime(2024, 1, 2).date(), slot, datetime(2024, 1, 2, 9, 30) + timedelta(minutes=5 * (slot + 1)), h)
+    kind = "symbol string, frequency string, trading_date date, slot int, eob timestamp_ntz, row_hash string"
+    held = spark.createDataFrame([], kind + ", closed boolean, revision int")
+    seen = []
+    for now, bars in [("09:34:00", [bar(0, "a")]), ("09:34:30", [bar(0, "a")]), ("09:35:02", [bar(0, "b"), bar(1, "x")]), ("09:35:03", []), ("09:36:00", [bar(0, "c")]), ("09:37:30", [bar(0, "d")]), ("10:00:00", [])]:
+        held, out = T.bar_lifecycle(held, spark.createDataFrame(bars, kind), F.lit(f"2024-01-02 {now}").cast("timestamp_ntz"))
+        rows = out.collect()
+        held = spark.createDataFrame(held.collect(), held.schema)
+        seen.append(sorted((r.slot, r.event_type, r.row_hash, r.revision) for r in rows))
+    assert seen == [[(0, "BarUpdated", "a", 0)], [], [(0, "BarUpdated", "b", 0), (1, "BarUpdated", "x", 0)], [(0, "BarClosed", "b", 0)], [(0, "BarRevised", "c", 1)], [], [(1, "BarClosed", "x", 0)]]
+    assert {r.slot: (r.row_hash, r.closed, r.revision) for r in held.collect()} == {0: ("c", True, 1), 1: ("x", True, 0)}
+
+
+def test_levels_break_once(spark, tmp_path):
+    ticks = tick_rows(events(spark, 200))
+    levels = ticks.groupBy("symbol").agg(F.min("price_ticks").alias("ticks")).withColumns({"event_key": F.concat(F.lit("e"), "symbol"), "side": F.lit("TOP"), "last_seen_at": F.lit("2024-01-02 09:30:00").cast("timestamp_ntz")})
+    folder = str(tmp_path / "levels")
+    store.replace(levels, folder)
+    found = [r.event_key for part in (0, 1) for r in T.break_levels(ticks.filter(F.col("event_id") % 2 == part), folder).collect()]
+    assert len(found) == len(set(found)) > 0
+    assert T.first_breaks(ticks, levels).count() == levels.count() - store.current(spark, folder).count()
+
+
+def test_incremental_windows_overlap_by_one_bar_and_wait_for_success(spark, tmp_path):
+    bars = B.ticks_to_bars(tick_rows(events(spark, 300)), "30m").select("symbol", "frequency", "eob")
+    folder, seen = str(tmp_path / "marks"), []
+    first = bars.filter("eob <= timestamp_ntz'2024-01-02 10:30:00'")
+    T.run_incremental(first, folder, lambda d: seen.append(d.count()))
+
+    def fail(rows):
+        raise RuntimeError("no")
+
+    try:
+        T.run_incremental(bars, folder, fail)
+    except RuntimeError:
+        pass
+    marks = T.run_incremental(bars, folder, lambda d: seen.append(d.count()))
+    overlap = bars.filter("eob = timestamp_ntz'2024-01-02 10:30:00'").count()
+    assert seen == [first.count(), bars.count() - first.count() + overlap] and overlap
+    assert [r.last_eob for r in marks.collect()] == [bars.agg(F.max("eob")).first()[0]]
+
+
+def test_cards_ranks_and_changes(spark):
+    rows = spark.createDataFrame([(1, "info"), (2, "error"), (3, "warning"), (4, "other")], "change_id int, severity string")
+    assert [r.severity for r in M.by_rank(rows, "severity", ["error", "warning"], F.asc("change_id")).collect()] == ["error", "warning", "info", "other"]
+    assert [r.change_id for r in M.changes_after(rows, 1, 2).collect()] == [2, 3, 4]
+    assert [r.s for r in rows.select(session.normal_frequency(F.lit(" 1800S ")).alias("s")).limit(1).collect()] == ["30m"]
+    at = lambda t, trading=True: rows.limit(1).select(session.status(F.lit(f"2024-01-02 {t}").cast("timestamp_ntz"), F.lit(trading)).alias("s")).first().s
+    assert [at("09:00:00"), at("10:00:00"), at("12:00:00"), at("14:00:00"), at("15:00:00"), at("10:00:00", False)] == ["PRE_OPEN", "MORNING", "LUNCH", "AFTERNOON", "CLOSED", "CLOSED"]
+
+
 def test_late_rows_are_split(spark):
     t = tick_rows(events(spark))
     now = F.lit("2024-01-02 10:00:00").cast("timestamp_ntz")

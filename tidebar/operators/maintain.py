@@ -21,13 +21,15 @@ def retain(events: DataFrame, lifecycle: DataFrame, cutoff: Column) -> tuple[Dat
 
 
 def archive(df: DataFrame, column: str, before: Column, path: str) -> DataFrame:
-    """Writes rows before a date as zstd Parquet by date; the manifest (partition, rows, first, last) of what is there, or an error if rows are missing."""
+    """Writes rows before a date as zstd Parquet by date; the manifest of what is there (partition, rows, checksum, first and last date), or
+    an error if its rows or checksums are not those of the source: only then may the source be purged."""
     old = df.filter(F.col(column) < before)
     old.write.mode("overwrite").option("compression", "zstd").partitionBy(column).parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    if back.count() != old.count():
-        raise RuntimeError("the archive holds another number of rows than its source")
-    return back.groupBy(column).agg(F.count("*").alias("rows"))
+    back = df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    manifest = lambda rows: rows.groupBy(column).agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string").alias("checksum"))
+    if not difference(manifest(old), manifest(back), [column]).isEmpty():
+        raise RuntimeError("the archive does not hold what its source does")
+    return manifest(back).withColumns({"first": F.col(column), "last": F.col(column)})
 
 
 def reconcile_day(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
-"""Streaming jobs over ticks: preview bars, latest quotes, late rows, breaks of active levels.
+"""Streaming jobs over ticks: preview bars, latest quotes, late rows, breaks of active levels, and what runs for each micro-batch:
+bar lifecycle, events of touched symbols, alerts, incremental windows.
 
-The same functions as in batch, with a watermark; each has a test that the stream ends where the batch does.
+The same functions as in batch; each has a test that the stream ends where the batch does. Aggregates carry a watermark, after which
+a day's state goes; quotes keep one row a symbol. What a micro-batch writes is idempotent, so a batch that runs again changes nothing.
 """
 
 from __future__ import annotations
@@ -12,7 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidebar.functions.session import slot_of
-from tidebar.operators.bars import with_times
+from tidebar.operators.bars import roll_up, ticks_to_bars, with_times
+from tidebar.operators.cards import alerts
+from tidebar.operators.nextday import validate
+from tidebar.operators.pairs import lifecycle, replay
+from tidebar.sources import store
 from tidebar.sources.adapters import tick_rows
 
 LATE = "120 seconds"
@@ -37,38 +43,61 @@ def split_late(ticks: DataFrame, now: F.Column, max_age: int = 120) -> tuple[Dat
     return ticks.filter(ok), ticks.filter(~ok)
 
 
+def with_watermark(ticks: DataFrame, within: str = LATE) -> DataFrame:
+    """ticks with _at, their time as the event time of the stream."""
+    return ticks.withColumn("_at", F.col("event_time").cast("timestamp")).withWatermark("_at", within)
+
+
 def dedupe(ticks: DataFrame, within: str = LATE) -> DataFrame:
-    """Each event of a worker once."""
-    return ticks.withColumn("_at", F.col("event_time").cast("timestamp")).withWatermark("_at", within).dropDuplicatesWithinWatermark(["worker_id", "event_id"]).drop("_at")
+    """Each tick of a worker's session once, by its sequence where ticks have one, else by its event."""
+    key = ["worker_id", "session_id", "worker_sequence"] if "worker_sequence" in ticks.columns else ["worker_id", "event_id"]
+    return with_watermark(ticks, within).dropDuplicatesWithinWatermark(key).drop("_at")
 
 
-def preview_bars(ticks: DataFrame, frequency: str = "1m") -> DataFrame:
-    """Bars as they stand, in update or complete mode; open and close by event time, whatever the order of arrival."""
+def preview_bars(ticks: DataFrame, frequency: str = "1m", within: str = LATE) -> DataFrame:
+    """Bars as they stand, in update or complete mode; open and close by event time, whatever the order of arrival. A bar from
+    several collection modes is MIXED. State goes a watermark after its day."""
     order, price = F.struct("event_time", "event_id"), F.col("price_ticks")
-    rows = ticks.groupBy("symbol", "trading_date", slot_of(F.col("minute"), frequency).alias("slot")).agg(
+    mode = F.when(F.min("collection_mode") == F.max("collection_mode"), F.min("collection_mode")).otherwise("MIXED")
+    more = [mode.alias("source_mode"), F.when(mode == "MIXED", "PARTIAL").otherwise("PREVIEW").alias("quality")] if "collection_mode" in ticks.columns else []
+    day = F.window("_at", "1 day").alias("_day")
+    rows = with_watermark(ticks, within).groupBy(day, "symbol", "trading_date", slot_of(F.col("minute"), frequency).alias("slot")).agg(
         F.min_by(price, order).alias("open_ticks"), F.max(price).alias("high_ticks"), F.min(price).alias("low_ticks"), F.max_by(price, order).alias("close_ticks"),
-        F.sum("volume").alias("volume"), F.count("*").alias("tick_count"),
+        F.sum("volume").alias("volume"), F.sum(price * F.col("volume")).alias("amount_ticks"), F.count("*").alias("tick_count"), *more,
     )
-    return with_times(rows, frequency)
+    return with_times(rows.drop("_day"), frequency)
 
 
 def latest_quotes(ticks: DataFrame) -> DataFrame:
-    newest = F.max_by(F.struct("event_time", "price_ticks", "event_id"), F.struct("event_time", "event_id"))
+    """Newest tick of each symbol by time, then source priority where ticks have one, then event; the state is one row a symbol."""
+    order = F.struct(*[c for c in ("event_time", "source_priority", "event_id") if c in ticks.columns])
+    newest = F.max_by(F.struct("event_time", "price_ticks", "event_id"), order)
     return ticks.groupBy("symbol").agg(newest.alias("q")).select("symbol", "q.*")
 
 
 def broken_levels(ticks: DataFrame, levels: DataFrame) -> DataFrame:
-    """Active levels (event_key, symbol, side, ticks, last_seen_at) that a later tick passes strictly; stream or batch against a table."""
+    """Active levels (event_key, symbol, side, ticks, last_seen_at) that a later tick passes strictly, one row for each such tick; of a
+    stream against a table. `first_breaks` has each level once."""
     rows = ticks.join(levels, "symbol")
     beyond = F.when(F.col("side") == "TOP", F.col("price_ticks") > F.col("ticks")).otherwise(F.col("price_ticks") < F.col("ticks"))
-    return rows.filter((F.col("event_time") > F.col("last_seen_at")) & beyond).select("event_key", "symbol", "side", "ticks", "event_time", "price_ticks")
+    columns = ["event_key", "symbol", "side", "ticks", "event_time", "price_ticks", "event_id"]
+    return rows.filter((F.col("event_time") > F.col("last_seen_at")) & beyond).select(*columns)
 
 
 def first_breaks(ticks: DataFrame, levels: DataFrame) -> DataFrame:
     """Each broken level once, with the first tick that passes it."""
     first = F.min(F.struct("event_time", "event_id", "price_ticks")).alias("t")
-    rows = ticks.join(levels, "symbol").filter((F.col("event_time") > F.col("last_seen_at")) & F.when(F.col("side") == "TOP", F.col("price_ticks") > F.col("ticks")).otherwise(F.col("price_ticks") < F.col("ticks")))
-    return rows.groupBy("event_key", "symbol", "side", "ticks").agg(first).select("event_key", "symbol", "side", "ticks", "t.event_time", "t.price_ticks")
+    rows = broken_levels(ticks, levels).groupBy("event_key", "symbol", "side", "ticks").agg(first)
+    return rows.select("event_key", "symbol", "side", "ticks", "t.event_time", "t.price_ticks")
+
+
+def break_levels(batch: DataFrame, folder: str) -> DataFrame:
+    """For each micro-batch: the levels held under folder that its ticks break, which leave the table; run again it finds none anew."""
+    spark = batch.sparkSession
+    levels = store.current(spark, folder)
+    broken = first_breaks(batch, levels)
+    store.replace(levels.join(broken.select("event_key"), "event_key", "left_anti"), folder)
+    return broken
 
 
 def run_each(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
@@ -76,6 +105,81 @@ def run_each(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpo
     return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
 
 
+BAR = ["symbol", "frequency", "trading_date", "slot"]
+#: Seconds after its end at which a bar closes, and for how long it can then be revised.
+CLOSE_AFTER, REVISE_FOR, REVISE_DAILY_FOR = 3, 120, 300
+
+
+def bar_lifecycle(held: DataFrame, bars: DataFrame, now: F.Column) -> tuple[DataFrame, DataFrame]:
+    """(state, events) after bars (with row_hash, eob) as they stand now, over the state held (BAR, eob, row_hash, closed, revision).
+
+    BarUpdated for a change of a bar that is open, BarClosed once when its end lies CLOSE_AFTER seconds back, whether it changed or not,
+    BarRevised for a change of a closed bar within its window; later changes are ignored."""
+    new = bars.select(*BAR, F.col("eob").alias("new_eob"), F.col("row_hash").alias("new_hash"))
+    both = held.join(new, BAR, "full")
+    end = F.coalesce("eob", "new_eob")
+    past = F.timestamp_diff("SECOND", end, now)
+    due = past >= CLOSE_AFTER
+    was_closed = F.coalesce("closed", F.lit(False))
+    changed = F.col("new_hash").isNotNull() & ~F.col("new_hash").eqNullSafe(F.col("row_hash"))
+    window = F.when(F.col("frequency") == "1d", REVISE_DAILY_FOR).otherwise(REVISE_FOR)
+    revised = was_closed & changed & (past <= CLOSE_AFTER + window)
+    kind = F.when(~was_closed & due, "BarClosed").when(~was_closed & changed, "BarUpdated").when(revised, "BarRevised")
+    rows = both.select(
+        *BAR, end.alias("eob"), F.when(was_closed & ~revised, F.col("row_hash")).otherwise(F.coalesce("new_hash", "row_hash")).alias("row_hash"), (was_closed | due).alias("closed"),
+        (F.coalesce("revision", F.lit(0)) + revised.cast("int")).alias("revision"), kind.alias("event_type"),
+    )
+    events = rows.filter("event_type is not null").select(*BAR, "eob", "row_hash", "revision", "event_type")
+    return rows.drop("event_type"), events
+
+
+def replay_touched(spark: SparkSession, batch: DataFrame, batch_id: int, folder: str) -> None:
+    """For each micro-batch: keeps its ticks, computes the events of the symbols that it touches anew from all their ticks, and upserts
+    events and alerts. A batch that runs again overwrites its own ticks. What follows the first write is an ordinary job of the session."""
+    own = f"{folder}/ticks/batch={batch_id}"
+    batch.write.mode("overwrite").parquet(own)
+    touched = spark.read.parquet(own).select("symbol").distinct()
+    ticks = spark.read.option("basePath", f"{folder}/ticks").parquet(f"{folder}/ticks").filter(F.col("batch") <= batch_id).join(touched, "symbol", "left_semi")
+    five = ticks_to_bars(ticks, "5m")
+    events = replay({"5m": five} | {f: roll_up(five, f) for f in ("30m", "60m", "1d")})
+    held = store.current(spark, f"{folder}/events")
+    # events of touched symbols are replaced as a whole, so one that a later tick undoes goes too
+    out = events if held is None else held.join(touched, "symbol", "left_anti").unionByName(events)
+    store.replace(out, f"{folder}/events")
+    moves = lifecycle(events)
+    known = store.current(spark, f"{folder}/alerts")
+    fresh = alerts(moves, events)
+    store.replace(fresh if known is None else store.insert_new(known, fresh, ["outbox_id"]), f"{folder}/alerts")
+
+
+def stream_events(ticks: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Ticks to events and alerts under folder: at the end what a replay of all ticks gives."""
+    # micro-batches compute in a session of their own: under a stream, unions that claim a partitioning can fail to line up
+    own = ticks.sparkSession.newSession()
+    own.conf.set("spark.sql.unionOutputPartitioning", "false")
+    own.conf.set("spark.sql.session.timeZone", ticks.sparkSession.conf.get("spark.sql.session.timeZone"))
+    return run_each(ticks, lambda batch, number: replay_touched(own, batch, number, folder), checkpoint)
+
+
+def monitor_next_day(events: DataFrame, bars5: DataFrame, calendar: DataFrame, no_trades: DataFrame | None = None) -> DataFrame:
+    """The next-day validation up to the newest 5-minute bar there is."""
+    newest = bars5.agg(F.max("eob")).first()[0]
+    return validate(events, bars5, calendar, F.lit(newest).cast("timestamp_ntz"), no_trades)
+
+
+def run_incremental(bars: DataFrame, folder: str, work: Callable[[DataFrame], None]) -> DataFrame:
+    """Hands work the bars of each frequency from its last processed end on, that bar included; marks advance once work is done, and are
+    returned (frequency, last_eob)."""
+    spark = bars.sparkSession
+    marks = store.current(spark, folder)
+    rows = bars if marks is None else bars.join(F.broadcast(marks), "frequency", "left").filter(F.col("last_eob").isNull() | (F.col("eob") >= F.col("last_eob"))).drop("last_eob")  # a row a frequency
+    work(rows)
+    seen = rows.groupBy("frequency").agg(F.max("eob").alias("last_eob"))
+    out = seen if marks is None else marks.unionByName(seen).groupBy("frequency").agg(F.max("last_eob").alias("last_eob"))
+    store.replace(out, folder)
+    return store.current(spark, folder)
+
+
 def upsert_latest(batch: DataFrame, current: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Newest state of each key over the current table and a batch, with its revision counted up where it changed."""
     known = [c for c in current.columns if c != "revision"]
