@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from brute import Union, contamination, near_duplicates, substring
 
+from tidebar.llm.components import components, merged
 from tidebar.llm import decontaminate, minhash, packing, substring_dedup, tokens
 
 DOCS = "doc_id long, text string"
@@ -88,6 +89,16 @@ def test_decontamination_against_brute_force(spark, block):
     assert out.columns[:2] == ["doc_id", "text"]
 
 
+def test_decontamination_with_text_ids_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"w{i % 977}" for i in range(200_000))
+    rows = [(1, long), (2, long + " passage " + "q r s t u v w x y z"), (2, None), (3, "")]
+    items = [("b", "q r s t u v w x y z"), ("a10", "Q, r s t u v w x y z!"), ("a9", " ".join(f"w{i}" for i in range(40)))]
+    df = spark.createDataFrame([(*r, 5, "k") for r in rows], DOCS + ", n_hit int, word string")
+    out = decontaminate.decontaminate(df, spark.createDataFrame(items, "item_id string, text string"), block_windows=9)
+    assert out.columns == ["doc_id", "text", "word", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out.collect()) == sorted(contamination(rows, items))
+
+
 def test_decontamination_with_empty_tables(spark):
     empty, bench = spark.createDataFrame([], DOCS), spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert decontaminate.decontaminate(empty, bench).count() == 0
@@ -146,6 +157,30 @@ def test_minhash_meets_every_pair_of_a_large_bucket(spark):
     assert {r.doc_id: r.component_id for r in out} == found
 
 
+def test_minhash_with_text_ids_repeated_ids_and_clashing_columns(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(900)}" for _ in range(120)]
+    rows = [("b", " ".join(base)), ("a", " ".join([*base[:119], "z"])), ("a", "something else here entirely so"), ("c", "something else here entirely so"), ("d", "long " * 200_000), ("e", "long " * 200_001), ("f", "x"), (None, "x")]
+    df = spark.createDataFrame([(*r, "k", 5) for r in rows], "doc_id string, text string, component_id string, similarity int")
+    out = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in minhash.near_duplicates(df).collect())
+    assert out == [("None", "None", True), ("a", "a", True), ("a", "a", True), ("b", "a", False), ("c", "a", False), ("d", "d", True), ("e", "d", False), ("f", "f", True)]
+
+
+def test_components_and_merging(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(220)] + [(500 + i, 501 + i) for i in range(60)]
+    df = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    union = Union()
+    for a, b in edges:
+        union.join(a, b)
+    want = {i: union.find(i) for e in edges for i in e}
+    label = None
+    for at in (0, 90, 180):
+        label = merged(label, df(edges[at : at + 90] if at < 180 else edges[at:]))
+    for found in (components(df(edges)), label):
+        assert {r.node: r.component for r in found.collect()} == want and found.count() == len(want)
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(5)
     element = rng.integers(1, 2**63, 300).astype(np.uint64)

@@ -7,11 +7,11 @@ two texts share exactly the points below their smaller weight). A component keep
 when its time passes the latest of the components. Equal components estimate sum(min) / sum(max) without bias.
 
 Texts with the same words are one class first. The classes' signatures are cut into bands; classes of one band bucket
-are candidates: all pairs of a small bucket, in a large one each class with the most central one (by how many classes its
-buckets hold), which for copies of a text is the text. Candidates are verified on the multisets themselves. Classes of a large
-bucket that stay apart from its centre meet in further rounds, by one row for each component, until a round finds no new
-link. These rounds only spare work: at last all pairs of a large bucket that are still in different components are verified, in blocks
-of two chunks of the bucket. A pair that shares several buckets is verified in the first.
+are candidates, and candidates are verified on the multisets themselves. At first each class meets the most central class of its
+buckets (by how many classes share its buckets), which for copies of a text is the text. What is then still apart in a
+bucket meets in rounds: all pairs of a small bucket, in a large one a row of each component and one of its largest component,
+until a round finds no new link. These rounds only spare work: at last all pairs of a large bucket that are still in different
+components are verified, in blocks of two chunks of the bucket. A pair that shares several buckets is verified in the first.
 """
 
 from __future__ import annotations
@@ -25,16 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.llm.common import mix, prefix_hash, ragged, signed, slices, span_hash, staged, words_of
-from tidebar.llm.components import components
+from tidebar.llm.components import components, merged
 
 SHINGLE = 5
 THRESHOLD = 0.8
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8**6)**36 = 2e-5; one of 0.3 shares one with 0.03.
 BANDS, ROWS = 36, 6
-#: Buckets up to this size give all their pairs (at most 3.5 a class).
+#: Buckets up to this size give all pairs between components (at most 3.5 a class).
 SMALL = 8
 #: Rounds go on until one finds no new link, at most so many; the pairs they leave are verified in blocks.
-ROUNDS = 6
+ROUNDS = 4
 #: Wanted classes and shingles of a chunk of a large bucket.
 CHUNK, CHUNK_SHINGLES = 128, 1 << 17
 
@@ -126,15 +126,29 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(similarity, pa.float64())], ["a", "b", "similarity"])
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Candidate pairs a < b of band rows (key, id, score)."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("centre")).filter("n > 1")
-    rows = rows.join(sizes, "key")
-    centre = -F.col("centre.minus")
-    star = rows.filter(F.col("n") > SMALL).filter(F.col("id") != centre).select(F.least("id", centre).alias("a"), F.greatest("id", centre).alias("b"))
-    few = rows.filter(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    each = few.select(F.posexplode("ids").alias("at", "a"), "ids").select("a", F.explode(F.expr("slice(ids, at + 2, size(ids))")).alias("b"))
-    return star.union(each).distinct()
+def _first_pairs(held: DataFrame) -> DataFrame:
+    """Each class with the most central one in its buckets; ties go to the smaller id."""
+    centre = held.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("id").alias("c"))).alias("centre"))
+    best = held.join(centre, "key").groupBy("id").agg(F.min("centre").alias("centre"))
+    c = F.col("centre.c")
+    return best.filter(F.col("id") != c).select(F.least("id", c).alias("a"), F.greatest("id", c).alias("b")).distinct()
+
+
+def _next_pairs(held: DataFrame, label: DataFrame, turn: int) -> DataFrame:
+    """Pairs of buckets that are not one component yet: all between components of a small one (in the first turn, which settles
+    it), in a large one a row of each component with one of the largest, drawn anew for each bucket and turn."""
+    named = held.join(label, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    draw = F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("draw"), F.col("id").alias("id"))
+    each = named.groupBy("key", "component").agg(F.max(draw).alias("one"), F.count("*").alias("n"))
+    sizes = each.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "one")).alias("most")).filter("parts > 1")
+    centre = F.col("most.one.id")
+    stars = each.join(sizes.filter(F.col("n") > SMALL).select("key", "most"), "key").filter(F.col("one.id") != centre)
+    pairs = stars.select(F.least("one.id", centre).alias("a"), F.greatest("one.id", centre).alias("b"))
+    if turn == 1:
+        few = named.join(sizes.filter(F.col("n") <= SMALL).select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "component"))).alias("rows"))
+        two = few.select(F.posexplode("rows").alias("at", "x"), "rows").select("x", F.explode(F.expr("slice(rows, at + 2, size(rows))")).alias("y"))
+        pairs = pairs.union(two.filter("x.component <> y.component").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+    return pairs.distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -142,8 +156,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts with the same words), kept (id = component_id).
 
     Words are lower-cased letters and digits; a text of one to four words is one shingle. A null or empty text, or one
-    without words, is like no other. Ids are integers; rows with equal ids are one document, all of whose texts count; rows without an
-    id are kept, with null component_id. Ties: the smallest id. No rows in, no rows out.
+    without words, is like no other. Ids are of any type that has an order; rows with equal ids are one document, all of whose texts count; rows without an
+    id are kept, with null component_id. Ties: the smallest id. Other columns are not read. No rows in, no rows out.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -155,21 +169,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows_in = spread.join(busy, "key")
     score = rows_in.groupBy("id").agg(F.sum("n").alias("score"))
     held = staged(rows_in.select("key", "id").join(score, "id"), "bands")
-    links = label = None
-    todo = held
-    for turn in range(ROUNDS):
-        pairs = _pairs(todo)
-        checked = staged(_verified(pairs, texts), "verified").filter(F.col("similarity") >= threshold - 1e-12).select("a", "b")
-        if turn and not checked.limit(1).count():
-            break
-        links = checked if links is None else links.union(checked)
-        label = components(links)
-        todo = staged(_apart(held, label, turn), "apart")
-        if not todo.limit(1).count():
+    tried = staged(_verified(_first_pairs(held), texts), "verified")
+    alike = lambda pairs: pairs.filter(F.col("similarity") >= threshold - 1e-12).select("a", "b")
+    label = components(alike(tried))
+    for turn in range(1, ROUNDS + 1):
+        pairs = _next_pairs(held, label, turn).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        checked = staged(_verified(pairs, texts), "verified")
+        links = alike(checked)
+        if links.isEmpty():
             break
+        label, tried = merged(label, links), tried.union(checked)
     rest = _rest(held, classes, label, texts, threshold)
     if rest is not None:
-        label = components(links.union(rest))
+        label = merged(label, rest)
     same = full.join(classes.select("h1", "h2", "class_id"), ["h1", "h2"]).select("id", "class_id")
     same = same.join(label, F.col("class_id") == F.col("node"), "left").select("id", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     # one document is one row here, whatever its rows
@@ -193,15 +205,6 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return full.mapInArrow(_overlap, f"a {kind}, b {kind}, similarity double")
 
 
-def _apart(rows: DataFrame, label: DataFrame, turn: int) -> DataFrame:
-    """Of large buckets that are not one component yet: one row for each component, by a draw that changes with bucket and round."""
-    named = rows.join(label, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
-    draw = F.struct(F.xxhash64(F.lit(turn), "key", "id").alias("score"), F.col("id").alias("id"))
-    each = named.groupBy("key", "component").agg(F.max(draw).alias("one"), F.count("*").alias("n"))
-    large = each.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).filter(f"n > {SMALL} and parts > 1").select("key")
-    return each.join(large, "key").select("key", "one.id", (F.col("n") * (1 << 20) + F.pmod("one.score", F.lit(1 << 20))).alias("score"))
-
-
 def _rest(held: DataFrame, classes: DataFrame, label: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
     """Links (a, b) between components that share a large bucket, from all pairs that it holds; None without such pairs."""
     kind = held.schema["id"].dataType.simpleString()
