@@ -36,7 +36,7 @@ SMALL = 8
 #: Rounds go on until one finds no new link, at most so many; the pairs they leave are verified in blocks.
 ROUNDS = 4
 #: Wanted classes and shingles of a chunk of a large bucket.
-CHUNK, CHUNK_SHINGLES = 128, 1 << 17
+CHUNK, CHUNK_SHINGLES = 512, 1 << 17
 
 
 def shingles(words: np.ndarray, rows: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
