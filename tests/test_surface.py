@@ -159,3 +159,19 @@ def test_retraction_by_newest_read(spark):
     kind = "symbol string, frequency string, trading_date date, slot int, read_at int"
     bars, missing = R.apply_retractions(spark.createDataFrame([slot(1, 1), slot(2, 3), slot(3, 2)], kind), spark.createDataFrame([slot(1, 2), slot(2, 2), slot(3, 2), slot(4, 1)], kind))
     assert sorted(r.slot for r in bars.collect()) == [2, 3] and sorted(r.slot for r in missing.collect()) == [1, 4]
+
+
+def test_replay_of_a_universe_and_range(spark):
+    bars = market.intraday(spark, FOLDER)
+    some = spark.createDataFrame([("U1",), ("U2",), ("NONE",)], "symbol string")
+    first, last = (F.lit(x).cast("date") for x in ("2024-01-03", "2024-01-20"))
+    events, results = P.replay_run(bars, some, first, last)
+    summary = R.run_summary(results).first()
+    assert (summary.completed_symbols, summary.failed_symbols, summary.run_status) == (2, 1, "partial") and summary.events == events.count() > 0
+    assert {r.symbol for r in events.select("symbol").distinct().collect()} <= {"U1", "U2"}
+    assert events.agg(F.min(F.to_date("discovered_at"))).first()[0] >= date(2024, 1, 3)
+
+
+def test_ticks_from_the_wire(spark):
+    row = A.from_wire(spark.createDataFrame([(12_345_600, 0, 12_350_000, 0)], "price_e6 long, bid_e6 long, ask_e6 long, pre_close_e6 long")).first()
+    assert (row.price_ticks, row.bid_ticks, row.ask_ticks, row.pre_close_ticks) == (1235, None, 1235, None)

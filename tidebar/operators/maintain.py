@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-POOL_RANK = {"ESTABLISHED": 1, "FOCUS": 2, "OBSERVING": 3, "DISCOVERED": 4}
+#: Order of the pool: symbols picked by hand first, then by their strongest active event, those of a strategy before mere discoveries.
+MANUAL, POOL_RANK, STRATEGY = 0, {"ESTABLISHED": 1, "FOCUS": 2, "OBSERVING": 3, "DISCOVERED": 5}, 4
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     return child.join(parent.select(key), key, "left_anti")
 
 
-def retain(events: DataFrame, lifecycle: DataFrame, cutoff: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(events last seen from the cutoff on, their lifecycle rows, counts of what went)."""
+def retain(events: DataFrame, hits: DataFrame, lifecycle: DataFrame, cutoff: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(events last seen from the cutoff on, their hits, their lifecycle rows, how many rows went and stay by dataset)."""
     kept = events.filter(F.col("last_seen_at") >= cutoff)
-    rows = lifecycle.join(kept.select("event_key"), "event_key", "left_semi")
-    gone = lambda a, b, name: a.agg(F.count("*").alias("n")).crossJoin(b.agg(F.count("*").alias("k"))).select(F.lit(name).alias("dataset"), (F.col("n") - F.col("k")).alias("removed"))  # noqa: E731  one row each
-    return kept, rows, gone(events, kept, "events").unionByName(gone(lifecycle, rows, "lifecycle"))
+    own = kept.select("event_key")
+    left = {"events": (events, kept), "hits": (hits, hits.join(own, "event_key", "left_semi")), "lifecycle": (lifecycle, lifecycle.join(own, "event_key", "left_semi"))}
+    count = lambda rows, name, sign: rows.agg((F.count("*") * sign).alias("n")).select(F.lit(name).alias("dataset"), "n", F.lit(sign < 0).alias("stays"))
+    rows = reduce(DataFrame.unionByName, [count(d, name, sign) for name, pair in left.items() for d, sign in zip(pair, (1, -1), strict=True)])
+    audit = rows.groupBy("dataset").agg(F.sum("n").alias("removed"), (-F.sum(F.when(F.col("stays"), F.col("n")).otherwise(0))).alias("kept"))
+    return kept, left["hits"][1], left["lifecycle"][1], audit
 
 
 def archive(df: DataFrame, column: str, before: Column, path: str) -> DataFrame:
@@ -38,16 +44,21 @@ def reconcile_day(old: DataFrame, new: DataFrame) -> DataFrame:
     return gone.withColumns({"stage": F.lit("INVALIDATED"), "is_active": F.lit(False), "invalidation_reason": F.lit("SOURCE_RECONCILIATION")})
 
 
-def hot_pool(events: DataFrame, quotes: DataFrame, size: int = 300, shard: int = 50) -> DataFrame:
-    """The `size` symbols with the strongest active events, ties by distance of the price to the nearest level; dealt to shards in order."""
+def hot_pool(events: DataFrame, quotes: DataFrame, size: int = 300, shard: int = 50, manual: DataFrame | None = None, strategy: DataFrame | None = None) -> DataFrame:
+    """The `size` first symbols by rank, ties by distance of the price to the nearest level; dealt to shards in order. manual, strategy:
+    further symbols with their own ranks. Each row has its active levels, the sides they are on and the nearest one."""
     rank = F.coalesce(*[F.when(F.col("strongest_stage") == s, F.lit(r)) for s, r in POOL_RANK.items()])
-    near = events.filter("is_active").join(quotes.select("symbol", "price_ticks"), "symbol").withColumns({"rank": rank, "distance": F.abs(F.col("ticks") - F.col("price_ticks"))})
-    rows = near.groupBy("symbol").agg(F.min("rank").alias("rank"), F.count("*").alias("levels"), F.min("distance").alias("distance"), F.min_by("ticks", F.struct("distance", "ticks")).alias("nearest_ticks"))
-    top = rows.orderBy("rank", "distance", "symbol").limit(size)  # at most `size` rows are numbered
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.orderBy("rank", "distance", "symbol"))
-    return top.withColumn("place", place).withColumn("shard", F.floor((F.col("place") - 1) / shard).cast("int"))
+    near = events.filter("is_active").join(quotes.select("symbol", "price_ticks"), "symbol").select("symbol", "side", "ticks", rank.alias("rank"), F.abs(F.col("ticks") - F.col("price_ticks")).alias("distance"))
+    for more, own in ((manual, MANUAL), (strategy, STRATEGY)):
+        if more is not None:
+            near = near.unionByName(more.select("symbol", F.lit(own).alias("rank")).distinct(), allowMissingColumns=True)
+    rows = near.groupBy("symbol").agg(
+        F.min("rank").alias("rank"), F.count("ticks").alias("levels"), F.array_join(F.sort_array(F.collect_set("side")), ",").alias("sides"), F.min("distance").alias("distance"),
+        F.min_by("ticks", F.when(F.col("ticks").isNotNull(), F.struct("distance", "ticks"))).alias("nearest_ticks"),
+    )
+    order = ["rank", F.asc_nulls_last("distance"), "symbol"]
+    top = rows.orderBy(*order).limit(size)  # at most `size` rows are numbered
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order))).withColumn("shard", F.floor((F.col("place") - 1) / shard).cast("int"))
 
 
 def notifications(lifecycle: DataFrame) -> DataFrame:

@@ -125,6 +125,18 @@ def replay(bars: dict[str, DataFrame], include_round: bool = True) -> DataFrame:
     return assemble(promote(break_groups(with_breaks(hits["5m"], bars["5m"])), hits))
 
 
+def replay_run(bars: dict[str, DataFrame], universe: DataFrame, first: Column, last: Column, include_round: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(events, symbol results) of a universe's symbols over a range of days; every symbol of the universe has a result, failed if it has
+    no bars."""
+    own = {f: b.filter(F.col("trading_date").between(first, last)).join(universe.select("symbol"), "symbol", "left_semi") for f, b in bars.items()}
+    events = replay(own, include_round)
+    count = lambda rows, name: rows.groupBy("symbol").agg(F.count("*").alias(name))
+    counted = events.groupBy("symbol").agg(F.count("*").alias("events"), F.sum("total_hit_count").alias("hits"))
+    rows = universe.select("symbol").join(count(own["5m"], "bars"), "symbol", "left").join(counted, "symbol", "left")
+    status = F.when(F.col("bars").isNull(), "failed").otherwise("complete")
+    return events, rows.withColumn("status", status).fillna(0, ["bars", "events", "hits"])
+
+
 def evidence(events: DataFrame, broken: DataFrame) -> DataFrame:
     """The hits behind events: every 5-minute hit of the event's level and break, and the bar of each promotion."""
     e = events.select("event_key", *KEY, "break_eob", "pair_kind")

@@ -12,7 +12,7 @@ from tidebar.operators import maintain as M
 from tidebar.operators import pairs as P
 from tidebar.operators import signals as S
 from tidebar.operators import universe as U
-from tidebar.plans.market import CUTOFF, EVENTS, QUERIES, SQL, TICKS, bars_sql, cutoff, day, events, query, stamp, text
+from tidebar.plans.market import CUTOFF, EVENTS, HITS, QUERIES, SQL, TICKS, bars_sql, cutoff, day, events, query, replayed, stamp, text
 from tidebar.plans.research import DAILY, SIGNALS, mean, percent, rounded
 from tidebar.sources import adapters as A
 
@@ -238,13 +238,14 @@ def merged_bars(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "hot_pool",
-    f"""{EVENTS}, q AS (SELECT symbol, arg_max(price_ticks, (event_time, event_id)) AS price FROM ticks GROUP BY symbol), n AS (SELECT ev.symbol, ticks, abs(ticks - price) AS distance, CASE strongest_stage WHEN 'ESTABLISHED' THEN 1 WHEN 'FOCUS' THEN 2 WHEN 'OBSERVING' THEN 3 ELSE 4 END AS rank FROM ev JOIN q USING (symbol) WHERE is_active),
-g AS (SELECT symbol, min(rank) AS rank, count(*) AS levels, min(distance) AS distance, arg_min(ticks, (distance, ticks)) AS nearest_ticks FROM n GROUP BY symbol)
-SELECT *, row_number() OVER (ORDER BY rank, distance, symbol) AS place, CAST(floor((row_number() OVER (ORDER BY rank, distance, symbol) - 1) / 50) AS INTEGER) AS shard FROM g ORDER BY place LIMIT 300""",
+    f"""{EVENTS}, q AS (SELECT symbol, arg_max(price_ticks, (event_time, event_id)) AS price FROM ticks GROUP BY symbol), n AS (SELECT ev.symbol, side, ticks, abs(ticks - price) AS distance, CASE strongest_stage WHEN 'ESTABLISHED' THEN 1 WHEN 'FOCUS' THEN 2 WHEN 'OBSERVING' THEN 3 ELSE 5 END AS rank FROM ev JOIN q USING (symbol) WHERE is_active
+ UNION ALL SELECT symbol, NULL, NULL, NULL, 0 FROM q WHERE symbol LIKE '%7' UNION ALL SELECT symbol, NULL, NULL, NULL, 4 FROM q WHERE symbol LIKE 'U1%'),
+g AS (SELECT symbol, min(rank) AS rank, count(ticks) AS levels, coalesce(string_agg(DISTINCT side, ',' ORDER BY side), '') AS sides, min(distance) AS distance, arg_min(ticks, (distance, ticks)) FILTER (ticks IS NOT NULL) AS nearest_ticks FROM n GROUP BY symbol)
+SELECT *, row_number() OVER (ORDER BY rank, distance NULLS LAST, symbol) AS place, CAST(floor((row_number() OVER (ORDER BY rank, distance NULLS LAST, symbol) - 1) / 50) AS INTEGER) AS shard FROM g ORDER BY place LIMIT 300""",
 )
 def hot_pool(spark: SparkSession, folder: str) -> DataFrame:
-    ticks = A.ticks(spark, folder)
-    return M.hot_pool(events(spark, folder), B.latest_quotes(ticks))
+    quotes = B.latest_quotes(A.ticks(spark, folder))
+    return M.hot_pool(events(spark, folder), quotes, manual=quotes.filter("symbol like '%7'"), strategy=quotes.filter("symbol like 'U1%'"))
 
 
 @query(
@@ -257,10 +258,9 @@ def notification_cards(spark: SparkSession, folder: str) -> DataFrame:
     return M.notifications(P.lifecycle(events(spark, folder))).withColumns(text("at"))
 
 
-@query("retention", f"{EVENTS}, l AS (SELECT event_key, last_seen_at, 1 + promotions + (break_eob IS NOT NULL)::INT AS steps FROM ev) SELECT 'events' AS dataset, count(*) AS removed FROM l WHERE last_seen_at < TIMESTAMP '{CUTOFF}' UNION ALL SELECT 'lifecycle', coalesce(sum(steps), 0)::BIGINT FROM l WHERE last_seen_at < TIMESTAMP '{CUTOFF}'")
+@query("retention", f"{HITS}, o AS (SELECT event_key, last_seen_at < TIMESTAMP '{CUTOFF}' AS old FROM ev) " + " UNION ALL ".join(f"SELECT '{n}' AS dataset, count(*) FILTER (old) AS removed, count(*) FILTER (NOT old) AS kept FROM {t} JOIN o USING (event_key)" for n, t in (("events", "ev"), ("hits", "evidence"), ("lifecycle", "moves"))))
 def retention(spark: SparkSession, folder: str) -> DataFrame:
-    e = events(spark, folder)
-    return M.retain(e, P.lifecycle(e), cutoff())[2]
+    return M.retain(*replayed(spark, folder), cutoff())[3]
 
 
 @query("source_reconciliation", f"{EVENTS} SELECT event_key, 'INVALIDATED' AS stage, 'SOURCE_RECONCILIATION' AS invalidation_reason FROM ev WHERE is_active AND ticks % 3 = 0")

@@ -37,6 +37,13 @@ def tick_rows(events: DataFrame, symbols: int = 20) -> DataFrame:
     )
 
 
+def from_wire(rows: DataFrame) -> DataFrame:
+    """Ticks as they are sent: prices in millionths become whole hundredths, a bid or ask of zero is none."""
+    ticks = lambda c: F.round(F.col(c) / 10_000).cast("long")
+    sides = {f"{s}_ticks": F.when(F.col(f"{s}_e6") > 0, ticks(f"{s}_e6")) for s in ("bid", "ask", "pre_close")}
+    return rows.withColumns({"price_ticks": ticks("price_e6")} | sides).drop("price_e6", "bid_e6", "ask_e6", "pre_close_e6")
+
+
 def daily_bars(spark: SparkSession, folder: str, symbols: int = 10) -> DataFrame:
     """Daily bars from order lines; open and close by order, line and, since these can repeat, part, price and quantity."""
     li = table(spark, folder, "lineitem")
