@@ -237,6 +237,16 @@ def test_an_archive_is_read_in_one_pass():
             list(warc.read_archive(archive[:-3]))
 
 
+def test_embeddings_with_repeated_ids_and_clashing_columns(spark):
+    v = [[1.0, 0.0], [1.0, 0.01], [0.0, 1.0], [0.0, 1.0]]
+    rows = [(1, v[0], 1, "k", 5), (1, v[2], 1, "k", 5), (2, v[1], 1, "k", 5), (3, v[3], 1, "k", 5), (None, v[0], 1, "k", 5), (4, v[0], None, "k", 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, leaf string, links int")
+    out = embedding_dedup.near_duplicates(df)
+    assert out.columns == ["vec_id", "n_links", "component_id", "kept"]
+    got = sorted((r.vec_id or 0, r.component_id or 0, r.kept) for r in out.collect())
+    assert got == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
+
+
 def test_dictionary_makes_small_records_smaller():
     pages = [f"<html><head><title>{i}</title></head><body><article><p>words {i * 7} and more words</p></article></body></html>".encode() for i in range(400)]
     import zstandard

@@ -247,6 +247,16 @@ def test_plan_is_gapless_and_tight():
         assert bins <= max(1.5 * -(-total // cap) + 1, len(counts))
 
 
+def test_packing_with_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "same text here"), (1, "same text here"), (2, None), (3, "")]
+    df = spark.createDataFrame([(*r, 9, 9, "k") for r in rows], DOCS + ", piece int, length int, sequence_id string")
+    out = packing.pack(df)
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    got = sorted((r.doc_id, r.piece, r.length) for r in out.collect())
+    assert [x[:2] for x in got] == [(1, 0), (1, 0), (2, 0), (3, 0)] and got[2][2] == got[3][2] == 1
+    assert sorted(r.offset for r in out.collect())[0] == 0 and len({r.sequence_id for r in out.collect()}) == 1
+
+
 def test_packing_covers_every_token(spark):
     rows = [*corpus(1, 30), (5, "again"), (None, "no id"), (6, "word " * 4000), (7, "中文 " * 900), (8, "a <|endoftext|> b"), (9, "x y " * 60_000)]
     plain = plain_tokenizer()
