@@ -60,7 +60,7 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 #: Rows of the alignment that are kept at each level, so that its space grows with the lines, not with their product.
 CUTS = 16
 #: Sampled keys by which the order is cut into ranges, and ranges for each task.
-SAMPLE_KEYS, RANGES = 20_000, 3
+SAMPLE_KEYS, RANGES = 5_000, 3
 
 #: Lines of a page (text, in the article, in an element that is not text), and whether it marks an article.
 Lines = tuple[list[tuple[str, bool, bool]], bool]
@@ -285,6 +285,6 @@ def extract(pages: DataFrame) -> DataFrame:
     keyed = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"))
     keyed = keyed.withColumn("key", F.struct("host", "path", "page_id"))
     tasks = shuffle_partitions(pages.sparkSession)
-    dealt = _in_ranges(keyed, RANGES * tasks).repartition(tasks, "range").sortWithinPartitions("range", "host", "path", "page_id")
+    dealt = _in_ranges(keyed, RANGES * tasks).repartition("range").sortWithinPartitions("range", "host", "path", "page_id")
     kind = pages.schema["page_id"].dataType.simpleString()
     return dealt.select("page_id", "url", "html", "host", "path", "range", "guest").mapInPandas(_difference, f"page_id {kind}, url string, text string, n_chars long")
