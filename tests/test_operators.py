@@ -87,11 +87,14 @@ def test_next_day(spark):
     e = spark.createDataFrame([event], "event_key string, symbol string, side string, ticks long, established_at timestamp_ntz, break_eob timestamp_ntz")
     cal = spark.createDataFrame([(day.date(), nxt.date())], "trading_date date, next_date date")
 
-    def run(highs):
-        rows = [("A", nxt.date(), nxt + timedelta(minutes=575 + 5 * i), h, 1000) for i, h in enumerate(highs)]
-        b = spark.createDataFrame(rows, "symbol string, trading_date date, eob timestamp_ntz, high_ticks long, low_ticks long")
-        return N.validate(e, b, cal, F.lit("2100-01-01 00:00:00").cast("timestamp_ntz")).first()
+    def run(highs, proven=48, as_of="2100-01-01 00:00:00"):
+        rows = [("A", nxt.date(), i, nxt + timedelta(minutes=575 + 5 * i), h, 1000) for i, h in enumerate(highs)]
+        b = spark.createDataFrame(rows, "symbol string, trading_date date, slot int, eob timestamp_ntz, high_ticks long, low_ticks long")
+        proofs = spark.createDataFrame([("A", nxt.date(), i) for i in range(len(highs), proven)], "symbol string, trading_date date, slot int")
+        return N.validate(e, b, cal, F.lit(as_of).cast("timestamp_ntz"), proofs).first()
 
     hit = run([1200] * 7 + [1201] + [1200] * 16)
     assert hit.validation == "INVALIDATED" and hit.breach_ticks == 1201 and hit.breached_at == nxt + timedelta(minutes=575 + 35)
     assert run([1200] * 24).validation == "PASSED" and run([]).validation == "NO_TRADE"
+    assert run([1200] * 24, 47).validation == run([], 0).validation == "INCOMPLETE" and run([1201], 1).validation == "INVALIDATED"
+    assert run([1200] * 24, as_of="2026-08-18 14:59:00").validation == "MONITORING"

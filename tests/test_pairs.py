@@ -72,7 +72,13 @@ def test_replay_equals_sequential_rules(spark, seed):
     mine = sorted((r.symbol, r.side, r.ticks, r.discovered_at, r.hits_5m, r.observed_at, r.focused_at, r.established_at, r.break_eob, r.break_ticks) for r in got.collect())
     theirs = sorted((*e["key"], e["discovered_at"], e["hits"], e["o"], e["f"], e["e"], e["break_eob"], e["break_ticks"]) for e in sequential(rows))
     assert [tuple(map(str, r)) for r in mine] == [tuple(map(str, r)) for r in theirs]
-    assert all(r.n == 0 for r in P.invariants(got).collect())
+    five = df.filter("frequency = '5m'")
+    got = spark.createDataFrame(got.collect(), got.schema)
+    broken = P.with_breaks(P.pair_hits(five), five)
+    hits = P.evidence(got, spark.createDataFrame(broken.collect(), broken.schema))
+    assert all(r.n == 0 for r in P.invariants(got, hits, P.lifecycle(got)).collect())
+    counters = {r.event_key: (r.candidates, r.promotions) for r in P.hit_counters(hits).collect()}
+    assert counters == {r.event_key: (r.hits_5m, r.promotions) for r in got.collect()}
 
 
 def test_pair_kinds(spark):

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.functions.session import ORDER
+from tidebar.sources.store import staged
 
 STAGES = ["DISCOVERED", "OBSERVING", "FOCUS", "ESTABLISHED"]
 SCORES = [0.25, 0.5, 0.75, 1.0]
@@ -37,7 +38,7 @@ def with_breaks(hits5: DataFrame, bars5: DataFrame) -> DataFrame:
 
     First within the hit's own day. For levels left over, the extremes of the later days of the month name the day, for those still left the
     extremes of later months name the month and its days the day; that day's bars name the bar. So a level meets the days of a
-    month and the months of its history, never all days or bars."""
+    month and the months of its history, never all days or bars. What each step leaves is written to the shared folder."""
     sides = F.array(F.struct(F.lit("TOP").alias("side"), F.col("high_ticks").alias("reach")), F.struct(F.lit("BOTTOM").alias("side"), F.col("low_ticks").alias("reach")))
     reach = bars5.select("symbol", F.col("trading_date").alias("day"), F.col("eob").alias("bar_eob"), F.inline(sides))
     top = F.col("side") == "TOP"
@@ -49,9 +50,10 @@ def with_breaks(hits5: DataFrame, bars5: DataFrame) -> DataFrame:
     keys = ["symbol", "side", "ticks", "trading_date", "eob"]
     levels = hits5.select(*keys).distinct()
     same = levels.withColumn("day", F.col("trading_date")).join(reach, ["symbol", "side", "day"]).filter((F.col("bar_eob") > F.col("eob")) & beyond)
-    same = same.groupBy(*keys).agg(first.alias("hit"))
-    rest = levels.join(same.select(*keys), keys, "left_anti").withColumn("month", F.trunc("trading_date", "month"))
+    same = staged(same.groupBy(*keys).agg(first.alias("hit")), "breaks-same-day")
+    rest = staged(levels.join(same.select(*keys), keys, "left_anti").withColumn("month", F.trunc("trading_date", "month")), "breaks-rest")
     soon = rest.join(days, ["symbol", "side", "month"]).filter((F.col("day") > F.col("trading_date")) & beyond).groupBy(*keys).agg(F.min("day").alias("day"))
+    soon = staged(soon, "breaks-same-month")
     far = rest.join(soon.select(*keys), keys, "left_anti").join(months, ["symbol", "side"]).filter((F.col("to_month") > F.col("month")) & beyond)
     far = far.groupBy(*keys).agg(F.min("to_month").alias("month")).join(days, ["symbol", "side", "month"]).filter(beyond).groupBy(*keys).agg(F.min("day").alias("day"))
     later = soon.unionByName(far).join(reach, ["symbol", "side", "day"]).filter(beyond).groupBy(*keys).agg(first.alias("hit"))

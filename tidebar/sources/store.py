@@ -23,6 +23,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def staged(rows: DataFrame, tag: str) -> DataFrame:
+    """Writes an intermediate table to the shared folder and reads it back: what uses it more than once computes it once."""
+    path = f"{shared_folder(rows.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     """Of the files under paths: their names, sizes and times."""
     files = spark.read.format("binaryFile").load(paths).select("path", "length", F.unix_micros("modificationTime").alias("at"))

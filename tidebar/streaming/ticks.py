@@ -158,6 +158,7 @@ def stream_events(ticks: DataFrame, folder: str, checkpoint: str) -> StreamingQu
     own = ticks.sparkSession.newSession()
     own.conf.set("spark.sql.unionOutputPartitioning", "false")
     own.conf.set("spark.sql.session.timeZone", ticks.sparkSession.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.checkpoint.dir", store.shared_folder(ticks.sparkSession))
     return run_each(ticks, lambda batch, number: replay_touched(own, batch, number, folder), checkpoint)
 
 
