@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import bounded_sample, row_of, slices, staged, text_buffers, words_of
+from tidebar.llm.common import bounded_sample, give_back, row_of, slices, staged, text_buffers, words_of
 
 #: Slots of the shape runs (of two and of four bytes), word distances at which repeats are counted, slots of the byte trigrams.
 SHAPES, LAGS, GRAMS = 512, 4, 1024
@@ -31,7 +31,7 @@ TEXT_WEIGHT = 0.25
 #: Least deviation by which a feature is scaled.
 FLOOR = 0.02
 #: Labelled rows that teach at most, and rows of the sample whose gradient the one over all documents corrects.
-FIT_POSITIVES, SAMPLE_ROWS = 3000, 4000
+FIT_POSITIVES, SAMPLE_ROWS = 2000, 2500
 STEPS, RATE, DECAY = 120, 0.01, 2e-3
 #: Bins of the first model's score; chance and share by which the prior's shares may be off.
 BINS, DOUBT, MARGIN = 1000, 0.1, 0.01
@@ -172,11 +172,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     wanted = [tuple(x) for x in drawn.collect()]  # at most FIT_POSITIVES + SAMPLE_ROWS keys
     keys = docs.sparkSession.createDataFrame(sorted({(k,) for k, _ in wanted}) or [(None,)], "wanted long")
     rows = keyed.join(F.broadcast(keys), F.col("key") == F.col("wanted")).select("key", "text").mapInArrow(_sparse, "key long, slots array<int>, counts array<float>")
-    found = {}
+    place = {k: i for i, k in enumerate(sorted({k for k, _ in wanted}))}
+    table, there = np.zeros((len(place), DIMENSIONS), np.float32), np.zeros(len(place), bool)
     for x in rows.dropDuplicates(["key"]).toLocalIterator():
-        found[x["key"]] = np.zeros(DIMENSIONS, np.float32)
-        found[x["key"]][x["slots"]] = x["counts"]
-    first, second, sample = (np.array([found[k] for k, side in wanted if side == n and k in found]).reshape(-1, DIMENSIONS) for n in range(3))
+        table[place[x["key"]], x["slots"]] = x["counts"]
+        there[place[x["key"]]] = True
+    first, second, sample = (table[[place[k] for k, side in wanted if side == n and there[place[k]]]] for n in range(3))
+    del table
     if not len(first) + len(second) or not len(sample):
         return None
     pilot = fit(first if len(first) else second, sample, 0.5)
@@ -191,7 +193,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     whole[[x["pos"] for x in sums]] = [x["total"] for x in sums]
     here = chances(pilot, sample)
     correction = whole / max(counts[0].sum(), 1) - np.append(here @ sample, here.sum()) / len(sample)
-    return fit(np.concatenate([first, second]), sample, estimate_prior(*counts), correction)
+    model = fit(np.concatenate([first, second]), sample, estimate_prior(*counts), correction)
+    del first, second, sample
+    give_back()
+    return model
 
 
 def _score(model: np.ndarray | None):
