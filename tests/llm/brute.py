@@ -77,3 +77,37 @@ def near_duplicates(rows, threshold=0.8, size=5):
             if total and common >= threshold * total - 1e-12:
                 union.join(a, b)
     return {i: union.find(i) for i in ids}
+
+
+def phrases(rows, longest=4):
+    """({(lang, phrase): occurrences}, {lang: words}) of rows (lang, text)."""
+    count, total = collections.Counter(), collections.Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(w)
+            for n in range(1, longest + 1):
+                count.update((lang, " ".join(w[i : i + n])) for i in range(len(w) - n + 1))
+    return count, total
+
+
+def collocations(rows, threshold=30, top=2000, redundant=80):
+    """[(lang, rank, phrase, a, l, r, n, score)]."""
+    count, total = phrases(rows)
+    found = {k: a for k, a in count.items() if a >= threshold}
+    around = collections.Counter()
+    for (lang, p), a in found.items():
+        w = p.split(" ")
+        for n in range(2, len(w)):
+            for i in range(len(w) - n + 1):
+                k = (lang, " ".join(w[i : i + n]))
+                around[k] = max(around[k], a)
+    by_lang = collections.defaultdict(list)
+    for (lang, p), a in found.items():
+        w = p.split(" ")
+        if len(w) > 1 and 100 * around[lang, p] < redundant * a:
+            cuts = [(found[lang, " ".join(w[:k])], found[lang, " ".join(w[k:])], k) for k in range(1, len(w))]
+            score, _, left, right = min((2_000_000 * a // (x + y), k, x, y) for x, y, k in cuts)
+            by_lang[lang].append((-score, -a, p.encode(), left, right))
+    return [(lang, i + 1, p.decode(), -a, x, y, total[lang], -s) for lang, own in by_lang.items() for i, (s, a, p, x, y) in enumerate(sorted(own)[:top])]

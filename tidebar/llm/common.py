@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,11 @@ _POWERS: dict[str, np.ndarray] = {}
 SLICE_BYTES, SLICE_ROWS = 1 << 19, 1024
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def scratch(spark: SparkSession) -> str:
     """The shared folder for intermediate tables. A session without one gets a temporary folder if it runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,8 +31,7 @@ def scratch(spark: SparkSession) -> str:
         master = spark.conf.get("spark.master", "")
         if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own_folder()
     return folder.rstrip("/")
 
 
@@ -39,10 +44,10 @@ def give_back() -> None:
         return
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts the lineage and survives lost executors."""
+def staged(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Writes a table to the shared folder, in folders by a column if one is named, and reads it back: cuts the lineage and survives lost executors."""
     path = f"{scratch(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -118,8 +123,8 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each slice holds at most SLICE_BYTES of text and SLICE_ROWS rows, or one row; at the end of the task
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that each slice holds at most `limit` bytes of text and `rows` rows, or one row; at the end of the task
     free memory goes back to the system."""
     for batch in batches:
         if not batch.num_rows:
@@ -127,7 +132,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         _, ends = text_buffers(batch.column(column))
         at = 0
         while at < batch.num_rows:
-            to = min(max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, "right")) - 1), at + SLICE_ROWS)
+            to = min(max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1), at + rows)
             yield batch.slice(at, to - at)
             at = to
     give_back()

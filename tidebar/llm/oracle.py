@@ -53,4 +53,34 @@ link AS (SELECT a, b FROM o JOIN z za ON za.doc_id = a JOIN z zb ON zb.doc_id =
 {_REACH}
 SELECT d.doc_id, coalesce(c, d.doc_id) AS component_id, CASE WHEN len(w) = 0 THEN d.doc_id ELSE min(d.doc_id) OVER (PARTITION BY w) END AS copy_of, coalesce(c, d.doc_id) = d.doc_id AS kept FROM d LEFT JOIN low ON low.n = d.doc_id"""
 
-SQL = {"op2_substring_dedup": OP2, "op5_embedding_dedup": OP5, "op8_decontaminate": OP8, "op9_minhash": OP9, "op10_warc": OP10}
+LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP11 = f"""WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{LETTERS}') AS w FROM documents),
+t AS (SELECT k, lang, source, unnest(w) AS term FROM d), kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT k) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang), g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+gn AS (SELECT g.lang, g.source, coalesce(v, 0)::HUGEINT AS v, coalesce((SELECT sum(n) FROM c WHERE c.lang = g.lang AND c.source = g.source), 0)::HUGEINT AS total FROM g LEFT JOIN v USING (lang)),
+p AS (SELECT gn.lang, gn.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (total + 5 * gn.v) AS p FROM gn JOIN kept k ON k.lang = gn.lang LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = k.term),
+lt AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL), ln AS (SELECT lang, sum(n)::HUGEINT AS total FROM lt GROUP BY lang),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (lt.n + 5)) // (total + 5 * v.v) AS q FROM lt JOIN ln USING (lang) JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(f.value, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 50"""
+
+OP12 = f"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM d), n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+o AS (SELECT lang, k, array_to_string(w[i + 1 : i + k], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(0, greatest(len(w) - k + 1, 0))) AS i FROM w, (SELECT unnest(range(1, 5)) AS k))),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM o GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+inn AS (SELECT lang, a, array_to_string(w[i + 1 : i + s], ' ') AS phrase FROM (SELECT lang, a, w, s, unnest(range(0, k - s + 1)) AS i FROM (SELECT *, unnest(range(2, k)) AS s FROM c WHERE k > 2))),
+m AS (SELECT lang, phrase, max(a) AS around FROM inn GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN m USING (lang, phrase) WHERE around IS NULL OR 100 * around < 80 * a),
+cut AS (SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1 :], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS j FROM kept)),
+s AS (SELECT cut.lang, cut.phrase, a, j, x.f AS l, y.f AS r, (2000000 * a) // (x.f + y.f) AS score FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = head JOIN f y ON y.lang = cut.lang AND y.phrase = tail),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT r.lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r.r::BIGINT AS r, n, score::BIGINT AS score FROM r JOIN n ON n.lang = r.lang WHERE rank <= 2000"""
+
+SQL = {"op12_collocations": OP12, "op2_substring_dedup": OP2, "op5_embedding_dedup": OP5, "op8_decontaminate": OP8, "op9_minhash": OP9, "op10_warc": OP10}
