@@ -111,3 +111,33 @@ def collocations(rows, threshold=30, top=2000, redundant=80):
             score, _, left, right = min((2_000_000 * a // (x + y), k, x, y) for x, y, k in cuts)
             by_lang[lang].append((-score, -a, p.encode(), left, right))
     return [(lang, i + 1, p.decode(), -a, x, y, total[lang], -s) for lang, own in by_lang.items() for i, (s, a, p, x, y) in enumerate(sorted(own)[:top])]
+
+
+def divergence(rows, least=30, top=50):
+    """[(lang, source, part, item, value, rank)] of rows (lang, source, text)."""
+    held, count, documents = collections.defaultdict(collections.Counter), collections.Counter(), collections.Counter()
+    groups = set()
+    for lang, source, text in rows:
+        lang, source = lang or "", source or ""
+        words = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+        groups.add((lang, source))
+        held[lang, source].update(words)
+        documents.update((lang, w) for w in set(words))
+    share = lambda n, total, v: 1 + 1_000_000_000 * (n + 5) // (total + 5 * v)
+    out = []
+    for lang in {g[0] for g in groups}:
+        kept = sorted(w for (x, w), n in documents.items() if x == lang and n >= least)
+        own = sorted(s for x, s in groups if x == lang)
+        p = {}
+        for s in own:
+            total = sum(held[lang, s][w] for w in kept)
+            p[s] = {w: share(held[lang, s][w], total, len(kept)) for w in kept}
+        count = {w: sum(held[lang, s][w] for s in own) for w in kept}
+        q = {w: share(count[w], sum(count.values()), len(kept)) for w in kept}
+        for s in own:
+            pairs = [(sum(abs(p[s][w] - p[t][w]) for w in kept), t) for t in own if t != s]
+            terms = [(p[s][w] - q[w], w) for w in kept if held[lang, s][w] and p[s][w] > q[w]]
+            for part, found, limit in (("pair", pairs, None), ("term", terms, top)):
+                found.sort(key=lambda x: (-x[0], x[1].encode()))
+                out += [(lang, s, part, item, value, i + 1) for i, (value, item) in enumerate(found[:limit])]
+    return out

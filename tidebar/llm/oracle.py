@@ -83,4 +83,4 @@ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER
 r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
 SELECT r.lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r.r::BIGINT AS r, n, score::BIGINT AS score FROM r JOIN n ON n.lang = r.lang WHERE rank <= 2000"""
 
-SQL = {"op12_collocations": OP12, "op2_substring_dedup": OP2, "op5_embedding_dedup": OP5, "op8_decontaminate": OP8, "op9_minhash": OP9, "op10_warc": OP10}
+SQL = {"op11_source_divergence": OP11, "op12_collocations": OP12, "op2_substring_dedup": OP2, "op5_embedding_dedup": OP5, "op8_decontaminate": OP8, "op9_minhash": OP9, "op10_warc": OP10}

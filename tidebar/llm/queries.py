@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import bpe, collocations, decontaminate, embedding_dedup, minhash, oracle, packing, page_text, quality, sharding, substring_dedup, url_filter, warc
+from tidebar.llm import bpe, collocations, decontaminate, divergence, embedding_dedup, minhash, oracle, packing, page_text, quality, sharding, substring_dedup, url_filter, warc
 from tidebar.llm.common import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,10 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, folder, "pages").select("page_id", "url", "html")))
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents").select("lang", "source", "text"))
+
+
 def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents").select("lang", "text"))
 
@@ -80,7 +84,7 @@ def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = [
         op1_url_filter, op2_substring_dedup, op3_sharding, op4_page_text, op5_embedding_dedup,
-        op6_quality, op7_packing, op8_decontaminate, op9_minhash, op10_warc, op12_collocations, op13_bpe,
+        op6_quality, op7_packing, op8_decontaminate, op9_minhash, op10_warc, op11_source_divergence, op12_collocations, op13_bpe,
     ]
     return {f.__name__: f for f in found}
 
