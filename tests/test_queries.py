@@ -7,16 +7,9 @@ import pytest
 
 from tidebar import catalogue
 
-#: Most on the smallest tables; where ties and long history matter, on ten times as many rows.
+#: All on the smallest tables; where ties and long history matter, on ten times as many rows too.
 SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-SOME = [
-    "bars_5m", "pair_hits_5m", "pair_events", "event_hits", "hit_counters", "frequency_summary", "event_invariants", "event_page", "gaps_5m", "gap_totals_30m", "quality_issues_30m", "source_differences", "roll_up_check", "volume_deltas",
-    "exact_cover_5m", "weekly_platform", "forward_outcomes", "wave_scores", "snapshots", "quote_change", "rule_evaluations", "rule_decisions", "rule_funnel", "merged_bars", "opportunities", "calibration", "recommendations", "universe",
-    "universe_gate", "projection_diff", "stock_groups_page", "stock_groups_by_score", "group_total", "group_latest", "event_timeline", "event_filter", "event_details", "bar_range", "latest_bars", "gap_classes", "retractions",
-    "affected_ranges", "run_summary", "card_updates", "wave_jobs", "opportunity_cards", "initial_cards", "signal_revisions", "signal_outcomes", "next_day_validation", "next_day_monitor", "validation_summary", "validation_applied",
-    "broken_levels", "daily_job",
-]
 TIES = ["daily_bars", "weekly_bars", "moving_averages", "trend_gate", "relative_strength", "market_change"]
 
 
@@ -37,7 +30,7 @@ def value(x):
     return round(float(x), 4) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
 
-@pytest.mark.parametrize("name, folder", [(n, SMALL) for n in SOME] + [(n, LARGER) for n in TIES])
+@pytest.mark.parametrize("name, folder", [(n, SMALL) for n in sorted(catalogue.queries())] + [(n, LARGER) for n in TIES])
 def test_query_equals_its_sql(spark, duck, name, folder):
     mine = catalogue.queries()[name](spark, folder)
     columns = sorted(mine.columns)

@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidebar.functions import session
@@ -8,6 +9,7 @@ from tidebar.operators import cards as C
 from tidebar.operators import maintain as M
 from tidebar.operators import pairs as P
 from tidebar.sources import store
+from tidebar.sources.versions import VersionedTable, added, newest
 from tidebar.sources.adapters import tick_rows
 from tidebar.streaming import ticks as T
 
@@ -90,33 +92,73 @@ def test_bar_lifecycle(spark):
     assert {r.slot: (r.row_hash, r.closed, r.revision) for r in held.collect()} == {0: ("c", True, 1), 1: ("x", True, 0)}
 
 
+def level_rows(ticks, when):
+    best = ticks.groupBy("symbol").agg(F.min("price_ticks").alias("low"), F.max("price_ticks").alias("high"))
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), (F.col(c) - sign * d).alias("ticks")) for s, c, sign in (("TOP", "high", 1), ("BOTTOM", "low", -1)) for d in (-3, 0, 3, 60, 150)]))
+    return best.select("symbol", sides.alias("x")).select("symbol", "x.*").withColumns({"event_key": F.concat_ws("|", "symbol", "side", "ticks"), "first_seen_at": F.lit(when).cast("timestamp_ntz")})
+
+
+def plain_breaks(ticks, levels):
+    out = {}
+    for l in levels:
+        beyond = [t for t in ticks if t.symbol == l.symbol and t.event_time > l.first_seen_at and (t.price_ticks > l.ticks if l.side == "TOP" else t.price_ticks < l.ticks)]
+        if beyond:
+            first = min(beyond, key=lambda t: (t.event_time, t.event_id))
+            out[l.event_key] = (first.event_time, first.price_ticks)
+    return out
+
+
+def test_first_breaks_are_those_of_every_tick_in_turn(spark):
+    e = events(spark, 300).withColumn("ts", F.timestamp_add("DAY", (F.col("event_id") % 3).cast("int"), F.col("ts")))
+    ticks = tick_rows(e)
+    for when in ("2024-01-01 10:00:00", "2024-01-02 10:31:00", "2024-01-03 13:10:00", "2024-01-09 09:30:00"):
+        levels = level_rows(ticks, when)
+        got = {r.event_key: (r.event_time, r.price_ticks) for r in T.first_breaks(ticks, levels).collect()}
+        assert got == plain_breaks(ticks.collect(), levels.collect()), when
+
+
 def test_levels_break_once(spark, tmp_path):
     ticks = tick_rows(events(spark, 200))
-    levels = ticks.groupBy("symbol").agg(F.min("price_ticks").alias("ticks")).withColumns({"event_key": F.concat(F.lit("e"), "symbol"), "side": F.lit("TOP"), "last_seen_at": F.lit("2024-01-02 09:30:00").cast("timestamp_ntz")})
-    folder = str(tmp_path / "levels")
-    store.replace(levels, folder)
-    found = [r.event_key for part in (0, 1) for r in T.break_levels(ticks.filter(F.col("event_id") % 2 == part), folder).collect()]
-    assert len(found) == len(set(found)) > 0
-    assert T.first_breaks(ticks, levels).count() == levels.count() - store.current(spark, folder).count()
+    levels = level_rows(ticks, "2024-01-02 09:30:00")
+    table = VersionedTable(spark, str(tmp_path / "levels"), ["symbol"], 8)
+    table.change(levels, added(["event_key"]))
+    moves = [T.break_levels(ticks.filter(F.col("event_id") % 2 == part), table, part) for part in (0, 1)]
+    rows = [r for m in moves for r in m.collect()]
+    assert len(rows) == len({r.event_key for r in rows}) == T.first_breaks(ticks, levels).count() > 0
+    assert table.read().count() == levels.count() - len(rows)
+    assert {r.reason for r in rows} == {"TICK_HIGHER_PRICE_BREAK", "TICK_LOWER_PRICE_BREAK"} and {r.to_stage for r in rows} == {"INVALIDATED"}
+    assert T.break_levels(ticks.filter(F.col("event_id") % 2 == 1), table, 1) is None
+
+
+def test_incremental_windows_overlap_by_one_bar_and_commit_with_their_work(spark, tmp_path):
+    bars = B.ticks_to_bars(tick_rows(events(spark, 300)), "30m").select("symbol", "frequency", "eob", "close_ticks")
+    out, seen = VersionedTable(spark, str(tmp_path / "out"), ["symbol"], 4), []
+    merge = newest(["symbol", "frequency", "eob"], ["close_ticks"])
+    first = bars.filter("eob <= timestamp_ntz'2024-01-02 10:30:00'")
 
+    def work(rows):
+        seen.append(rows.count())
+        return rows
 
-def test_incremental_windows_overlap_by_one_bar_and_wait_for_success(spark, tmp_path):
-    bars = B.ticks_to_bars(tick_rows(events(spark, 300)), "30m").select("symbol", "frequency", "eob")
-    folder, seen = str(tmp_path / "marks"), []
-    first = bars.filter("eob <= timestamp_ntz'2024-01-02 10:30:00'")
-    T.run_incremental(first, folder, lambda d: seen.append(d.count()))
+    T.run_incremental(first, out, work, merge)
+    held = out.version()
 
-    def fail(rows):
+    def fail(*_):
         raise RuntimeError("no")
 
-    try:
-        T.run_incremental(bars, folder, fail)
-    except RuntimeError:
-        pass
-    marks = T.run_incremental(bars, folder, lambda d: seen.append(d.count()))
+    # dies in its work, dies between the rows and the version: the last version stays, marks included
+    for broken in (lambda: T.run_incremental(bars, out, fail, merge), lambda: T.run_incremental(bars, out, lambda rows: rows, fail)):
+        with pytest.raises(RuntimeError):
+            broken()
+    out._commit, commit = fail, out._commit
+    with pytest.raises(RuntimeError):
+        T.run_incremental(bars, out, lambda rows: rows, merge)
+    out._commit = commit
+    assert out.version() == held and out.read().count() == first.count()
+    marks = T.run_incremental(bars, out, work, merge)
     overlap = bars.filter("eob = timestamp_ntz'2024-01-02 10:30:00'").count()
     assert seen == [first.count(), bars.count() - first.count() + overlap] and overlap
-    assert [r.last_eob for r in marks.collect()] == [bars.agg(F.max("eob")).first()[0]]
+    assert marks == {"30m": str(bars.agg(F.max("eob")).first()[0])} and out.read().count() == bars.count()
 
 
 def test_cards_ranks_and_changes(spark):

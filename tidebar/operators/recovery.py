@@ -59,8 +59,10 @@ def run_summary(results: DataFrame) -> DataFrame:
     return out.withColumn("run_status", F.when(F.col("failed_symbols") > 0, "partial").otherwise("complete"))
 
 
-def symbol_results(bars: DataFrame, hits: DataFrame, events: DataFrame) -> DataFrame:
-    """What a replay did, by symbol; a symbol without a valid bar failed."""
+def symbol_results(universe: DataFrame, bars: DataFrame, hits: DataFrame, events: DataFrame) -> DataFrame:
+    """What a replay of the universe's symbols did; a symbol without a bar failed."""
     count = lambda rows, name: rows.groupBy("symbol").agg(F.count("*").alias(name))
-    rows = count(bars, "bars").join(count(hits, "hits"), "symbol", "left").join(count(events, "events"), "symbol", "left").fillna(0)
-    return rows.withColumn("status", F.lit("complete"))
+    rows = universe.select("symbol").distinct()
+    for found, name in ((bars, "bars"), (hits, "hits"), (events, "events")):
+        rows = rows.join(count(found, name), "symbol", "left")
+    return rows.fillna(0, ["bars", "hits", "events"]).withColumn("status", F.when(F.col("bars") > 0, "complete").otherwise("failed"))

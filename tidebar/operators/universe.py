@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Code prefixes of the main and growth boards by exchange.
 BOARDS = r"^(SHSE\.(600|601|603|605|688)|SZSE\.(000|001|002|003|300|301))\d{3}$"
+# How exact a status is, by the adapter that read it.
+ADAPTERS = {"get_instruments-current-snapshot": "estimated_current_snapshot", "get_symbols": "historical_exact"}
 #: A delisting date from here on means none.
 NO_END = "2038-01-01"
 
@@ -17,14 +19,18 @@ def is_special(name: Column) -> Column:
 
 
 def classify(raw: DataFrame) -> DataFrame:
-    """raw (symbol, name, is_suspended, raw_attributes JSON) with is_a_share, is_st, is_eligible, exclusion_reason, status_quality."""
+    """raw (symbol, name, is_suspended, raw_attributes JSON) with is_a_share, is_st, is_eligible, exclusion_reason (one that raw has stays where no
+    rule gives one), status_source and status_quality, both by the adapter that read the status."""
     share = F.coalesce(F.col("symbol").rlike(BOARDS), F.lit(False))
     level = F.get_json_object("raw_attributes", "$.sec_level").cast("int")
     st = F.coalesce(level.isin(2, 3), is_special(F.col("name")))
     suspended = F.coalesce("is_suspended", F.lit(False))
-    reason = F.when(~share, "NOT_A_SHARE").when(st, "ST").when(suspended, "SUSPENDED")
-    quality = F.when(level.isNotNull(), "AUTHORITATIVE").otherwise("NAME_DERIVED")
-    return raw.withColumns({"is_a_share": share, "is_st": st, "is_eligible": share & ~st & ~suspended, "exclusion_reason": reason, "status_quality": quality})
+    reason = F.when(~share, "NOT_A_SHARE").when(st, "ST")
+    if "exclusion_reason" in raw.columns:
+        reason = reason.otherwise(F.col("exclusion_reason"))
+    adapter = F.get_json_object("raw_attributes", "$._universe_adapter")
+    quality = F.coalesce(*[F.when(adapter == a, q) for a, q in ADAPTERS.items()], F.lit("unknown"))
+    return raw.withColumns({"is_a_share": share, "is_st": st, "is_eligible": share & ~st & ~suspended, "exclusion_reason": reason, "status_source": F.coalesce(adapter, F.lit("legacy_unknown")), "status_quality": quality})
 
 
 def listed_on(instruments: DataFrame, day: Column) -> DataFrame:
@@ -34,11 +40,17 @@ def listed_on(instruments: DataFrame, day: Column) -> DataFrame:
 
 
 def eligible_at(universe: DataFrame, day: Column, limit: int = 10_000) -> DataFrame:
-    """Eligible symbols of the newest status date not after the day, else of the oldest known date."""
-    dates = universe.agg(F.max(F.when(F.col("trading_date") <= day, F.col("trading_date"))).alias("a"), F.min("trading_date").alias("b")).select(F.coalesce("a", "b").alias("trading_date"))
+    """Eligible symbols of the newest status date not after the day, or of the newest one there is if all come after it."""
+    dates = universe.agg(F.max(F.when(F.col("trading_date") <= day, F.col("trading_date"))).alias("a"), F.max("trading_date").alias("b")).select(F.coalesce("a", "b").alias("trading_date"))
     return universe.join(F.broadcast(dates), "trading_date").filter("is_eligible").select("symbol").orderBy("symbol").limit(limit)  # one row is broadcast
 
 
+def search(instruments: DataFrame, text: str, limit: int = 50) -> DataFrame:
+    """Instruments whose symbol or name holds the text: eligible ones first, then the symbol that equals it, then by symbol."""
+    found = instruments.filter(F.col("name").contains(text) | F.col("symbol").contains(text))
+    return found.orderBy(F.desc("is_eligible"), (F.col("symbol") == text).desc(), "symbol").limit(limit)
+
+
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of two snapshots that the other does not have, with multiplicity."""
     return a.exceptAll(b).withColumn("side", F.lit("first")).unionByName(b.exceptAll(a).withColumn("side", F.lit("second")))

@@ -389,7 +389,8 @@ def latest_quotes(spark: SparkSession, folder: str) -> DataFrame:
 @query("checkpoints", f"{BARS} SELECT symbol, frequency, {stamp('max(eob)', 'last_eob')}, count(*) AS bars FROM (SELECT symbol, frequency, eob FROM b5m UNION ALL SELECT symbol, frequency, eob FROM b1d) GROUP BY symbol, frequency")
 def checkpoints(spark: SparkSession, folder: str) -> DataFrame:
     b = intraday(spark, folder)
-    return B.checkpoints(b["5m"].unionByName(b["1d"])).withColumns(text("last_eob"))
+    own = lambda f: b[f].select("symbol", "frequency", "eob")
+    return B.checkpoints(own("5m").unionByName(own("1d"))).withColumns(text("last_eob"))
 
 
 @query("last_bars_30m", f"{BARS} SELECT symbol, close_ticks, {stamp('eob')}, row_number() OVER (PARTITION BY symbol ORDER BY b30m.eob DESC)::INTEGER AS age FROM b30m QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY b30m.eob DESC) <= 60")

@@ -12,6 +12,7 @@ from tidebar.operators import maintain as M
 from tidebar.operators import pairs as P
 from tidebar.operators import signals as S
 from tidebar.operators import universe as U
+from tidebar.operators.signals import filter_runs
 from tidebar.plans.market import CUTOFF, EVENTS, HITS, QUERIES, SQL, TICKS, bars_sql, cutoff, day, events, query, replayed, stamp, text
 from tidebar.plans.research import DAILY, SIGNALS, mean, percent, rounded
 from tidebar.sources import adapters as A
@@ -20,11 +21,11 @@ __all__ = ["QUERIES", "SQL"]
 
 RAW = """raw AS (
   SELECT CASE WHEN s_suppkey % 5 = 0 THEN 'SHSE.900' WHEN s_nationkey % 2 = 0 THEN 'SHSE.600' ELSE 'SZSE.300' END || lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') AS symbol, CASE WHEN s_suppkey % 7 = 0 THEN '*st ' || s_name ELSE s_name END AS name,
-         (s_suppkey + day(t)) % 17 = 0 AS is_suspended, CASE WHEN s_suppkey % 3 = 0 THEN '{"sec_level": ' || CAST(s_suppkey % 4 AS VARCHAR) || '}' ELSE '{}' END AS raw_attributes, t AS trading_date, s_suppkey
+         (s_suppkey + day(t)) % 17 = 0 AS is_suspended, CASE WHEN s_suppkey % 3 = 0 THEN '{"sec_level": ' || CAST(s_suppkey % 4 AS VARCHAR) || '}' WHEN s_suppkey % 3 = 1 THEN '{"_universe_adapter": "get_symbols"}' WHEN s_suppkey % 4 = 0 THEN '{"_universe_adapter": "get_instruments-current-snapshot"}' ELSE '{}' END AS raw_attributes, t AS trading_date, s_suppkey
   FROM supplier, (SELECT DISTINCT CAST(ts AS DATE) AS t FROM events))"""
 UNIVERSE = f"""WITH {RAW}, lv AS (SELECT *, CAST(json_extract(raw_attributes, '$.sec_level') AS INTEGER) AS level, regexp_matches(symbol, '^(SHSE\\.(600|601|603|605|688)|SZSE\\.(000|001|002|003|300|301))[0-9]{{3}}$') AS is_a_share FROM raw),
 st AS (SELECT *, CASE WHEN level IS NOT NULL THEN level IN (2, 3) ELSE regexp_matches(upper(replace(name, ' ', '')), '^\\*?ST') END AS is_st FROM lv),
-uni AS (SELECT *, is_a_share AND NOT is_st AND NOT is_suspended AS is_eligible, CASE WHEN NOT is_a_share THEN 'NOT_A_SHARE' WHEN is_st THEN 'ST' WHEN is_suspended THEN 'SUSPENDED' END AS exclusion_reason, CASE WHEN level IS NOT NULL THEN 'AUTHORITATIVE' ELSE 'NAME_DERIVED' END AS status_quality FROM st)"""
+uni AS (SELECT *, is_a_share AND NOT is_st AND NOT is_suspended AS is_eligible, CASE WHEN NOT is_a_share THEN 'NOT_A_SHARE' WHEN is_st THEN 'ST' END AS exclusion_reason, coalesce(json_extract_string(raw_attributes, '$._universe_adapter'), 'legacy_unknown') AS status_source, CASE json_extract_string(raw_attributes, '$._universe_adapter') WHEN 'get_instruments-current-snapshot' THEN 'estimated_current_snapshot' WHEN 'get_symbols' THEN 'historical_exact' ELSE 'unknown' END AS status_quality FROM st)"""
 
 
 def universe(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,7 +33,8 @@ def universe(spark: SparkSession, folder: str) -> DataFrame:
     dates = A.table(spark, folder, "events").select(F.to_date("ts").alias("trading_date")).distinct()
     key = F.col("s_suppkey")
     prefix = F.when(key % 5 == 0, "SHSE.900").when(F.col("s_nationkey") % 2 == 0, "SHSE.600").otherwise("SZSE.300")
-    level = F.when(key % 3 == 0, F.concat(F.lit('{"sec_level": '), (key % 4).cast("string"), F.lit("}"))).otherwise("{}")
+    level = F.when(key % 3 == 0, F.concat(F.lit('{"sec_level": '), (key % 4).cast("string"), F.lit("}")))
+    level = level.when(key % 3 == 1, '{"_universe_adapter": "get_symbols"}').when(key % 4 == 0, '{"_universe_adapter": "get_instruments-current-snapshot"}').otherwise("{}")
     name = F.when(key % 7 == 0, F.concat(F.lit("*st "), "s_name")).otherwise(F.col("s_name"))
     rows = s.crossJoin(dates).select(  # symbols x trading days is what a universe is
         F.concat(prefix, F.lpad((key % 1000).cast("string"), 3, "0")).alias("symbol"), name.alias("name"), ((key + F.dayofmonth("trading_date")) % 17 == 0).alias("is_suspended"),
@@ -41,9 +43,9 @@ def universe(spark: SparkSession, folder: str) -> DataFrame:
     return U.classify(rows)
 
 
-@query("universe", f"{UNIVERSE} SELECT symbol, name, strftime(trading_date, '%Y-%m-%d') AS trading_date, is_a_share, is_st, is_eligible, exclusion_reason, status_quality FROM uni")
+@query("universe", f"{UNIVERSE} SELECT symbol, name, strftime(trading_date, '%Y-%m-%d') AS trading_date, is_a_share, is_st, is_eligible, exclusion_reason, status_source, status_quality FROM uni")
 def universe_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return universe(spark, folder).select("symbol", "name", day(), "is_a_share", "is_st", "is_eligible", "exclusion_reason", "status_quality")
+    return universe(spark, folder).select("symbol", "name", day(), "is_a_share", "is_st", "is_eligible", "exclusion_reason", "status_source", "status_quality")
 
 
 @query("universe_totals", f"{UNIVERSE} SELECT strftime(trading_date, '%Y-%m-%d') AS trading_date, count(*) AS total, count(*) FILTER (is_eligible) AS eligible, count(*) FILTER (is_st) AS special, count(*) FILTER (is_suspended) AS suspended FROM uni GROUP BY uni.trading_date")
@@ -52,11 +54,24 @@ def universe_totals(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("trading_date", day())
 
 
-@query("eligible_at", f"{UNIVERSE} SELECT symbol FROM uni WHERE is_eligible AND trading_date = (SELECT coalesce(max(trading_date) FILTER (trading_date <= DATE '2024-01-15'), min(trading_date)) FROM uni) ORDER BY symbol LIMIT 10000")
+@query("eligible_at", f"{UNIVERSE} SELECT symbol FROM uni WHERE is_eligible AND trading_date = (SELECT coalesce(max(trading_date) FILTER (trading_date <= DATE '2024-01-15'), max(trading_date)) FROM uni) ORDER BY symbol LIMIT 10000")
 def eligible_at(spark: SparkSession, folder: str) -> DataFrame:
     return U.eligible_at(universe(spark, folder), F.lit("2024-01-15").cast("date"))
 
 
+@query("eligible_before_all", f"{UNIVERSE} SELECT symbol FROM uni WHERE is_eligible AND trading_date = (SELECT max(trading_date) FROM uni) ORDER BY symbol LIMIT 10000")
+def eligible_before_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Of a day before all statuses: the newest ones count."""
+    return U.eligible_at(universe(spark, folder), F.lit("2000-01-03").cast("date"))
+
+
+@query("run_filter", "SELECT o_orderkey AS run_id, o_orderpriority AS profile, o_orderstatus AS status FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
+def run_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs by profile and status: orders as runs."""
+    runs = A.table(spark, folder, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("profile"), F.col("o_orderstatus").alias("status"))
+    return filter_runs(runs, "1-URGENT", "F")
+
+
 @query(
     "universe_readiness",
     f"""{UNIVERSE}, c AS (SELECT DISTINCT trading_date, (SELECT count(*) FROM supplier) AS certified_total, dayofmonth(trading_date) % 7 <> 0 AS is_trading_day FROM raw),
@@ -290,3 +305,19 @@ def signal_cards(spark: SparkSession, folder: str) -> DataFrame:
     names = A.table(spark, folder, "customer").select("c_custkey", F.col("c_name").alias("customer"))
     owner = A.table(spark, folder, "orders").select(F.col("o_orderkey").alias("signal_id"), F.col("o_custkey").alias("c_custkey"))
     return A.signals(spark, folder).join(owner, "signal_id").join(names, "c_custkey", "left").select("signal_id", "customer", "strategy_code", "score")
+
+
+_GATE = """t AS (SELECT event_id, user_id % 5 AS worker_id, date_trunc('day', ts) AS session_id, ts AS event_time, event_id AS arrival,
+         (hour(ts) * 3600 + minute(ts) * 60 + second(ts)) // 7 AS worker_sequence FROM events),
+g AS (SELECT *, max(worker_sequence) OVER (PARTITION BY worker_id, session_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen, date_diff('second', event_time, session_id + INTERVAL 12 HOUR) AS late FROM t)"""
+
+
+@query("tick_gate", f"WITH {_GATE} SELECT event_id, worker_sequence::BIGINT AS worker_sequence, CASE WHEN worker_sequence <= seen THEN 'DUPLICATE' WHEN NOT (late BETWEEN -30 AND 21600) THEN 'EXPIRED' ELSE 'ACCEPTED' END AS verdict FROM g")
+def tick_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as ticks of five workers, a session a day, seen at noon: what a high-water mark of their sequences lets through."""
+    from tidebar.streaming.state import gate
+
+    e = A.table(spark, folder, "events")
+    sequence = F.floor((F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")) / 7).cast("long")
+    rows = e.select("event_id", (F.col("user_id") % 5).alias("worker_id"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("session_id"), F.col("ts").alias("event_time"), F.col("event_id").alias("arrival"), sequence.alias("worker_sequence"))
+    return gate(rows, F.col("session_id") + F.expr("INTERVAL 12 HOURS"), max_age=21600).select("event_id", "worker_sequence", "verdict")

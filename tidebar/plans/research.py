@@ -10,6 +10,7 @@ from tidebar.operators import daily as D
 from tidebar.operators import nextday as N
 from tidebar.operators import signals as S
 from tidebar.plans.market import EVENTS, QUERIES, SQL, day, events, intraday, query, stamp, text
+from tidebar.operators.universe import search
 from tidebar.sources import adapters as A
 
 __all__ = ["QUERIES", "SQL"]
@@ -290,9 +291,7 @@ def dataset_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "instrument_search",
-    "SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS symbol, s_name AS name, s_acctbal >= 0 AS is_eligible FROM supplier WHERE contains(s_name, '1') OR contains('S' || CAST(s_suppkey AS VARCHAR), '1') ORDER BY (s_acctbal >= 0) DESC, ('S' || CAST(s_suppkey AS VARCHAR)) = 'S1' DESC, symbol LIMIT 50",
+    "SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS symbol, s_name AS name, s_acctbal >= 0 AS is_eligible FROM supplier WHERE contains(s_name, 'S1') OR contains('S' || CAST(s_suppkey AS VARCHAR), 'S1') ORDER BY (s_acctbal >= 0) DESC, ('S' || CAST(s_suppkey AS VARCHAR)) = 'S1' DESC, symbol LIMIT 50",
 )
 def instrument_search(spark: SparkSession, folder: str) -> DataFrame:
-    i = A.instruments(spark, folder)
-    found = i.filter(F.col("name").contains("1") | F.col("symbol").contains("1"))
-    return found.orderBy(F.desc("is_eligible"), (F.col("symbol") == "S1").desc(), "symbol").limit(50).select("symbol", "name", "is_eligible")
+    return search(A.instruments(spark, folder), "S1").select("symbol", "name", "is_eligible")

@@ -239,11 +239,13 @@ def affected_ranges(spark: SparkSession, folder: str) -> DataFrame:
     return R.affected_ranges(rows.withColumn("ordinal", F.datediff("trading_date", F.lit("2024-01-01").cast("date")) * 8 + F.col("slot")), {"30m": 3}, {"30m": 8})
 
 
-@query("run_summary", f"{HITS}, s AS (SELECT symbol, CASE WHEN CAST(substr(symbol, 2) AS INTEGER) % 6 = 5 THEN 'failed' ELSE 'complete' END AS status FROM (SELECT DISTINCT symbol FROM b5m)) SELECT count(*) FILTER (status = 'complete') AS completed_symbols, count(*) FILTER (status = 'failed') AS failed_symbols, (SELECT count(*) FROM b5m JOIN s USING (symbol) WHERE status = 'complete') AS bars, (SELECT count(*) FROM evidence JOIN s USING (symbol) WHERE status = 'complete') AS hits, (SELECT count(*) FROM ev JOIN s USING (symbol) WHERE s.status = 'complete') AS events, CASE WHEN count(*) FILTER (status = 'failed') > 0 THEN 'partial' ELSE 'complete' END AS run_status FROM s")
+@query("run_summary", f"{HITS}, s AS (SELECT symbol, CASE WHEN symbol IN (SELECT symbol FROM b5m) THEN 'complete' ELSE 'failed' END AS status FROM (SELECT DISTINCT 'U' || CAST(user_id % 24 AS VARCHAR) AS symbol FROM events)) SELECT count(*) FILTER (status = 'complete') AS completed_symbols, count(*) FILTER (status = 'failed') AS failed_symbols, (SELECT count(*) FROM b5m JOIN s USING (symbol) WHERE status = 'complete') AS bars, (SELECT count(*) FROM evidence JOIN s USING (symbol) WHERE status = 'complete') AS hits, (SELECT count(*) FROM ev JOIN s USING (symbol) WHERE s.status = 'complete') AS events, CASE WHEN count(*) FILTER (status = 'failed') > 0 THEN 'partial' ELSE 'complete' END AS run_status FROM s")
 def run_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Over a universe of which some symbols do not tick."""
     e, hits, _ = replayed(spark, folder)
-    rows = R.symbol_results(intraday(spark, folder)["5m"], hits, e)
-    return R.run_summary(rows.withColumn("status", F.when(F.substring("symbol", 2, 9).cast("int") % 6 == 5, "failed").otherwise("complete")))
+    universe = A.table(spark, folder, "events").select(F.concat(F.lit("U"), (F.col("user_id") % 24).cast("string")).alias("symbol")).distinct()
+    own = lambda rows: rows.join(universe, "symbol", "left_semi")
+    return R.run_summary(R.symbol_results(universe, own(intraday(spark, folder)["5m"]), own(hits), own(e)))
 
 
 @query("ingest_progress", "SELECT c_custkey, count(o_orderkey) AS children, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P, coalesce(sum(o_orderkey % 4), 0)::BIGINT AS attempts FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
@@ -381,7 +383,7 @@ SELECT event_key, {stamp('event_time')}, price_ticks FROM k QUALIFY row_number()
 def broken_levels(spark: SparkSession, folder: str) -> DataFrame:
     from tidebar.streaming.ticks import first_breaks
 
-    levels = events(spark, folder).filter("promotions > 0").select("event_key", "symbol", "side", "ticks", F.col("discovered_at").alias("last_seen_at"))
+    levels = events(spark, folder).filter("promotions > 0").select("event_key", "symbol", "side", "ticks", F.col("discovered_at").alias("first_seen_at"))
     return first_breaks(A.ticks(spark, folder), levels).select("event_key", text("event_time")["event_time"].alias("event_time"), "price_ticks")
 
 

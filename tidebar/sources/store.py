@@ -6,20 +6,25 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share; a session in one process without one gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own_folder()
     return folder.rstrip("/")
 
 
@@ -37,10 +42,14 @@ def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     return hashlib.sha256(repr((paths, tuple(found))).encode()).hexdigest()[:24]
 
 
-def kept(spark: SparkSession, name: str, paths: list[str], build: Callable[[], DataFrame]) -> DataFrame:
-    """The derived table `name` of these inputs: read if it was stored for the same files, else built and stored. A pointer is written
-    after the table is whole, so a job that died leaves nothing that would be read."""
-    pointer = f"{shared_folder(spark)}/{name}-{fingerprint(spark, paths)}"
+#: Counted up when the rules of stored derived tables change, so that none of the old ones is read.
+RULES = 3
+
+
+def kept(spark: SparkSession, name: str, paths: list[str], build: Callable[[], DataFrame], settings: tuple = ()) -> DataFrame:
+    """The derived table `name` of these inputs and settings: read if it was stored for the same files, settings and rules, else built and
+    stored. A pointer is written after the table is whole, so a job that died leaves nothing that would be read."""
+    pointer = f"{shared_folder(spark)}/{name}-r{RULES}-{hashlib.sha256(repr(settings).encode()).hexdigest()[:8]}-{fingerprint(spark, paths)}"
     try:
         return spark.read.parquet(spark.read.schema("path string").parquet(pointer).first()["path"])
     except AnalysisException as error:

@@ -8,8 +8,9 @@ a day's state goes; quotes keep one row a symbol. What a micro-batch writes is i
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,6 +20,7 @@ from tidebar.operators.cards import alerts
 from tidebar.operators.nextday import validate
 from tidebar.operators.pairs import lifecycle, replay
 from tidebar.sources import store
+from tidebar.sources.versions import VersionedTable, without
 from tidebar.sources.adapters import tick_rows
 
 LATE = "120 seconds"
@@ -31,10 +33,10 @@ def read_ticks(spark: SparkSession, folder: str, symbols: int = 20) -> DataFrame
 
 
 def fresh(ticks: DataFrame, now: F.Column, max_age: int = 120, ahead: int = 30) -> F.Column:
-    """Whether a tick's time lies within [now - max_age, now + ahead] seconds; snapshots get 15 seconds."""
+    """Whether a tick's time, and when it was received if the ticks say so, lie within [now - max_age, now + ahead] seconds; snapshots get 15 seconds."""
     age = F.when(F.col("collection_mode") == "SNAPSHOT_POLL", 15).otherwise(max_age) if "collection_mode" in ticks.columns else F.lit(max_age)
-    late = F.timestamp_diff("SECOND", F.col("event_time"), now)
-    return (late <= F.greatest(age, F.lit(10))) & (late >= -ahead)
+    within = lambda c: F.timestamp_diff("SECOND", F.col(c), now).between(F.lit(-ahead), F.greatest(age, F.lit(10)))
+    return within("event_time") & within("received_at") if "received_at" in ticks.columns else within("event_time")
 
 
 def split_late(ticks: DataFrame, now: F.Column, max_age: int = 120) -> tuple[DataFrame, DataFrame]:
@@ -75,29 +77,55 @@ def latest_quotes(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("symbol").agg(newest.alias("q")).select("symbol", "q.*")
 
 
-def broken_levels(ticks: DataFrame, levels: DataFrame) -> DataFrame:
-    """Active levels (event_key, symbol, side, ticks, last_seen_at) that a later tick passes strictly, one row for each such tick; of a
-    stream against a table. `first_breaks` has each level once."""
-    rows = ticks.join(levels, "symbol")
-    beyond = F.when(F.col("side") == "TOP", F.col("price_ticks") > F.col("ticks")).otherwise(F.col("price_ticks") < F.col("ticks"))
-    columns = ["event_key", "symbol", "side", "ticks", "event_time", "price_ticks", "event_id"]
-    return rows.filter((F.col("event_time") > F.col("last_seen_at")) & beyond).select(*columns)
+LEVEL = ["event_key", "symbol", "side", "ticks", "first_seen_at"]
 
 
 def first_breaks(ticks: DataFrame, levels: DataFrame) -> DataFrame:
-    """Each broken level once, with the first tick that passes it."""
-    first = F.min(F.struct("event_time", "event_id", "price_ticks")).alias("t")
-    rows = broken_levels(ticks, levels).groupBy("event_key", "symbol", "side", "ticks").agg(first)
-    return rows.select("event_key", "symbol", "side", "ticks", "t.event_time", "t.price_ticks")
-
-
-def break_levels(batch: DataFrame, folder: str) -> DataFrame:
-    """For each micro-batch: the levels held under folder that its ticks break, which leave the table; run again it finds none anew."""
-    spark = batch.sparkSession
-    levels = store.current(spark, folder)
-    broken = first_breaks(batch, levels)
-    store.replace(levels.join(broken.select("event_key"), "event_key", "left_anti"), folder)
-    return broken
+    """Each active level (LEVEL) that a tick after it was first seen passes strictly, once, with the first such tick; an equal price breaks nothing.
+
+    On the day a level was first seen its ticks are looked at one by one. Later days need only their extremes to name the day; in that day all
+    ticks are later, so ticks and levels stand in one order by price and the earliest tick before a level in it is the one."""
+    top = F.col("side") == "TOP"
+    sides = F.explode(F.array(F.lit("TOP"), F.lit("BOTTOM"))).alias("side")
+    # the further beyond, the smaller
+    reach = lambda c: F.when(top, -F.col(c)).otherwise(F.col(c))
+    t = ticks.select("symbol", sides, F.to_date("event_time").alias("day"), F.struct("event_time", "event_id", "price_ticks").alias("tick"), "price_ticks")
+    t = t.select("symbol", "side", "day", "tick", reach("price_ticks").alias("reach"))
+    own = levels.select(*LEVEL, F.to_date("first_seen_at").alias("day"), reach("ticks").alias("bound"))
+    same = own.join(t, ["symbol", "side", "day"]).filter((F.col("reach") < F.col("bound")) & (F.col("tick.event_time") > F.col("first_seen_at")))
+    same = same.groupBy(*LEVEL).agg(F.min("tick").alias("tick"))
+    days = t.groupBy("symbol", "side", "day").agg(F.min("reach").alias("reach"))
+    later = own.withColumnRenamed("day", "since").join(days, ["symbol", "side"]).filter((F.col("day") > F.col("since")) & (F.col("reach") < F.col("bound")))
+    later = later.groupBy(*LEVEL, "bound").agg(F.min("day").alias("day"))
+    level = F.struct(*LEVEL)
+    line = t.join(later.select("symbol", "side", "day").distinct(), ["symbol", "side", "day"], "left_semi").select("symbol", "side", "day", "reach", F.lit(1).alias("kind"), "tick", F.lit(None).cast(own.select(level.alias("l")).schema["l"].dataType).alias("level"))
+    line = line.unionByName(later.select("symbol", "side", "day", F.col("bound").alias("reach"), F.lit(0).alias("kind"), F.lit(None).cast(line.schema["tick"].dataType).alias("tick"), level.alias("level")))
+    before = Window.partitionBy("symbol", "side", "day").orderBy("reach", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    later = line.withColumn("tick", F.min("tick").over(before)).filter("kind = 0").select("level.*", "tick")
+    found = same.unionByName(later).groupBy(*LEVEL).agg(F.min("tick").alias("tick"))
+    return found.select("event_key", "symbol", "side", "ticks", "tick.event_time", "tick.price_ticks")
+
+
+def break_lifecycle(broken: DataFrame) -> DataFrame:
+    """The transitions of levels that ticks broke."""
+    reason = F.when(F.col("side") == "TOP", "TICK_HIGHER_PRICE_BREAK").otherwise("TICK_LOWER_PRICE_BREAK")
+    return broken.select("event_key", "symbol", F.lit("INVALIDATED").alias("to_stage"), F.col("event_time").alias("at"), reason.alias("reason"), F.col("price_ticks").alias("break_ticks"))
+
+
+def break_levels(batch: DataFrame, levels: VersionedTable, batch_id: int) -> DataFrame | None:
+    """For each micro-batch: transitions of the levels held that its ticks break, which leave the table. Only buckets of symbols that the batch
+    reaches beyond are read and rewritten; a batch that runs again finds none anew (None)."""
+    held = levels.version()
+    if batch_id <= held.batch_id:
+        return None
+    symbols = batch.select("symbol").distinct()
+    own = [r.b for r in symbols.select(levels.bucket().alias("b")).distinct().collect()]  # at most as many numbers as buckets
+    rows = levels.read(held, own)
+    if rows is None:
+        return None
+    moves = store.staged(break_lifecycle(first_breaks(batch, rows.select(*LEVEL))), "tick-breaks")
+    levels.change(rows.limit(0), without(moves.select("event_key"), ["event_key"]), batch_id, touched=moves.select("symbol").distinct())
+    return moves
 
 
 def run_each(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
@@ -158,7 +186,6 @@ def stream_events(ticks: DataFrame, folder: str, checkpoint: str) -> StreamingQu
     own = ticks.sparkSession.newSession()
     own.conf.set("spark.sql.unionOutputPartitioning", "false")
     own.conf.set("spark.sql.session.timeZone", ticks.sparkSession.conf.get("spark.sql.session.timeZone"))
-    own.conf.set("spark.checkpoint.dir", store.shared_folder(ticks.sparkSession))
     return run_each(ticks, lambda batch, number: replay_touched(own, batch, number, folder), checkpoint)
 
 
@@ -168,17 +195,16 @@ def monitor_next_day(events: DataFrame, bars5: DataFrame, calendar: DataFrame, n
     return validate(events, bars5, calendar, F.lit(newest).cast("timestamp_ntz"), no_trades)
 
 
-def run_incremental(bars: DataFrame, folder: str, work: Callable[[DataFrame], None]) -> DataFrame:
-    """Hands work the bars of each frequency from its last processed end on, that bar included; marks advance once work is done, and are
-    returned (frequency, last_eob)."""
-    spark = bars.sparkSession
-    marks = store.current(spark, folder)
-    rows = bars if marks is None else bars.join(F.broadcast(marks), "frequency", "left").filter(F.col("last_eob").isNull() | (F.col("eob") >= F.col("last_eob"))).drop("last_eob")  # a row a frequency
-    work(rows)
-    seen = rows.groupBy("frequency").agg(F.max("eob").alias("last_eob"))
-    out = seen if marks is None else marks.unionByName(seen).groupBy("frequency").agg(F.max("last_eob").alias("last_eob"))
-    store.replace(out, folder)
-    return store.current(spark, folder)
+def run_incremental(bars: DataFrame, out: VersionedTable, work: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> dict[str, str]:
+    """Hands work the bars of each frequency from its last processed end on, that bar included, and merges what it returns into `out`; the
+    marks (frequency -> last end) are committed with that version, so work and marks are both seen or neither. Returns the marks."""
+    marks = out.version().marks
+    rows = bars
+    if marks:
+        last = reduce(lambda rest, x: F.when(F.col("frequency") == x[0], F.lit(x[1]).cast("timestamp_ntz")).otherwise(rest), marks.items(), F.lit(None).cast("timestamp_ntz"))
+        rows = bars.filter(last.isNull() | (F.col("eob") >= last))
+    seen = rows.groupBy("frequency").agg(F.date_format(F.max("eob"), "yyyy-MM-dd HH:mm:ss").alias("last")).collect()  # a row a frequency
+    return out.change(work(rows), merge, marks=marks | {r.frequency: r["last"] for r in seen}).marks
 
 
 def upsert_latest(batch: DataFrame, current: DataFrame, key: list[str], order: list[str]) -> DataFrame:
