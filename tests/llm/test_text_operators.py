@@ -78,15 +78,19 @@ def test_recompression_names_equal_substrings_alike():
         assert inside(50) == inside(180)
 
 
-@pytest.mark.parametrize("block", [200_000, 7])
-def test_decontamination_against_brute_force(spark, block):
+@pytest.mark.parametrize("bits", [64, 1 << 26])
+def test_decontamination_against_brute_force(spark, bits, monkeypatch):
+    """Whatever the bitmaps let through, and with ids that come with other texts too."""
+    monkeypatch.setattr(decontaminate, "MAX_BITS", bits)
     rows = corpus(5)
-    items = [(1, " ".join(rows[1][1].split()[3:40])), (2, "x1 ZU"), (2, "é"), (30, rows[9][1]), (4, None), (5, ""), (None, "the of"), (6, "a a a a a a a a a a a"), (30, rows[9][1])]
-    docs, bench = spark.createDataFrame(rows + [rows[1]], DOCS), spark.createDataFrame(items, "item_id long, text string")
-    out = decontaminate.decontaminate(docs, bench, block_windows=block)
-    got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out.collect())
-    assert got == sorted(contamination(rows + [rows[1]], items))
-    assert out.columns[:2] == ["doc_id", "text"]
+    items = [(1, " ".join(rows[1][1].split()[3:40])), (2, "x1 ZU"), (2, "é"), (30, rows[9][1]), (4, None), (5, ""), (None, "the of"), (6, "a a a a a a a a a a a"), (30, rows[9][1]), (10, "q r s t u v w x y z"), (11, "b c d e f g h i j k")]
+    rows += [rows[1], (rows[1][0], "q r s t u v w x y z x y"), (rows[1][0], "m n o p b c d e f g h i j k"), (rows[1][0], "y z"), (None, "q r s t u v w x y z")]
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    for keep in (None, ["doc_id"]):
+        out = decontaminate.decontaminate(docs.repartition(3), bench, keep=keep)
+        got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out.collect()), key=str)
+        assert got == sorted(contamination(rows, items), key=str)
+        assert out.columns[: len(keep or docs.columns)] == (keep or docs.columns)
 
 
 def test_decontamination_with_text_ids_long_texts_and_clashing_columns(spark):
@@ -94,7 +98,7 @@ def test_decontamination_with_text_ids_long_texts_and_clashing_columns(spark):
     rows = [(1, long), (2, long + " passage " + "q r s t u v w x y z"), (2, None), (3, "")]
     items = [("b", "q r s t u v w x y z"), ("a10", "Q, r s t u v w x y z!"), ("a9", " ".join(f"w{i}" for i in range(40)))]
     df = spark.createDataFrame([(*r, 5, "k") for r in rows], DOCS + ", n_hit int, word string")
-    out = decontaminate.decontaminate(df, spark.createDataFrame(items, "item_id string, text string"), block_windows=9)
+    out = decontaminate.decontaminate(df, spark.createDataFrame(items, "item_id string, text string"))
     assert out.columns == ["doc_id", "text", "word", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out.collect()) == sorted(contamination(rows, items))
 

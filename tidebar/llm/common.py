@@ -191,3 +191,29 @@ def signed(x: np.ndarray) -> np.ndarray:
 def ragged(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from flat values and row offsets."""
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+class Bitmap:
+    """Bits of hashes: has() is true for every hash that was set and, the fuller it is, for others."""
+
+    def __init__(self, size: int):
+        """size: bits, a power of two."""
+        self.words = np.zeros(size // 64, np.uint64)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(h), bool)
+        spot = h & np.uint64(64 * len(self.words) - 1)
+        return (self.words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def bitmap(hashes: DataFrame, column: str, limit: int, each: int = 64) -> Bitmap:
+    """The bitmap of a column of hashes: `each` bits for every row, at most `limit` (a power of two) however many there are."""
+    size = min(limit, 1 << max(6, (each * hashes.count()).bit_length()))
+    spot = F.col(column).bitwiseAND(F.lit(size - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int"))
+    found = hashes.groupBy(F.shiftright(spot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = Bitmap(size if found.num_rows else 0)
+    if found.num_rows:
+        out.words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
