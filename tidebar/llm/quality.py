@@ -6,8 +6,10 @@ below zero, so where the estimate is, the step goes against it (non-negative ris
 
 The prior is estimated from positives and unlabelled text alone: a first model ranks all unlabelled documents and the half of the
 trusted positives that it was not fitted on, and the prior is the least ratio of their shares above any score, with a margin for what the
-shares may be off by. All documents of the training folds take part in that, and in the risk: the model is fitted on a bounded sample,
-and the same pass adds up the unlabelled part of the gradient over all documents, which corrects the sample's at every step.
+shares may be off by. All documents of the training folds take part in that, and in the risk: in ROUNDS rounds Spark adds up the unlabelled
+part of the risk and its gradient over all documents at the weights of the round, and the steps from there take those sums, plus what a bounded
+sample says of how they change on the way (variance reduction). So the sample only stands for small differences, and the weights
+settle where the risk over all documents has its least, whatever the sample.
 
 The model is linear over the whole text's hashed runs of byte shapes (small letter, capital, digit, each other byte), hashed byte
 trigrams, and how often words come again at once. Of labelled rows at most FIT_POSITIVES positives teach it; every document is scored.
@@ -30,8 +32,8 @@ DIMENSIONS = 2 * SHAPES + LAGS + GRAMS
 TEXT_WEIGHT = 0.25
 #: Least deviation by which a feature is scaled.
 FLOOR = 0.02
-#: Labelled rows that teach at most, and rows of the sample whose gradient the one over all documents corrects.
-FIT_POSITIVES, SAMPLE_ROWS = 2000, 2500
+#: Labelled rows that teach at most, and rows of the sample that tells how the sums over all documents change within a round.
+FIT_POSITIVES, SAMPLE_ROWS, ROUNDS = 2000, 2500, 3
 STEPS, RATE, DECAY = 120, 0.01, 2e-3
 #: Bins of the first model's score; chance and share by which the prior's shares may be off.
 BINS, DOUBT, MARGIN = 1000, 0.1, 0.01
@@ -82,20 +84,24 @@ def features(column: pa.Array) -> np.ndarray:
     return np.hstack([_grams(shape, row, rows, 2, SHAPES), _grams(shape, row, rows, 4, SHAPES), repeats, TEXT_WEIGHT * _grams(raw, row, rows, 3, GRAMS)])
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, correction: np.ndarray | float = 0.0, steps: int = STEPS) -> np.ndarray:
-    """Weights and, last, the bias; Adam on the non-negative risk of the logistic loss. correction: what the unlabelled sample's mean of
-    chance times (features, 1) lacks of that over all documents."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, start: np.ndarray | None = None, whole: np.ndarray | None = None, steps: int = STEPS) -> np.ndarray:
+    """Weights and, last, the bias; Adam on the non-negative risk of the logistic loss, from `start` on (zero). whole: `unlabelled_sums` of all
+    documents at start, each a mean; without it the unlabelled rows are taken for all there are."""
     mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + FLOOR
     p, u = ((x - mean) / scale for x in (positive, unlabelled))
-    if np.ndim(correction):
-        correction = np.append((correction[:-1] - correction[-1] * mean) / scale, correction[-1]).astype(np.float32)
+    correction, loss = 0.0, 0.0
     w = np.zeros(p.shape[1] + 1, np.float32)
+    if start is not None:
+        w = np.append(start[:-1] * scale, start[-1] + mean @ start[:-1]).astype(np.float32)
+    if whole is not None:
+        lack = whole - unlabelled_sums(start, unlabelled) / len(unlabelled)
+        correction, loss = np.append((lack[:-2] - lack[-2] * mean) / scale, lack[-2]).astype(np.float32), lack[-1]
     first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
         zp, zu = (np.clip(x @ w[:-1] + w[-1], -30, 30) for x in (p, u))
         up, uu = (1 / (1 + np.exp(-z)) for z in (zp, zu))
         # l(+) = log(1 + exp(-z)), l(-) = log(1 + exp(z))
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        negative = np.logaddexp(0, zu).mean() + loss - prior * np.logaddexp(0, zp).mean()
         gp, gu = up / len(up), uu / len(uu)
 
         def grad(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -115,6 +121,13 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, correction:
     return np.append(weights, w[-1] - mean @ weights)
 
 
+def unlabelled_sums(model: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Sums of chance times (features, 1) and, last, of the loss as a negative."""
+    z = np.clip(x @ model[:-1] + model[-1], -700, 700)
+    score = 1 / (1 + np.exp(-z))
+    return np.concatenate([score @ x, [score.sum(), np.logaddexp(0, z).sum()]])
+
+
 def chances(model: np.ndarray, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ model[:-1] + model[-1], -700, 700)))
 
@@ -130,23 +143,31 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _ranked(model: np.ndarray):
-    """The bin of each row's score and, last, a task's row with the sum of chance times (features, 1)."""
+def _ranked(model: np.ndarray, bins: bool):
+    """The bin of each row's score, if asked for, and, last, a task's row with its rows' number and `unlabelled_sums`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(DIMENSIONS + 1)
+        total = np.zeros(DIMENSIONS + 3)
         names = ["key", "bin", "sums"]
         for part in slices(batches):
             x = features(part.column("text"))
-            score = chances(model, x)
-            total += np.append(score @ x, score.sum())
-            bins = np.minimum((score * BINS).astype(np.int32), BINS - 1)
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(bins), pa.nulls(len(x), pa.list_(pa.float64()))], names)
+            total += np.append(unlabelled_sums(model, x), len(x))
+            if bins:
+                spot = np.minimum((chances(model, x) * BINS).astype(np.int32), BINS - 1)
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(spot), pa.nulls(len(x), pa.list_(pa.float64()))], names)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([total.tolist()], pa.list_(pa.float64()))], names)
 
     return run
 
 
+def _means(ranked: DataFrame) -> np.ndarray:
+    """`unlabelled_sums` over all rows, divided by their number (DIMENSIONS + 3 numbers come to the driver)."""
+    out = np.zeros(DIMENSIONS + 3)
+    for x in ranked.filter("sums is not null").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("total")).collect():
+        out[x["pos"]] = x["total"]
+    return out[:-1] / max(out[-1], 1)
+
+
 def estimate_prior(unlabelled: np.ndarray, positive: np.ndarray) -> float:
     """Of counts by bin: the least ratio of shares above a score, at the score where its upper bound is least."""
     n = np.array([max(x.sum(), 1) for x in (unlabelled, positive)])
@@ -182,18 +203,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not len(first) + len(second) or not len(sample):
         return None
     pilot = fit(first if len(first) else second, sample, 0.5)
-    ranked = staged(keyed.select("key", "text").mapInArrow(_ranked(pilot), "key long, bin int, sums array<double>"), "ranked")
-    sums = ranked.filter("sums is not null").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("total")).collect()  # DIMENSIONS + 1 numbers
+    texts = keyed.select("key", "text")
+    kind = "key long, bin int, sums array<double>"
+    ranked = staged(texts.mapInArrow(_ranked(pilot, True), kind), "ranked")
     held = ranked.filter("bin is not null").join(good.filter("half = 1"), "key", "left")
     tally = held.groupBy("bin").agg(F.count("*").alias("n"), F.count("half").alias("good")).collect()  # at most BINS rows
     counts = np.zeros((2, BINS))
     for x in tally:
         counts[:, x["bin"]] = x["n"], x["good"]
-    whole = np.zeros(DIMENSIONS + 1)
-    whole[[x["pos"] for x in sums]] = [x["total"] for x in sums]
-    here = chances(pilot, sample)
-    correction = whole / max(counts[0].sum(), 1) - np.append(here @ sample, here.sum()) / len(sample)
-    model = fit(np.concatenate([first, second]), sample, estimate_prior(*counts), correction)
+    prior, positive = estimate_prior(*counts), np.concatenate([first, second])
+    model, whole = pilot, _means(ranked)
+    for turn in range(ROUNDS):
+        model = fit(positive, sample, prior, model, whole)
+        if turn + 1 < ROUNDS:
+            whole = _means(texts.mapInArrow(_ranked(model, False), kind))
+    del positive
     del first, second, sample
     give_back()
     return model
