@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import lower_ascii, mix, prefix_hash, row_of, slices, span_hash, staged, text_buffers, word_spans
+from tidebar.llm.common import Bitmap, mix, prefix_hash, row_of, slices, span_hash, staged, text_buffers, word_spans
 
 LONGEST = 4
 #: Shards of a cycle; bytes of text that a worker takes at once.
@@ -34,17 +34,14 @@ MAX_BITS, BITS_EACH = 1 << 26, 64
 #: Characters that end a piece, and that part words in it.
 BREAKS, BLANKS = ".,;:!?\n\x0b\x0c\r", " \t"
 _NEXT = np.uint64(0x9FB21C651E98DF25)
-_STATE = ["lang", "n", "phrase"]
-_COUNTED = [*_STATE, "count", "live"]
+#: A phrase's key is its lang, a tab, and its words, which hold no tab.
+_COUNTED = ["key", "count", "live"]
+_KEY = pa.scalar("\t", pa.large_string())
 
 
-def _is(chars: str) -> np.ndarray:
-    table = np.zeros(256, bool)
-    table[[ord(c) for c in chars]] = True
-    return table
-
-
-_BREAK, _BLANK = _is(BREAKS), _is(BLANKS)
+_LOWER = bytes(c | 32 if 65 <= c <= 90 else c for c in range(256))
+#: 0 in words, 1 between words, 2 between pieces.
+_CLASS = bytes(2 if chr(c) in BREAKS else 1 if chr(c) in BLANKS else 0 for c in range(256))
 
 
 def _text_hash(texts: pa.Array) -> np.ndarray:
@@ -70,18 +67,6 @@ def phrase_hash(langs: pa.Array, phrases: pa.Array) -> np.ndarray:
     return out
 
 
-class Bitmap:
-    def __init__(self, size: int):
-        """size: bits, a power of two."""
-        self.words = np.zeros(size // 64, np.uint64)
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(h), bool)
-        spot = h & np.uint64(64 * len(self.words) - 1)
-        return (self.words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
-
-
 class Active:
     """What a scan counts: words at all, phrases reached up to now and lately (by length), and phrases whose cycle is open."""
 
@@ -90,11 +75,11 @@ class Active:
 
 
 def _count_slice(part: pa.RecordBatch, active: Active) -> Iterator[pa.RecordBatch]:
-    """Occurrences in the texts of a slice: lang, n, phrase, count, and whether the phrase is active (else it is tracked only)."""
+    """Occurrences in the texts of a slice: key, count, and whether the phrase is active (else it is tracked only)."""
     raw, ends = text_buffers(part.column("text"))
-    raw = lower_ascii(raw)
-    stop = _BREAK[raw]
-    inside = ~(stop | _BLANK[raw])
+    lowered = raw.tobytes().translate(_LOWER)
+    raw, kind = np.frombuffer(lowered, np.uint8), np.frombuffer(lowered.translate(_CLASS), np.uint8)
+    inside = kind == 0
     start, end, rows = word_spans(inside, ends)
     total = len(start)
     if not total:
@@ -107,26 +92,26 @@ def _count_slice(part: pa.RecordBatch, active: Active) -> Iterator[pa.RecordBatc
     names, vocabulary = langs.dictionary, words.dictionary
     many = len(vocabulary)
     # two words next to each other are in one piece if no break lies between them
-    joined = (row[1:] == row[:-1]) & (np.diff(np.cumsum(stop)[start]) == 0)
+    joined = (row[1:] == row[:-1]) & (np.diff(np.cumsum(kind == 2, dtype=np.int32)[start]) == 0)
     word = _text_hash(vocabulary)[code]
     head = _longer(_text_hash(names)[lang], word)
 
     def rows_of(n: int, at: np.ndarray, counts: np.ndarray, live: np.ndarray) -> pa.RecordBatch:
         text = [vocabulary.take(pa.array(code[at + k])) for k in range(n)]
         phrase = pc.binary_join_element_wise(*text, pa.scalar(" ", pa.large_string())) if n > 1 else text[0]
-        return pa.RecordBatch.from_arrays(
-            [names.take(pa.array(lang[at])).cast(pa.string()), pa.array(np.full(len(at), n), pa.int32()), phrase.cast(pa.string()), pa.array(counts, pa.int64()), pa.array(live)], _COUNTED
-        )
+        key = pc.binary_join_element_wise(names.take(pa.array(lang[at])).cast(pa.large_string()), phrase, _KEY)
+        return pa.RecordBatch.from_arrays([key.cast(pa.string()), pa.array(counts, pa.int64()), pa.array(live)], _COUNTED)
 
     own = lang * many + code
-    _, first, counts = np.unique(own, return_index=True, return_counts=True)
-    pick = np.ones(len(first), bool) if active.words else active.tracked.has(head[first])
-    if pick.any():
-        yield rows_of(1, first[pick], counts[pick], np.full(int(pick.sum()), active.words))
+    at = np.arange(total) if active.words else np.flatnonzero(active.tracked.has(head))
+    if len(at):
+        _, first, counts = np.unique(own[at], return_index=True, return_counts=True)
+        yield rows_of(1, at[first], counts, np.full(len(first), active.words))
     if active.words:
         sums = np.bincount(lang, minlength=len(names))
         seen = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([names.take(pa.array(seen)).cast(pa.string()), pa.array(np.zeros(len(seen)), pa.int32()), pa.array([""] * len(seen), pa.string()), pa.array(sums[seen], pa.int64()), pa.array(np.ones(len(seen), bool))], _COUNTED)
+        key = [f"{x}\t" for x in names.take(pa.array(seen)).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(sums[seen], pa.int64()), pa.array(np.ones(len(seen), bool))], _COUNTED)
     whole, places, live = np.ones(total, bool), {}, {}
     for n in range(2, LONGEST + 1):
         if total < n:
@@ -171,6 +156,11 @@ def _bits(size: int):
     return run
 
 
+_PHRASE = "substring_index(key, '\t', -1)"
+_LANG = f"left(key, char_length(key) - char_length({_PHRASE}) - 1)"
+_WORDS = f"CASE WHEN endswith(key, '\t') THEN 0 ELSE size(split({_PHRASE}, ' ')) END"
+
+
 def _bitmaps(state: DataFrame, step: int, shards: int) -> tuple[Active, int]:
     """What the scan after `step` counts, and the last step at which a cycle is open (at most a few numbers and MAX_BITS bits a map come here)."""
     reach, seen = F.col("reached"), F.col("tracked")
@@ -181,7 +171,7 @@ def _bitmaps(state: DataFrame, step: int, shards: int) -> tuple[Active, int]:
     maps = F.array_compact(F.array(
         F.when(short & reach.isNotNull(), F.concat(F.lit("r"), F.col("n"))), F.when(short & (reach > step - shards), F.concat(F.lit("l"), F.col("n"))), F.when((F.col("n") > 0) & (seen > step + 1 - shards), "t")
     ))
-    rows = state.select("lang", "phrase", maps.alias("maps")).filter("size(maps) > 0").mapInArrow(_bits(bits), "maps array<string>, word long, bits long")
+    rows = state.select(F.expr(_LANG).alias("lang"), F.expr(_PHRASE).alias("phrase"), maps.alias("maps")).filter("size(maps) > 0").mapInArrow(_bits(bits), "maps array<string>, word long, bits long")
     found = rows.select(F.explode("maps").alias("map"), "word", "bits").groupBy("map", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
     kinds, place, value = (found.column(c).combine_chunks() for c in ("map", "word", "bits"))
     made = {}
@@ -210,23 +200,24 @@ def count_phrases(docs: DataFrame, threshold: int, shards: int = SHARDS, lang_co
     active, last = Active(True, *[{n: Bitmap(0) for n in range(1, LONGEST)} for _ in "rl"], Bitmap(0)), shards - 1
     while step <= last:
         told = spark.sparkContext.broadcast(active)
-        found = path.filter(F.col("shard") == step % shards).select("lang", "text").mapInArrow(_count(told), "lang string, n int, phrase string, count long, live boolean")
-        found = found.groupBy(*_STATE).agg(F.sum("count").alias("count"), F.max("live").alias("live"))
+        found = path.filter(F.col("shard") == step % shards).select("lang", "text").mapInArrow(_count(told), "key string, count long, live boolean")
+        found = found.groupBy("key").agg(F.sum("count").alias("count"), F.max("live").alias("live"))
         slot = slots[step % shards]
         if state is None:
-            both = found.select(*_STATE, "count", "live", *[F.lit(None).cast("long").alias(s) for s in slots], *[F.lit(None).cast("int").alias(c) for c in ("tracked", "reached")])
+            both = found.select("key", "count", "live", *[F.lit(None).cast("long").alias(s) for s in slots], *[F.lit(None).cast("int").alias(c) for c in ("n", "tracked", "reached")])
         else:
-            both = found.join(state, _STATE, "full")
-        both = both.filter((F.col("live") & (F.col("count") >= least)) | (F.col("n") == 0) | F.col("tracked").isNotNull()).withColumn(slot, F.coalesce("count", slot))
+            both = found.join(state, "key", "full")
+        both = both.filter((F.col("live") & (F.col("count") >= least)) | F.endswith("key", F.lit("\t")) | F.col("tracked").isNotNull())
+        both = both.withColumns({slot: F.coalesce("count", slot), "n": F.coalesce("n", F.expr(_WORDS))})
         f = sum((F.coalesce(s, F.lit(0)) for s in slots), F.lit(0))
         both = both.withColumns({"tracked": F.coalesce("tracked", F.lit(step)), "reached": F.coalesce("reached", F.when(f >= threshold, step))})
         # a phrase whose cycle is over without reaching the threshold is done with
         both = both.filter((F.col("n") == 0) | F.col("reached").isNotNull() | (F.col("tracked") > step + 1 - shards))
-        state = staged(both.select(*_STATE, *slots, "tracked", "reached"), "phrase-counts")
+        state = staged(both.select("key", "n", *slots, "tracked", "reached"), "phrase-counts")
         told.destroy()
         active, last = _bitmaps(state, step, shards)
         step += 1
-    return state.select(*_STATE, f.alias("f")).filter((F.col("n") == 0) | (F.col("f") >= threshold))
+    return state.select(F.expr(_LANG).alias("lang"), "n", F.expr(_PHRASE).alias("phrase"), f.alias("f")).filter((F.col("n") == 0) | (F.col("f") >= threshold))
 
 
 def collocations(docs: DataFrame, threshold: int = 30, top: int = 2000, redundant: int = 80, shards: int = SHARDS, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
