@@ -239,6 +239,25 @@ def affected_ranges(spark: SparkSession, folder: str) -> DataFrame:
     return R.affected_ranges(rows.withColumn("ordinal", F.datediff("trading_date", F.lit("2024-01-01").cast("date")) * 8 + F.col("slot")), {"30m": 3}, {"30m": 8})
 
 
+_EVENT_COLUMNS = ["event_key", "symbol", "side", "ticks", "generation", "stage", "hits_5m", "total_hit_count"]
+
+
+@query("recomputed_events", f"{EVENTS} SELECT {', '.join(_EVENT_COLUMNS)}, {stamp('observed_at')}, {stamp('break_eob')} FROM ev")
+def recomputed_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of all ticks, reached from those without the late ones by computing only the affected days anew: every fortieth tick after
+    a date is late."""
+    ticks = A.ticks(spark, folder)
+    frames = lambda five: {"5m": five} | {f: B.roll_up(five, f) for f in ("30m", "60m", "1d")}
+    early = B.ticks_to_bars(ticks.filter(f"event_id % 40 <> 7 OR event_time < TIMESTAMP_NTZ '{END} 00:00:00'"), "5m")
+    all_bars = frames(B.ticks_to_bars(ticks, "5m"))
+    held = store.staged(P.replay(frames(early)), "held-events")
+    hits = P.evidence(held, P.with_breaks(P.pair_hits(early), early))
+    changed = R.changed_slots(B.with_row_hash(early), B.with_row_hash(all_bars["5m"]))
+    days = R.affected_days(changed, all_bars["5m"].select("trading_date"), {"5m": 1}, {"5m": 48})
+    out, _ = R.recompute(held, hits, all_bars, store.staged(days, "affected-days"))
+    return out.select(*_EVENT_COLUMNS, *[c.alias(n) for n, c in text("observed_at", "break_eob").items()])
+
+
 @query("run_summary", f"{HITS}, s AS (SELECT symbol, CASE WHEN symbol IN (SELECT symbol FROM b5m) THEN 'complete' ELSE 'failed' END AS status FROM (SELECT DISTINCT 'U' || CAST(user_id % 24 AS VARCHAR) AS symbol FROM events)) SELECT count(*) FILTER (status = 'complete') AS completed_symbols, count(*) FILTER (status = 'failed') AS failed_symbols, (SELECT count(*) FROM b5m JOIN s USING (symbol) WHERE status = 'complete') AS bars, (SELECT count(*) FROM evidence JOIN s USING (symbol) WHERE status = 'complete') AS hits, (SELECT count(*) FROM ev JOIN s USING (symbol) WHERE s.status = 'complete') AS events, CASE WHEN count(*) FILTER (status = 'failed') > 0 THEN 'partial' ELSE 'complete' END AS run_status FROM s")
 def run_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Over a universe of which some symbols do not tick."""
