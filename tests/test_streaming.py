@@ -8,7 +8,6 @@ from tidebar.operators import bars as B
 from tidebar.operators import cards as C
 from tidebar.operators import maintain as M
 from tidebar.operators import pairs as P
-from tidebar.sources import store
 from tidebar.sources.versions import VersionedTable, added, newest
 from tidebar.sources.adapters import tick_rows
 from tidebar.streaming import ticks as T
@@ -47,17 +46,18 @@ def test_stream_of_events_ends_where_the_replay_does(spark, tmp_path):
     five = B.ticks_to_bars(tick_rows(e), "5m")
     want = P.replay({"5m": five} | {f: B.roll_up(five, f) for f in ("30m", "60m", "1d")})
     cols = ["event_key", "stage", "generation", "break_eob", "total_hit_count"]
-    assert sorted(map(str, store.current(spark, f"{out}/events").select(*cols).collect())) == sorted(map(str, want.select(*cols).collect()))
-    sent = store.current(spark, f"{out}/alerts")
+    held, alerts = T.event_tables(spark, out)
+    assert sorted(map(str, held.read().select(*cols).collect())) == sorted(map(str, want.select(*cols).collect()))
+    sent = alerts.read()
     # alerts of transitions that a later batch undid have been sent; none is sent twice
     own = {r.outbox_id for r in C.alerts(P.lifecycle(want), want).collect()}
     ids = [r.outbox_id for r in sent.collect()]
     assert own <= set(ids) and len(ids) == len(set(ids))
     # a batch that runs again changes nothing
-    last = spark.read.parquet(f"{out}/ticks").filter("batch = 1").drop("batch")
+    last = spark.read.parquet(f"{out}/ticks").filter("batch = 1").drop("batch", "bucket")
     T.replay_touched(spark, spark.createDataFrame(last.collect(), last.schema), 1, out)
-    assert sorted(map(str, store.current(spark, f"{out}/events").select(*cols).collect())) == sorted(map(str, want.select(*cols).collect()))
-    assert store.current(spark, f"{out}/alerts").count() == len(ids)
+    assert sorted(map(str, held.read().select(*cols).collect())) == sorted(map(str, want.select(*cols).collect()))
+    assert alerts.read().count() == len(ids)
 
 
 def test_dedupe_by_session_sequence(spark, tmp_path):

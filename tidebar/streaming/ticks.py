@@ -20,7 +20,7 @@ from tidebar.operators.cards import alerts
 from tidebar.operators.nextday import validate
 from tidebar.operators.pairs import lifecycle, replay
 from tidebar.sources import store
-from tidebar.sources.versions import VersionedTable, without
+from tidebar.sources.versions import VersionedTable, added, without
 from tidebar.sources.adapters import tick_rows
 
 LATE = "120 seconds"
@@ -161,23 +161,30 @@ def bar_lifecycle(held: DataFrame, bars: DataFrame, now: F.Column) -> tuple[Data
     return rows.drop("event_type"), events
 
 
+#: Folders of a batch's ticks, so that a later batch opens only those that can hold its symbols.
+TICK_BUCKETS = 64
+
+
+def event_tables(spark: SparkSession, folder: str) -> tuple[VersionedTable, VersionedTable]:
+    """(events by symbol, alerts by their id) of a stream of events under folder."""
+    return VersionedTable(spark, f"{folder}/events", ["symbol"]), VersionedTable(spark, f"{folder}/alerts", ["outbox_id"])
+
+
 def replay_touched(spark: SparkSession, batch: DataFrame, batch_id: int, folder: str) -> None:
-    """For each micro-batch: keeps its ticks, computes the events of the symbols that it touches anew from all their ticks, and upserts
-    events and alerts. A batch that runs again overwrites its own ticks. What follows the first write is an ordinary job of the session."""
+    """For each micro-batch, whatever the order of its ticks: keeps them, computes the events of the symbols that it touches anew from the ticks in
+    those symbols' folders, and puts them in place of those held, so one that a later tick undoes goes too; alerts are only added. A batch that
+    runs again overwrites its own ticks and changes neither table. What follows the first write is an ordinary job of the session."""
     own = f"{folder}/ticks/batch={batch_id}"
-    batch.write.mode("overwrite").parquet(own)
-    touched = spark.read.parquet(own).select("symbol").distinct()
-    ticks = spark.read.option("basePath", f"{folder}/ticks").parquet(f"{folder}/ticks").filter(F.col("batch") <= batch_id).join(touched, "symbol", "left_semi")
-    five = ticks_to_bars(ticks, "5m")
-    events = replay({"5m": five} | {f: roll_up(five, f) for f in ("30m", "60m", "1d")})
-    held = store.current(spark, f"{folder}/events")
-    # events of touched symbols are replaced as a whole, so one that a later tick undoes goes too
-    out = events if held is None else held.join(touched, "symbol", "left_anti").unionByName(events)
-    store.replace(out, f"{folder}/events")
-    moves = lifecycle(events)
-    known = store.current(spark, f"{folder}/alerts")
-    fresh = alerts(moves, events)
-    store.replace(fresh if known is None else store.insert_new(known, fresh, ["outbox_id"]), f"{folder}/alerts")
+    bucket = F.pmod(F.xxhash64("symbol"), F.lit(TICK_BUCKETS)).cast("int")
+    batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(own)
+    touched = store.staged(spark.read.parquet(own).select("symbol").distinct(), "touched")
+    buckets = [r.b for r in touched.select(bucket.alias("b")).distinct().collect()]  # at most TICK_BUCKETS numbers
+    kept = spark.read.option("basePath", f"{folder}/ticks").parquet(f"{folder}/ticks").filter((F.col("batch") <= batch_id) & F.col("bucket").isin(buckets))
+    five = ticks_to_bars(kept.join(touched, "symbol", "left_semi"), "5m")
+    events = store.staged(replay({"5m": five} | {f: roll_up(five, f) for f in ("30m", "60m", "1d")}), "touched-events")
+    held, sent = event_tables(spark, folder)
+    held.change(events, without(touched, ["symbol"]), batch_id, touched=touched)
+    sent.change(alerts(lifecycle(events), events), added(["outbox_id"]), batch_id)
 
 
 def stream_events(ticks: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
