@@ -138,7 +138,8 @@ def _split(threshold: float, leaf: int):
         out["directions"] = [np.concatenate([n[0] for n in nodes]).tobytes()] if nodes else []
         out["splits"] = [np.array([n[1] for n in nodes])] if nodes else []
         out["children"] = [np.array([n[2:] for n in nodes], np.int32).ravel()] if nodes else []
-        return out
+        # a leaf that no split divides gives no row, whose columns have to be typed all the same
+        return out if nodes else out.astype({c: object for c in ("directions", "splits", "children")})
 
     return run
 
