@@ -175,3 +175,12 @@ def test_replay_of_a_universe_and_range(spark):
 def test_ticks_from_the_wire(spark):
     row = A.from_wire(spark.createDataFrame([(12_345_600, 0, 12_350_000, 0)], "price_e6 long, bid_e6 long, ask_e6 long, pre_close_e6 long")).first()
     assert (row.price_ticks, row.bid_ticks, row.ask_ticks, row.pre_close_ticks) == (1235, None, 1235, None)
+
+
+def test_latest_of_a_group_takes_each_column_from_the_newest_key_that_has_it(spark):
+    at = datetime(2024, 1, 8, 10)
+    rows = [("U1", at, "a", 7), ("U1", at, "b", None), ("U1", datetime(2024, 1, 7, 10), "z", 9), ("U2", at, "c", None), ("U3", at, "d", 1), ("U3", at, "e", 2)]
+    events = spark.createDataFrame(rows, "symbol string, discovered_at timestamp_ntz, event_key string, wave_score int")
+    found = events.groupBy("symbol").agg(F.max("discovered_at").alias("latest_pivot_at"))
+    got = {(r.symbol, r.event_key, r.wave_score) for r in Q.with_latest(found, events, ["event_key", "wave_score"]).collect()}
+    assert got == {("U1", "b", 7), ("U2", "c", None), ("U3", "e", 2)}
