@@ -1,8 +1,10 @@
 from datetime import date, datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tidebar import catalogue
 from tidebar.operators import bars as B
 from tidebar.operators import daily as D
 from tidebar.operators import intraday as I
@@ -184,3 +186,18 @@ def test_latest_of_a_group_takes_each_column_from_the_newest_key_that_has_it(spa
     found = events.groupBy("symbol").agg(F.max("discovered_at").alias("latest_pivot_at"))
     got = {(r.symbol, r.event_key, r.wave_score) for r in Q.with_latest(found, events, ["event_key", "wave_score"]).collect()}
     assert got == {("U1", "b", 7), ("U2", "c", None), ("U3", "e", 2)}
+
+
+def test_replay_universe_of_symbols_with_several_suppliers(spark, tmp_path):
+    """Three suppliers a symbol: names of its own by the eligible rows of the range only, other names by the least key of the newest day."""
+    one = spark.read.parquet(f"{FOLDER}/supplier.parquet").limit(1)
+    kept = {"s_name": F.concat(F.lit("Supplier#"), F.lpad(F.col("id").cast("string"), 9, "0")), "s_nationkey": F.lit(2), "s_suppkey": F.col("id")}
+    keys = spark.range(3000, numPartitions=1).crossJoin(one).withColumns(kept).select(one.columns)
+    keys.coalesce(1).sortWithinPartitions("s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.read.parquet(f"{FOLDER}/events.parquet").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    for t in ("supplier", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = [tuple(r) for r in con.execute(catalogue.oracle_sql()["replay_universe"]).fetchall()]
+    got = [(r.symbol, r["name"]) for r in catalogue.queries()["replay_universe"](spark, str(tmp_path)).collect()]
+    assert got == want and sum(n.startswith("Own ") for _, n in got) not in (0, len(got))
