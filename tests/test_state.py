@@ -2,9 +2,11 @@
 
 from datetime import datetime, timedelta
 
+import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tidebar import catalogue
 from tidebar.operators import bars as B
 from tidebar.operators import pairs as P
 from tidebar.sources.adapters import tick_rows
@@ -115,3 +117,25 @@ def test_strict_breaks_only():
     assert step("09:45", 1201, 1100) == [("INVALIDATED", "TOP", 1200)]
     assert step("09:50", 1200, 1099) == [("INVALIDATED", "BOTTOM", 1100), ("DISCOVERED", "TOP", 1200), ("DISCOVERED", "BOTTOM", 1099)]
     assert levels.events["TOP", 1200][3] == 2
+
+
+def test_fresh_to_the_microsecond(spark):
+    at = lambda **x: now_at + timedelta(**x)
+    now_at = DAY.replace(hour=12)
+    rows = [("w", str(i), 1, i, i, t) for i, t in enumerate([at(seconds=-120), at(seconds=-120, microseconds=-1), at(seconds=30), at(seconds=30, microseconds=1)])]
+    ticks = spark.createDataFrame(rows, TICK)
+    got = {r.event_id: r.verdict for r in S.gate(ticks, F.lit(now_at.isoformat(" ")).cast("timestamp_ntz")).collect()}
+    assert got == {0: "ACCEPTED", 1: "EXPIRED", 2: "ACCEPTED", 3: "EXPIRED"}
+
+
+def test_tick_gate_at_the_ends_of_its_window(spark, tmp_path):
+    """The query counts in whole seconds, as its SQL does."""
+    noon = DAY.replace(hour=12)
+    offsets = [timedelta(seconds=s, microseconds=u) for s in (-21601, -21600, -21599, 29, 30, 31) for u in (0, 1, 999_999)]
+    rows = [(i, noon + o + timedelta(days=i), i, "x", 1.0, "{}") for i, o in enumerate(offsets)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = {r[0]: r[2] for r in con.execute(catalogue.oracle_sql()["tick_gate"]).fetchall()}
+    got = {r.event_id: r.verdict for r in catalogue.queries()["tick_gate"](spark, str(tmp_path)).collect()}
+    assert got == want and set(got.values()) == {"ACCEPTED", "EXPIRED"}

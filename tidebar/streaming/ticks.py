@@ -35,7 +35,8 @@ def read_ticks(spark: SparkSession, folder: str, symbols: int = 20) -> DataFrame
 def fresh(ticks: DataFrame, now: F.Column, max_age: int = 120, ahead: int = 30) -> F.Column:
     """Whether a tick's time, and when it was received if the ticks say so, lie within [now - max_age, now + ahead] seconds; snapshots get 15 seconds."""
     age = F.when(F.col("collection_mode") == "SNAPSHOT_POLL", 15).otherwise(max_age) if "collection_mode" in ticks.columns else F.lit(max_age)
-    within = lambda c: F.timestamp_diff("SECOND", F.col(c), now).between(F.lit(-ahead), F.greatest(age, F.lit(10)))
+    # to the microsecond: whole seconds of a difference are cut towards zero, which lets up to one second more through at either end
+    within = lambda c: F.timestamp_diff("MICROSECOND", F.col(c), now).between(F.lit(-ahead * 1_000_000), F.greatest(age, F.lit(10)).cast("long") * 1_000_000)
     return within("event_time") & within("received_at") if "received_at" in ticks.columns else within("event_time")
 
 
