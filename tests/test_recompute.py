@@ -9,6 +9,7 @@ from tidebar.operators import bars as B
 from tidebar.operators import pairs as P
 from tidebar.operators import recovery as R
 from tidebar.operators import universe as U
+from tidebar.plans.operations import universe
 from tidebar.sources import store
 from tidebar.sources.adapters import tick_rows
 
@@ -80,3 +81,16 @@ def test_instrument_search_finds_by_any_part(spark):
     rows = [("S10", "x", True), ("S1", "y", True), ("A", "n1", True)]
     got = U.search(spark.createDataFrame(rows, "symbol string, name string, is_eligible boolean"), "1", exact="S1")
     assert [r.symbol for r in got.collect()] == ["S1", "A", "S10"]
+
+
+def test_snapshots_differ_in_as_many_tasks_as_there_are_rows_for(spark, tmp_path, monkeypatch):
+    rows = lambda *names: spark.createDataFrame([(n[0], n) if n else ("x", None) for n in names], "symbol string, name string")
+    a, b = rows("a1", "a1", "b1", "c1", None, None), rows("a1", "b1", "b2", "c1", None, "b2")
+    monkeypatch.setattr(U, "ROWS_A_TASK", 2)
+    found = U.differences(a, b, ["symbol"])
+    assert {(r["name"], r.side, r.copies) for r in found.collect()} == {("a1", "first", 1), ("b2", "second", 2), (None, "first", 1)}
+    # a universe of many instruments is made, and two of its snapshots are compared, in several tasks
+    one = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").limit(1)
+    spark.range(25_000).crossJoin(one).withColumn("s_suppkey", F.col("id")).select(one.columns).coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").write.parquet(str(tmp_path / "events.parquet"))
+    assert universe(spark, str(tmp_path)).rdd.getNumPartitions() == 3
