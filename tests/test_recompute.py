@@ -94,3 +94,13 @@ def test_snapshots_differ_in_as_many_tasks_as_there_are_rows_for(spark, tmp_path
     spark.range(25_000).crossJoin(one).withColumn("s_suppkey", F.col("id")).select(one.columns).coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").write.parquet(str(tmp_path / "events.parquet"))
     assert universe(spark, str(tmp_path)).rdd.getNumPartitions() == 3
+
+
+def test_recomputed_events_read_ticks_only_to_make_bars(spark, monkeypatch):
+    """What replays and recomputes reads stored bars, as it does so dozens of times."""
+    seen, replay, recompute = [], P.replay, R.recompute
+    monkeypatch.setattr(P, "replay", lambda bars: seen.append(bars) or replay(bars))
+    monkeypatch.setattr(R, "recompute", lambda events, hits, bars, days: seen.append(bars) or recompute(events, hits, bars, days))
+    catalogue.queries()["recomputed_events"](spark, "/root/testdata/sf0.001")
+    catalogue.queries()["pair_events"](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 3 and not any("events.parquet" in f for bars in seen for b in bars.values() for f in b.inputFiles())
